@@ -616,10 +616,8 @@ def feature_mart_older(r: Roles) -> DataFrame:
 
 
 def _profile(r: Roles) -> DataFrame:
-    # event users have their own ids; in this study they count as the customers of that id
-    members = Cohort.select(r.event_users(), *EVENT_DAYS, excluded_role="student")
     return events.event_profile(
-        r.app_events(), members, EVENT_PERIOD, r.event_dictionary(), CATEGORIES
+        r.customer_events(), _cohort(r), INITIAL, r.event_dictionary(), CATEGORIES
     )
 
 

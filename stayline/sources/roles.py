@@ -9,6 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayline.sources.schemas import EVENT_DICTIONARY
+
+EVENT_CATEGORIES = [
+    ("teacher_event", "click"),
+    ("teacher_event", "view"),
+    ("teacher_event", "purchase"),
+    ("student_event", "view"),
+    ("student_event", "error"),
+    ("before_session", "click"),
+    ("during_session", "view"),
+    ("after_session", "purchase"),
+    ("before_signup", "signup"),
+    ("teacher_event", "1-URGENT"),
+    ("teacher_event", "2-HIGH"),
+    ("teacher_event", "3-MEDIUM"),
+    ("student_event", "3-MEDIUM"),
+    ("student_event", "4-NOT SPECIFIED"),
+    ("before_session", "1-URGENT"),
+    ("during_session", "2-HIGH"),
+    ("during_session", "4-NOT SPECIFIED"),
+    ("after_session", "3-MEDIUM"),
+    ("before_signup", "5-LOW"),
+]
+
 
 def _text(column: str, name: str) -> Column:
     return F.col(column).cast("string").alias(name)
@@ -140,22 +164,17 @@ class Roles:
             )
         )
 
-    def event_dictionary(self) -> DataFrame:
-        """Categories over the five event types; one event belongs to several."""
-        return self.spark.createDataFrame(
-            [
-                ("teacher_event", "click"),
-                ("teacher_event", "view"),
-                ("teacher_event", "purchase"),
-                ("student_event", "view"),
-                ("student_event", "error"),
-                ("before_session", "click"),
-                ("during_session", "view"),
-                ("after_session", "purchase"),
-                ("before_signup", "signup"),
-            ],
-            "category string, event string",
+    def customer_events(self) -> DataFrame:
+        """Events whose users are the customers, so that they meet the other tables."""
+        return self.table("orders").select(
+            _text("o_custkey", "user_id"),
+            F.col("o_orderpriority").alias("event"),
+            F.col("o_orderdate").alias("timestamp"),
         )
 
+    def event_dictionary(self) -> DataFrame:
+        """Categories over the event types of both event tables; an event has several."""
+        return self.spark.createDataFrame(EVENT_CATEGORIES, EVENT_DICTIONARY)
+
     def excluded_users(self) -> DataFrame:
         return self.table("supplier").select(_text("s_suppkey", "hashed_coach_id"))
