@@ -28,7 +28,7 @@ from stayline.operators import (
 from stayline.operators.cohort import Cohort
 from stayline.operators.joins import assemble, without_ids
 from stayline.plans import mart, presets
-from stayline.session import configure
+from stayline.session import checkpointed, configure
 from stayline.sources import tables
 from stayline.sources.roles import Roles
 
@@ -98,7 +98,7 @@ QUERIES: dict[str, Query] = {}
 
 def register(build: Callable[[Roles], DataFrame]) -> Callable[[Roles], DataFrame]:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        return build(Roles(configure(spark), root))
+        return frames.ids_as_text(build(Roles(configure(spark), root)))
 
     QUERIES[build.__name__] = run
     return build
@@ -770,7 +770,7 @@ def upsample(r: Roles) -> DataFrame:
 
 def _model_rows(r: Roles, preset: presets.Preset) -> tuple[DataFrame, list[str]]:
     # the plan behind the table is long and every model step reads it again
-    table = _model_table(r).persist()
+    table = checkpointed(_model_table(r))
     return presets.model_frame(table, preset, r.excluded_users())
 
 

@@ -23,7 +23,7 @@ def cohort_members(
     return (
         between_days(users, "first_seen", first_from, first_to)
         .filter(F.col("profile_role") != excluded_role)
-        .select(F.col("external_id").cast("string").alias("teacher"), "first_seen")
+        .select(F.col("external_id").alias("teacher"), "first_seen")
     )
 
 
@@ -199,7 +199,7 @@ def account_later(
         between_days(users, "first_seen", first_from, first_to)
         .filter(F.col("profile_role") != excluded_role)
         .select(
-            F.col("external_id").cast("string").alias("teacher"),
+            F.col("external_id").alias("teacher"),
             account_status(
                 F.col("currently_premium"), F.col("currently_on_trial"), null_trial_is_free
             ).alias("account_status_later"),

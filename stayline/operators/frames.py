@@ -11,6 +11,15 @@ from pyspark.sql import types as T
 from stayline.functions.numbers import is_missing
 
 
+ID_COLUMNS = ("teacher", "user_id", "external_id", "presentation_id")
+
+
+def ids_as_text(df: DataFrame) -> DataFrame:
+    """Cast id columns to text. Meant for the edge: inside, ids keep their own type."""
+    present = [c for c in ID_COLUMNS if c in df.columns]
+    return df.withColumns({c: F.col(c).cast("string") for c in present}) if present else df
+
+
 def drop_where(df: DataFrame, condition: Column) -> DataFrame:
     """Remove rows for which the condition is true; unknown and false rows stay."""
     return df.filter(~F.coalesce(condition, F.lit(False)))

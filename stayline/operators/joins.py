@@ -50,8 +50,12 @@ def lookup_join(
 def without_ids(
     df: DataFrame, key: str, ids: DataFrame, id_column: str, small: bool | None = None
 ) -> DataFrame:
-    """Rows whose key is known and not in the list (``NOT IN`` over non-NULL ids)."""
-    listed = ids.select(F.col(id_column).alias(key)).filter(F.col(key).isNotNull()).distinct()
+    """Rows whose key is known and not in the list (``NOT IN`` over non-NULL ids).
+
+    A list read as text is brought to the key's type; what does not fit matches nothing.
+    """
+    same_type = F.col(id_column).try_cast(df.schema[key].dataType).alias(key)
+    listed = ids.select(same_type).filter(F.col(key).isNotNull()).distinct()
     return lookup_join(df.filter(F.col(key).isNotNull()), listed, [key], "left_anti", small)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators are planned for. A hot user leaves a join in one
 # huge partition; forceOptimizeSkewedJoin lets AQE split it even where the next
@@ -31,7 +33,27 @@ def local_session(app: str, cores: int | str = 8, memory: str = "8g") -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
+        # recording the Python line of every column expression slows plan building down
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute a frame once and cut its lineage, in storage that outlives executors.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
+    session without that setting gets a temporary folder.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+            folder = tempfile.mkdtemp(prefix="stayline-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -1,16 +1,30 @@
 """The star-schema test tables in the roles of the study's tables.
 
 A customer plays a user, an order a presentation, a line item a slide that is shown and
-answered, a supplier a student. ``FIXTURES.md`` has the mapping.
+answered, a supplier a student. ``FIXTURES.md`` has the mapping. Ids stay the numbers the
+tables hold, which join and group faster than text; ``ids_as_text`` turns them into text
+where a result leaves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.sources.schemas import EVENT_DICTIONARY
 
+TEST_TABLES = {
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long",
+    "part": "p_partkey long, p_name string, p_type string",
+    "supplier": "s_suppkey long",
+    "events": "ts timestamp_ntz, user_id long, event_type string",
+    "documents": "doc_id long, n_chars long",
+    "labels": "doc_id long, quality int",
+}
 EVENT_CATEGORIES = [
     ("teacher_event", "click"),
     ("teacher_event", "view"),
@@ -34,19 +48,20 @@ EVENT_CATEGORIES = [
 ]
 
 
-def _text(column: str, name: str) -> Column:
-    return F.col(column).cast("string").alias(name)
-
-
 class Roles:
     """Role views over one directory of test tables."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """One test table; the declared schema spares the scan a look at the file."""
+        if name not in self._tables:
+            reader = self.spark.read.schema(TEST_TABLES[name])
+            self._tables[name] = reader.parquet(f"{self.root}/{name}.parquet")
+        return self._tables[name]
 
     def user_facts_nested(self) -> DataFrame:
         """Users with profile and account details as structs."""
@@ -62,7 +77,7 @@ class Roles:
             self.table("customer")
             .join(seen, "c_custkey", "left")
             .select(
-                _text("c_custkey", "external_id"),
+                F.col("c_custkey").alias("external_id"),
                 "first_seen",
                 F.struct(F.col("c_mktsegment").alias("role")).alias("profile"),
                 "last_presented",
@@ -103,35 +118,35 @@ class Roles:
         if with_type:
             lines = lines.join(self._parts("p_type"), "l_partkey")
         return lines.select(
-            _text("o_custkey", "user_id"),
-            _text("l_orderkey", "presentation_id"),
-            _text("l_partkey", "slide_id"),
+            F.col("o_custkey").alias("user_id"),
+            F.col("l_orderkey").alias("presentation_id"),
+            F.col("l_partkey").alias("slide_id"),
             *([F.col("p_type").alias("slide_type")] if with_type else []),
             F.col("o_orderdate").alias("timestamp"),
         )
 
     def student_responses(self) -> DataFrame:
         return self._lines().join(self._parts("p_name"), "l_partkey").select(
-            _text("o_custkey", "teacher"),
-            _text("l_suppkey", "student"),
-            _text("l_orderkey", "presentation"),
-            _text("l_partkey", "slide"),
+            F.col("o_custkey").alias("teacher"),
+            F.col("l_suppkey").alias("student"),
+            F.col("l_orderkey").alias("presentation"),
+            F.col("l_partkey").alias("slide"),
             F.col("p_name").alias("app"),
             F.col("o_orderdate").alias("timestamp"),
         )
 
     def student_responded(self) -> DataFrame:
         return self._lines().select(
-            _text("o_custkey", "teacher"),
-            _text("l_suppkey", "student"),
-            _text("l_orderkey", "presentation"),
+            F.col("o_custkey").alias("teacher"),
+            F.col("l_suppkey").alias("student"),
+            F.col("l_orderkey").alias("presentation"),
             F.col("o_orderdate").alias("timestamp"),
         )
 
     def launch_presentation(self) -> DataFrame:
         status = F.col("o_orderstatus")
         return self.table("orders").select(
-            _text("o_custkey", "user_id"),
+            F.col("o_custkey").alias("user_id"),
             F.col("o_orderdate").alias("timestamp"),
             F.when(status == "F", "free")
             .when(status == "O", "premium")
@@ -141,14 +156,14 @@ class Roles:
 
     def presenter_button_clicked(self) -> DataFrame:
         return self.table("orders").select(
-            _text("o_custkey", "user_id"),
+            F.col("o_custkey").alias("user_id"),
             F.col("o_orderpriority").alias("button"),
             F.col("o_orderdate").alias("timestamp"),
         )
 
     def app_events(self) -> DataFrame:
         return self.table("events").select(
-            _text("user_id", "user_id"),
+            "user_id",
             F.col("event_type").alias("event"),
             F.col("ts").alias("timestamp"),
         )
@@ -160,14 +175,14 @@ class Roles:
             .groupBy("user_id")
             .agg(F.min("ts").alias("first_seen"))
             .select(
-                _text("user_id", "external_id"), "first_seen", F.lit("teacher").alias("profile_role")
+                F.col("user_id").alias("external_id"), "first_seen", F.lit("teacher").alias("profile_role")
             )
         )
 
     def customer_events(self) -> DataFrame:
         """Events whose users are the customers, so that they meet the other tables."""
         return self.table("orders").select(
-            _text("o_custkey", "user_id"),
+            F.col("o_custkey").alias("user_id"),
             F.col("o_orderpriority").alias("event"),
             F.col("o_orderdate").alias("timestamp"),
         )
@@ -177,4 +192,4 @@ class Roles:
         return self.spark.createDataFrame(EVENT_CATEGORIES, EVENT_DICTIONARY)
 
     def excluded_users(self) -> DataFrame:
-        return self.table("supplier").select(_text("s_suppkey", "hashed_coach_id"))
+        return self.table("supplier").select(F.col("s_suppkey").alias("hashed_coach_id"))
