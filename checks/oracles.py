@@ -356,6 +356,56 @@ ORDER_6 = (
 )
 CORRELATED = ["total_presentations", "total_students", "months_used", "n_testing", "n_low"]
 
+MODEL_CTES = (
+PARTS,
+        _account(True),
+        INITIAL_MART,
+        LATER_MART,
+        PARTICIPATED,
+        _profile("profile", CUSTOMER_INSIDE),
+)
+MODEL_TABLE = f"""SELECT i.teacher, i.first_seen, {_percent("slide_diversity")}, special_app_use,
+  i.account_type_later, i.total_presentations, coalesce(i.total_students, 0) AS total_students,
+  i.total_responses, i.months_used, i.first_month, i.last_month,
+  {_percent("responses_per_presentation")}, i.responses_per_student,
+  {_percent(*[f"share_{b}" for b in BUCKETS_5], "share_valid")}, i.months_spanned,
+  i.months_since_first, i.months_used_share, i.presentations_per_month_used,
+  i.presentations_per_month_spanned, i.presentations_per_month_since,
+  i.status_last AS subscription_initial, i.testing_presentations, i.audience_presentations,
+  i.audience_label, i.usage_label AS usage_label_initial, l.usage_label AS usage_label_later,
+  l.subscription AS subscription_later, l.total_presentations AS presentations_later,
+  CASE WHEN i.total_presentations > 0 AND i.usage_label <> 'Tested Product Only' THEN 1 ELSE 0 END
+    AS used_initial,
+  CASE WHEN l.total_presentations > 0 AND l.usage_label <> 'Tested Product Only' THEN 1 ELSE 0 END
+    AS used_later,
+  CASE WHEN subscription = 'premium' THEN 1 WHEN subscription IS NOT NULL THEN 0 END
+    AS premium_later,
+  CASE WHEN subscription = 'premiumtrial' THEN 1 WHEN subscription IS NOT NULL THEN 0 END
+    AS premiumtrial_later,
+  CASE WHEN subscription = 'free' THEN 1 WHEN subscription IS NOT NULL THEN 0 END AS free_later,
+  coalesce(participated_before, 0) AS participated_before,
+  {_percent(*[f"{c}_prop" for c in CATEGORIES])}
+FROM initial i
+JOIN (SELECT teacher, usage_label, total_presentations,
+     coalesce(status_last, account_status_later) AS subscription FROM later) l
+  USING (teacher)
+LEFT JOIN participated USING (teacher) LEFT JOIN profile USING (teacher)"""
+SCREENED = [
+    "total_presentations",
+    "responses_per_student",
+    "share_testing",
+    "share_low",
+    "share_low_medium",
+    "share_medium",
+    "share_high",
+    "slide_diversity",
+    "teacher_event_prop",
+    "student_event_prop",
+    "before_session_prop",
+    "during_session_prop",
+    "after_session_prop",
+]
+
 ORACLES: dict[str, str] = {
     "scan_limit_sample": _with(
         """SELECT user_id, event AS event_name, ts AS "timestamp" FROM ev
@@ -646,39 +696,20 @@ GROUP BY status_first, status_last""",
         _account(False),
         _mart("initial", "initial", 0, BUCKETS_6, 2, f", {STATUS} AS status_label"),
     ),
-    "model_table": _with(
-        f"""SELECT i.teacher, i.first_seen, {_percent("slide_diversity")}, special_app_use,
-  i.account_type_later, i.total_presentations, coalesce(i.total_students, 0) AS total_students,
-  i.total_responses, i.months_used, i.first_month, i.last_month,
-  {_percent("responses_per_presentation")}, i.responses_per_student,
-  {_percent(*[f"share_{b}" for b in BUCKETS_5], "share_valid")}, i.months_spanned,
-  i.months_since_first, i.months_used_share, i.presentations_per_month_used,
-  i.presentations_per_month_spanned, i.presentations_per_month_since,
-  i.status_last AS subscription_initial, i.testing_presentations, i.audience_presentations,
-  i.audience_label, i.usage_label AS usage_label_initial, l.usage_label AS usage_label_later,
-  l.subscription AS subscription_later, l.total_presentations AS presentations_later,
-  CASE WHEN i.total_presentations > 0 AND i.usage_label <> 'Tested Product Only' THEN 1 ELSE 0 END
-    AS used_initial,
-  CASE WHEN l.total_presentations > 0 AND l.usage_label <> 'Tested Product Only' THEN 1 ELSE 0 END
-    AS used_later,
-  CASE WHEN subscription = 'premium' THEN 1 WHEN subscription IS NOT NULL THEN 0 END
-    AS premium_later,
-  CASE WHEN subscription = 'premiumtrial' THEN 1 WHEN subscription IS NOT NULL THEN 0 END
-    AS premiumtrial_later,
-  CASE WHEN subscription = 'free' THEN 1 WHEN subscription IS NOT NULL THEN 0 END AS free_later,
-  coalesce(participated_before, 0) AS participated_before,
-  {_percent(*[f"{c}_prop" for c in CATEGORIES])}
-FROM initial i
-JOIN (SELECT teacher, usage_label, total_presentations,
-             coalesce(status_last, account_status_later) AS subscription FROM later) l
-  USING (teacher)
-LEFT JOIN participated USING (teacher) LEFT JOIN profile USING (teacher)""",
-        PARTS,
-        _account(True),
-        INITIAL_MART,
-        LATER_MART,
-        PARTICIPATED,
-        _profile("profile", CUSTOMER_INSIDE),
+    "model_table": _with(MODEL_TABLE, *MODEL_CTES),
+    "correlation_screen": _with(
+        " UNION ALL ".join(
+            f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM screened"
+            for a in SCREENED
+            for b in SCREENED
+        ),
+        *MODEL_CTES,
+        f"""screened AS (
+  SELECT * FROM ({MODEL_TABLE})
+  WHERE premiumtrial_later IS DISTINCT FROM 1 AND usage_label_initial = 'Used Product'
+    AND teacher NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)
+    AND subscription_later IS NOT NULL AND slide_diversity IS NOT NULL
+    AND teacher_event_prop IS NOT NULL)""",
     ),
     "count_by_label": _with(
         f"""SELECT {LABEL_6} AS label, {ORDER_6} AS position, count(*) AS total

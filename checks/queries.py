@@ -360,9 +360,7 @@ def monthly_activity(r: Roles) -> DataFrame:
 
 @register
 def active_with_min_presentations(r: Roles) -> DataFrame:
-    active = retention.active_in_months(
-        retention.monthly_activity(r.student_responded()), START_MONTHS
-    )
+    active = retention.active_in_months(r.student_responded(), START_MONTHS)
     often = retention.presentations_per_user(r.student_responded(), START_MONTHS, more_than=1)
     return active.join(often, "user_id")
 
@@ -735,6 +733,12 @@ def correlation_long(r: Roles) -> DataFrame:
     return frames.correlations(kept, columns).withColumn("r", F.round("r", 6))
 
 
+@register
+def correlation_screen(r: Roles) -> DataFrame:
+    rows, numeric = presets.screening_frame(_model_table(r), r.excluded_users())
+    return frames.correlations(rows, numeric).withColumn("r", F.round("r", 6))
+
+
 def _labelled_documents(r: Roles) -> DataFrame:
     return r.table("labels").join(r.table("documents").select("doc_id", "n_chars"), "doc_id")
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from stayline.functions.periods import Period, between_days, year_month
 from stayline.operators.cohort import Cohort, in_periods
-from stayline.operators.joins import lookup_join, without_ids
+from stayline.operators.joins import SALT, repeated, salted, without_ids
+
+# A slide is answered by a class of students, so repeating the slides costs little.
+SLIDE_SALTS = 8
 
 
 def _count_sessions(
@@ -18,21 +21,20 @@ def _count_sessions(
 ) -> DataFrame:
     """Presentations, distinct students and responses per ``grain``.
 
-    ``shown`` has one row per slide shown with ``n_shown``, ``answered`` one row per
-    student with ``n_answers``; both are already reduced, so the join moves no repeated
-    rows. The student level is kept through one more grouping, which spreads a large
-    session over many tasks; the last grouping only adds up per-task partial counts.
+    ``shown`` has one row per slide shown with ``n_shown``, ``answered`` one row per slide
+    and student with ``n_answers``; both are already reduced, so the join moves no
+    repeated rows. Students of one slide are spread over salts; the slide is repeated
+    for each, and a repeat that meets no student adds nothing. The student level is kept
+    through one more grouping, so that a large session is counted by many tasks; the
+    last grouping only adds up their partial counts.
     """
+    level = list(dict.fromkeys([*grain, "presentation_id", "student"]))
+    responses = F.when(F.col("student").isNotNull(), F.col("n_shown") * F.col("n_answers"))
     per_student = (
-        shown.join(answered, match, "left")
-        .groupBy(*dict.fromkeys([*grain, "presentation_id", "student"]))
-        .agg(
-            F.sum(
-                F.when(F.col("student").isNotNull(), F.col("n_shown") * F.col("n_answers")).otherwise(
-                    F.lit(0)
-                )
-            ).alias("n_responses")
-        )
+        repeated(shown, SLIDE_SALTS)
+        .join(salted(answered, ["student"], SLIDE_SALTS), [*match, SALT], "left")
+        .groupBy(*level)
+        .agg(F.coalesce(F.sum(responses), F.lit(0)).alias("n_responses"))
     )
     if "presentation_id" in grain:
         presentations = F.max(F.col("presentation_id").isNotNull().cast("long"))

@@ -106,25 +106,28 @@ def participated_before_presenting(
 ) -> DataFrame:
     """Presenters who took part as a student before they first presented.
 
-    The same table gives both first times: by presenter and by participant.
+    Every row counts for two ids, its presenter and its participant, so one scan and one
+    grouping give both first times without a join.
     """
-    presenters = responded.groupBy("teacher").agg(F.min("timestamp").alias("first_as_teacher"))
-    students = responded.groupBy(F.col("student").alias("teacher")).agg(
-        F.min("timestamp").alias("first_as_student")
+    time = F.col("timestamp")
+    unknown = F.lit(None).cast(responded.schema["timestamp"].dataType)
+    sides = F.array(
+        F.struct(
+            F.col("teacher").alias("teacher"), time.alias("taught"), unknown.alias("took_part")
+        ),
+        F.struct(
+            F.col("student").alias("teacher"), unknown.alias("taught"), time.alias("took_part")
+        ),
     )
-    kept = (
-        users.filter(F.col("profile_role") != excluded_role)
-        .select(F.col("external_id").alias("teacher"))
-        .distinct()
-    )
-    return (
-        presenters.join(students, "teacher")
+    first_times = (
+        responded.select(F.inline(sides))
+        .groupBy("teacher")
+        .agg(F.min("took_part").alias("first_as_student"), F.min("taught").alias("first_as_teacher"))
         .filter(F.col("first_as_student") < F.col("first_as_teacher"))
-        .join(kept, "teacher", "left_semi")
-        .select(
-            "teacher",
-            "first_as_student",
-            "first_as_teacher",
-            F.lit(1).alias("participated_before"),
-        )
+    )
+    kept = users.filter(F.col("profile_role") != excluded_role).select(
+        F.col("external_id").alias("teacher")
+    )
+    return first_times.join(kept, "teacher", "left_semi").withColumn(
+        "participated_before", F.lit(1)
     )

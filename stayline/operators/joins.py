@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # broadcast of this many rows stays near 100 MB.
 BROADCAST_ROWS = 1_000_000
 SALTS = 16
+SALT = "_salt"
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -19,6 +20,16 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.count() <= rows
 
 
+def salted(df: DataFrame, columns: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """Add a salt from a hash of the columns, which is the same on a retried task."""
+    return df.withColumn(SALT, F.pmod(F.xxhash64(*columns), F.lit(salts).cast("long")))
+
+
+def repeated(df: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Every row once per salt."""
+    return df.withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1))))
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -31,9 +42,8 @@ def lookup_join(
 
     A lookup known or counted to be small is broadcast, so the facts do not move.
     Otherwise both sides are shuffled on the key plus a salt: the facts' salt is a
-    hash of their other columns (the same on a retried task), the lookup is repeated
-    once per salt. A key holding a third of the facts is then spread over ``salts``
-    tasks.
+    hash of their other columns, the lookup is repeated once per salt. A key holding a
+    third of the facts is then spread over ``salts`` tasks.
     """
     on = list(on)
     if fits_broadcast(lookup) if small is None else small:
@@ -41,10 +51,7 @@ def lookup_join(
     others = [c for c in facts.columns if c not in on]
     if not others:
         return facts.join(lookup, on, how)
-    count = F.lit(salts).cast("long")
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*others), count))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), count - 1)))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return salted(facts, others, salts).join(repeated(lookup, salts), [*on, SALT], how).drop(SALT)
 
 
 def without_ids(

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.numbers import ratio
@@ -64,15 +64,19 @@ def pick_split(df: DataFrame, validate: bool) -> tuple[DataFrame, DataFrame]:
 
 
 def class_balance(df: DataFrame, label: str, split: str = "split") -> DataFrame:
-    """Rows and share per class, for all rows and for every split."""
-    parts = df.select(
-        F.col(label).alias("label"), F.explode(F.array(F.lit("all"), F.col(split))).alias("part")
-    )
-    counts = parts.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("part").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "part").select(
-        "part", "label", "n", ratio(F.col("n"), F.col("total")).alias("share")
+    """Rows and share per class, for all rows and for every split.
+
+    The window runs over the counts, one row per class.
+    """
+    counts = (
+        df.select(
+            F.col(label).alias("label"), F.explode(F.array(F.lit("all"), split)).alias("part")
+        )
+        .groupBy("part", "label")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    total = F.sum("n").over(Window.partitionBy("part"))
+    return counts.withColumn("share", ratio(F.col("n"), total))
 
 
 def upsample(df: DataFrame, label: str, key: str, seed: int = 1234) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayline.session import checkpointed
+
 
 def hash_rank(
     df: DataFrame, group: str, key: str, seed: int, bits: int = 12
@@ -51,9 +53,11 @@ def running_totals(
     ``order`` must be unique. Cut points taken from approximate quantiles split the rows
     into ranges of similar size; each range is summed by itself and shifted by the
     totals of the ranges before it. The totals are one row per range, bounded by the
-    number of shuffle partitions.
+    number of shuffle partitions. The input is read three times and therefore
+    checkpointed first.
     """
     spark = df.sparkSession
+    df = checkpointed(df)
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts)
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
@@ -92,8 +96,8 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
         .agg(F.count(F.lit(1)).alias("n"))
     )
     cumulated = running_totals(counts, "value", ["n"])
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if total == 0:
+    total = cumulated.agg(F.max("all_n")).first()[0]
+    if total is None:
         return []
     picks = []
     for p in probabilities:

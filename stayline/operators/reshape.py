@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.numbers import ratio
 from stayline.operators.joins import fits_broadcast
+from stayline.session import checkpointed
 
 MAX_LEVELS = 1000
 
@@ -21,9 +22,11 @@ def share_within(
     """Add each group's ``total`` and the row's share of it.
 
     The totals are a grouping joined back on the key (NULL is a group of its own), not
-    a window, so no group is gathered in one task. ``small`` says whether the totals
-    may be broadcast; when it is not given they are counted.
+    a window, so no group is gathered in one task. The rows, usually counts, are read
+    again for the totals and therefore checkpointed first. ``small`` says whether the
+    totals may be broadcast; when it is not given they are counted.
     """
+    df = checkpointed(df)
     totals = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum(value).alias("total"))
     if fits_broadcast(totals) if small is None else small:
         totals = F.broadcast(totals)

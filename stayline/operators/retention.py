@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.numbers import ratio
-from stayline.functions.periods import month_start, timestamp_bound
+from stayline.functions.periods import (
+    between_days,
+    month_start,
+    shift_months,
+    timestamp_bound,
+)
 
 
 def monthly_activity(responded: DataFrame) -> DataFrame:
@@ -22,9 +27,15 @@ def _month_in(month: Column, span: tuple[date, date]) -> Column:
     return month.between(F.lit(span[0]), F.lit(span[1]))
 
 
-def active_in_months(activity: DataFrame, span: tuple[date, date]) -> DataFrame:
-    """Activity whose month starts inside the span, both ends included."""
-    return activity.filter(_month_in(F.col("month"), span))
+def _around(responded: DataFrame, first: date, last: date) -> DataFrame:
+    """Rows of the months from ``first`` to ``last``, as a range of days for the scan."""
+    end = shift_months(last.replace(day=1), 1) - timedelta(1)
+    return between_days(responded, "timestamp", first.replace(day=1), end)
+
+
+def active_in_months(responded: DataFrame, span: tuple[date, date]) -> DataFrame:
+    """Monthly activity whose month starts inside the span, both ends included."""
+    return monthly_activity(_around(responded, *span)).filter(_month_in(F.col("month"), span))
 
 
 def presentations_per_user(
@@ -59,10 +70,7 @@ def churn_retention(
     month = month_start(F.to_date("timestamp"))
     early, late = _month_in(month, start_months), _month_in(month, end_months)
     low, high = min(start_months[0], end_months[0]), max(start_months[1], end_months[1])
-    seen = responded.filter(
-        (F.col("timestamp") >= timestamp_bound(responded, "timestamp", low.replace(day=1)))
-        & _month_in(month, (low, high))
-    ).select(
+    seen = _around(responded, low, high).select(
         F.col("teacher").alias("user_id"),
         early.alias("early"),
         late.alias("late"),

@@ -13,6 +13,7 @@ from stayline.operators.frames import complete_cases, drop_where
 from stayline.operators.joins import without_ids
 from stayline.operators.prep import pick_split, quantile_strata, stratified_split, upsample
 from stayline.operators.reshape import label_last
+from stayline.session import checkpointed
 
 # The columns of the model table the models choose from.
 PREDICTORS = (
@@ -179,7 +180,26 @@ def split_frame(
     stratum = "label"
     if preset.family == "gaussian":
         frame, stratum = quantile_strata(frame, "label"), "stratum"
-    train, held_out = pick_split(stratified_split(frame, stratum, "teacher", seed), validate)
+    # read several times: by the up-sampling, by every fit, and once more for scoring
+    split = checkpointed(stratified_split(frame, stratum, "teacher", seed))
+    train, held_out = pick_split(split, validate)
     if preset.balance:
         train = upsample(train, "label", "teacher", seed)
     return train, held_out
+
+
+def screening_frame(
+    table: DataFrame, excluded: DataFrame, by_later_usage: bool = False
+) -> tuple[DataFrame, list[str]]:
+    """Complete rows of the numeric predictors, for looking at their correlations.
+
+    Users who only tested are left out by their initial usage, or by their later usage.
+    """
+    preset = Preset(
+        "screening",
+        None,
+        drop_initial=(NEVER_USED,) if by_later_usage else (NEVER_USED, TESTED_ONLY),
+        drop_later=(TESTED_ONLY,) if by_later_usage else (),
+    )
+    numeric = [p for p in PREDICTORS if p not in BINARY and p not in CATEGORICAL_LEVELS]
+    return model_rows(table, preset, excluded).select("teacher", *numeric), numeric
