@@ -699,7 +699,8 @@ GROUP BY status_first, status_last""",
     "model_table": _with(MODEL_TABLE, *MODEL_CTES),
     "correlation_screen": _with(
         " UNION ALL ".join(
-            f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM screened"
+            f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN stddev_pop({a}) > 0 AND "
+            f"stddev_pop({b}) > 0 THEN round(corr({a}, {b}), 6) END AS r FROM screened"
             for a in SCREENED
             for b in SCREENED
         ),
@@ -793,7 +794,8 @@ FROM labelled""",
     ),
     "correlation_long": _with(
         " UNION ALL ".join(
-            f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM kept"
+            f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN stddev_pop({a}) > 0 AND "
+            f"stddev_pop({b}) > 0 THEN round(corr({a}, {b}), 6) END AS r FROM kept"
             for a in CORRELATED
             for b in CORRELATED
         ),

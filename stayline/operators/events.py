@@ -29,14 +29,17 @@ def event_profile(
     The dictionary becomes one row per event with a 0/1 flag per category, so matching
     repeats no event row, and counts add up before anything is shuffled.
     """
+    marks = {f"_c{i}": category for i, category in enumerate(categories)}
     flags = dictionary.groupBy("event").agg(
-        *[F.max((F.col("category") == c).cast("long")).alias(c) for c in categories]
+        *[F.max((F.col("category") == c).cast("long")).alias(mark) for mark, c in marks.items()]
     )
     inside = in_periods(events.select("user_id", "event", "timestamp"), "user_id", cohort, [period])
     counts = (
         lookup_join(inside.select("teacher", "event"), flags, ["event"], "left")
         .groupBy("teacher")
-        .agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in categories])
+        .agg(*[F.sum(F.coalesce(F.col(m), F.lit(0))).alias(m) for m in marks])
+    )
+    total = row_sum([F.col(m) for m in marks])
+    return counts.select(
+        "teacher", *[ratio(F.col(m), total).alias(f"{c}_prop") for m, c in marks.items()]
     )
-    total = row_sum([F.col(c) for c in categories])
-    return counts.select("teacher", *[ratio(F.col(c), total).alias(f"{c}_prop") for c in categories])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayline.functions.numbers import is_missing
+from stayline.functions.numbers import is_missing, ratio
 
 
 ID_COLUMNS = ("teacher", "user_id", "external_id", "presentation_id")
@@ -67,16 +67,24 @@ def low_engagement(sessions: DataFrame, at_most: int = 1) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns as rows (a, b, r), in one pass."""
+    """Pearson correlation of every pair of columns as rows (a, b, r), in one pass.
+
+    Expects complete rows. A column without variation has NULL correlations.
+    """
+    x = {c: F.col(c).cast("double") for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     one = df.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}")
-          for i, (a, b) in enumerate(pairs)]
+        *[F.covar_pop(x[a], x[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
+        *[F.stddev_pop(x[c]).alias(f"s{i}") for i, c in enumerate(columns)],
     )
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(
-                F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"r{i}").alias("r"))
-            )
+    deviation = {c: F.col(f"s{i}") for i, c in enumerate(columns)}
+    cells = [
+        F.struct(
+            F.lit(left).alias("a"),
+            F.lit(right).alias("b"),
+            ratio(F.col(f"c{i}"), deviation[a] * deviation[b]).alias("r"),
+        )
+        for i, (a, b) in enumerate(pairs)
+        for left, right in sorted({(a, b), (b, a)})
+    ]
     return one.select(F.inline(F.array(*cells)))

@@ -40,8 +40,9 @@ def hash_rank(
     return (
         sliced.withColumn("_row", in_slice)
         .join(offsets, [group, "_slice"])
-        .withColumn("rank", F.col("_before") + F.col("_row") - 1)
-        .drop("_h", "_slice", "_row", "_before")
+        .select(
+            *df.columns, (F.col("_before") + F.col("_row") - 1).alias("rank"), "group_size"
+        )
     )
 
 
@@ -60,7 +61,7 @@ def running_totals(
     df = checkpointed(df)
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol=order, outputCol="_range").transform(df)
 
     def before(column: str) -> Column:
