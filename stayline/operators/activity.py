@@ -13,7 +13,7 @@ from stayline.operators.cohort import Cohort, in_periods
 from stayline.operators.joins import SALT, repeated, salted, without_ids
 
 # A slide is answered by a class of students, so repeating the slides costs little.
-SLIDE_SALTS = 8
+SLIDE_SALTS = 1
 
 
 def _count_sessions(
@@ -23,16 +23,17 @@ def _count_sessions(
 
     ``shown`` has one row per slide shown with ``n_shown``, ``answered`` one row per slide
     and student with ``n_answers``; both are already reduced, so the join moves no
-    repeated rows. Students of one slide are spread over salts; the slide is repeated
-    for each, and a repeat that meets no student adds nothing. The student level is kept
-    through one more grouping, so that a large session is counted by many tasks; the
-    last grouping only adds up their partial counts.
+    repeated rows. Students of one slide are spread over salts and the slide is repeated
+    for each; of the repeats that meet nobody only the first is kept, for the session
+    itself. The student level is kept through one more grouping, so that a large session
+    is counted by many tasks; the last grouping only adds up their partial counts.
     """
     level = list(dict.fromkeys([*grain, "presentation_id", "student"]))
     responses = F.when(F.col("student").isNotNull(), F.col("n_shown") * F.col("n_answers"))
     per_student = (
         repeated(shown, SLIDE_SALTS)
         .join(salted(answered, ["student"], SLIDE_SALTS), [*match, SALT], "left")
+        .filter(F.col("student").isNotNull() | (F.col(SALT) == 0))
         .groupBy(*level)
         .agg(F.coalesce(F.sum(responses), F.lit(0)).alias("n_responses"))
     )
@@ -63,10 +64,11 @@ def sessions(
     hour; slides shown without an id match no response. ``by_presentation=False`` drops
     the presentation from the grain.
     """
-    # a lone period would be a constant in the keys, which costs the join a second shuffle
+    # a lone period would be a constant in the keys, which costs the join a second shuffle;
+    # keys with many values come first, because the join sorts by them
     tag = ["period"] if len(periods) > 1 else []
-    when = [*tag, "teacher", "date", "hour"]
-    match = [*when, "presentation_id", "slide_id"]
+    when = ["teacher", "date", "hour", *tag]
+    match = ["presentation_id", "slide_id", *when]
     shown = (
         in_periods(
             slides.select("user_id", "presentation_id", "slide_id", "timestamp"),

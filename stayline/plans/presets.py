@@ -180,11 +180,12 @@ def split_frame(
     stratum = "label"
     if preset.family == "gaussian":
         frame, stratum = quantile_strata(frame, "label"), "stratum"
-    # read several times: by the up-sampling, by every fit, and once more for scoring
+    # the split is read by the up-sampling and for scoring, the training rows by every fit;
+    # a checkpoint also settles them in as many partitions as their size needs
     split = checkpointed(stratified_split(frame, stratum, "teacher", seed))
     train, held_out = pick_split(split, validate)
     if preset.balance:
-        train = upsample(train, "label", "teacher", seed)
+        train = checkpointed(upsample(train, "label", "teacher", seed))
     return train, held_out
 
 
