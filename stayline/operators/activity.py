@@ -10,32 +10,93 @@ from pyspark.sql import functions as F
 
 from stayline.functions.periods import Period, between_days, year_month
 from stayline.operators.cohort import Cohort, in_periods
-from stayline.operators.joins import SALT, repeated, salted, without_ids
+from stayline.operators.joins import without_ids
+from stayline.session import checkpointed
 
-# A slide is answered by a class of students, so repeating the slides costs little.
-SLIDE_SALTS = 1
+# Where a response belongs to a slide, apart from the period. Keys with many values come
+# first, because joins sort by them in this order.
+SLIDE_KEYS = ("presentation_id", "slide_id", "teacher", "date", "hour")
 
 
-def _count_sessions(
-    shown: DataFrame, answered: DataFrame, match: list[str], grain: list[str]
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumn("date", F.to_date("timestamp")).withColumn("hour", F.hour("timestamp"))
+
+
+def _slide_columns(responses: DataFrame, *more: str) -> DataFrame:
+    """Responses under the column names of the slides."""
+    return responses.select(
+        "teacher",
+        F.col("presentation").alias("presentation_id"),
+        F.col("slide").alias("slide_id"),
+        "student",
+        "timestamp",
+        *more,
+    )
+
+
+def shown_slides(
+    slides: DataFrame, cohort: Cohort, periods: Sequence[Period], with_type: bool = False
+) -> DataFrame:
+    """Slides shown by members, one row per slide, date and hour of a period.
+
+    ``n_shown`` counts the showings. ``with_type`` keeps rows of different slide types
+    apart.
+    """
+    kind = ["slide_type"] if with_type else []
+    columns = ["user_id", "presentation_id", "slide_id", *kind, "timestamp"]
+    inside = in_periods(slides.select(*columns), "user_id", cohort, periods)
+    return (
+        _dated(inside)
+        .groupBy(*SLIDE_KEYS, "period", *kind)
+        .agg(F.count(F.lit(1)).alias("n_shown"))
+    )
+
+
+def given_answers(
+    responses: DataFrame, cohort: Cohort, periods: Sequence[Period], special_app: str
+) -> DataFrame:
+    """Responses to members' slides, one row per slide, student, date and hour of a period.
+
+    ``special`` tells responses through a matching app from the others; responses
+    through an unknown app are neither and are left out. ``n_answers`` counts them.
+    """
+    known = responses.filter(F.col("app").isNotNull()).withColumn(
+        "special", F.col("app").like(special_app)
+    )
+    inside = in_periods(_slide_columns(known, "special"), "teacher", cohort, periods)
+    return (
+        _dated(inside)
+        .groupBy(*SLIDE_KEYS, "period", "student", "special")
+        .agg(F.count(F.lit(1)).alias("n_answers"))
+    )
+
+
+def count_sessions(
+    shown: DataFrame, answered: DataFrame, match: Sequence[str], grain: Sequence[str]
 ) -> DataFrame:
     """Presentations, distinct students and responses per ``grain``.
 
-    ``shown`` has one row per slide shown with ``n_shown``, ``answered`` one row per slide
-    and student with ``n_answers``; both are already reduced, so the join moves no
-    repeated rows. Students of one slide are spread over salts and the slide is repeated
-    for each; of the repeats that meet nobody only the first is kept, for the session
-    itself. The student level is kept through one more grouping, so that a large session
-    is counted by many tasks; the last grouping only adds up their partial counts.
+    ``shown`` has one row per slide shown with ``n_shown`` and is read twice, so it
+    should be checkpointed; ``answered`` has one row per slide and student with
+    ``n_answers``. Both are already reduced, so the join moves no repeated rows. It is
+    an inner join, whose student side the adaptive skew join can split when one slide
+    has very many students; slides nobody answered come in through the union. The
+    student level is kept through one more grouping, so that a large session is counted
+    by many tasks; the last grouping only adds up their partial counts.
     """
-    level = list(dict.fromkeys([*grain, "presentation_id", "student"]))
+    level = list(dict.fromkeys([*grain, "presentation_id"]))
+    nobody = F.lit(None).cast(answered.schema["student"].dataType)
     responses = F.when(F.col("student").isNotNull(), F.col("n_shown") * F.col("n_answers"))
+    unanswered = shown.select(
+        *level, nobody.alias("student"), F.lit(0).cast("long").alias("n_responses")
+    )
+    met = shown.join(answered, list(match)).select(
+        *level, "student", responses.alias("n_responses")
+    )
     per_student = (
-        repeated(shown, SLIDE_SALTS)
-        .join(salted(answered, ["student"], SLIDE_SALTS), [*match, SALT], "left")
-        .filter(F.col("student").isNotNull() | (F.col(SALT) == 0))
-        .groupBy(*level)
-        .agg(F.coalesce(F.sum(responses), F.lit(0)).alias("n_responses"))
+        unanswered.unionByName(met)
+        .groupBy(*level, "student")
+        .agg(F.coalesce(F.sum("n_responses"), F.lit(0)).alias("n_responses"))
     )
     if "presentation_id" in grain:
         presentations = F.max(F.col("presentation_id").isNotNull().cast("long"))
@@ -50,6 +111,21 @@ def _count_sessions(
     )
 
 
+def sessions_of(shown: DataFrame, answers: DataFrame, by_presentation: bool = True) -> DataFrame:
+    """Sessions from checkpointed ``shown_slides`` and from ``given_answers``."""
+    match = [*SLIDE_KEYS, "period"]
+    grain = ["teacher", "date", "hour", "period"]
+    slides = shown.groupBy(*match).agg(F.sum("n_shown").alias("n_shown"))
+    others = answers.filter(~F.col("special")).drop("special")
+    counted = count_sessions(
+        slides if "slide_type" in shown.columns else shown,
+        others,
+        match,
+        [*grain, "presentation_id"] if by_presentation else grain,
+    )
+    return counted.withColumn("year_month", year_month(F.col("date")))
+
+
 def sessions(
     slides: DataFrame,
     responses: DataFrame,
@@ -64,44 +140,11 @@ def sessions(
     hour; slides shown without an id match no response. ``by_presentation=False`` drops
     the presentation from the grain.
     """
-    # a lone period would be a constant in the keys, which costs the join a second shuffle;
-    # keys with many values come first, because the join sorts by them
-    tag = ["period"] if len(periods) > 1 else []
-    when = ["teacher", "date", "hour", *tag]
-    match = ["presentation_id", "slide_id", *when]
-    shown = (
-        in_periods(
-            slides.select("user_id", "presentation_id", "slide_id", "timestamp"),
-            "user_id",
-            cohort,
-            periods,
-        )
-        .withColumn("hour", F.hour("timestamp"))
-        .groupBy(*match)
-        .agg(F.count(F.lit(1)).alias("n_shown"))
-    )
-    answered = (
-        in_periods(
-            responses.filter(~F.col("app").like(app_not_like)).select(
-                "teacher",
-                F.col("presentation").alias("presentation_id"),
-                F.col("slide").alias("slide_id"),
-                "student",
-                "timestamp",
-            ),
-            "teacher",
-            cohort,
-            periods,
-        )
-        .withColumn("hour", F.hour("timestamp"))
-        .groupBy(*match, "student")
-        .agg(F.count(F.lit(1)).alias("n_answers"))
+    shown = checkpointed(shown_slides(slides, cohort, periods))
+    other_apps = responses.filter(~F.col("app").like(app_not_like))
+    return sessions_of(
+        shown, given_answers(other_apps, cohort, periods, app_not_like), by_presentation
     )
-    grain = [*when, "presentation_id"] if by_presentation else when
-    counted = _count_sessions(shown, answered, match, grain)
-    if not tag:
-        counted = counted.withColumn("period", F.lit(periods[0].name))
-    return counted.withColumn("year_month", year_month(F.col("date")))
 
 
 def sessions_in_range(
@@ -118,57 +161,47 @@ def sessions_in_range(
     Responses meet slides by slide, presentation, date and hour only.
     """
     recent = users.filter(F.to_date("first_seen") >= F.lit(recent_from)).select("external_id")
-    match = ["presentation_id", "slide_id", "date", "hour"]
+    match = [k for k in SLIDE_KEYS if k != "teacher"]
 
-    def dated(df: DataFrame, user: str) -> DataFrame:
-        return (
-            without_ids(between_days(df, "timestamp", first, last), user, recent, "external_id")
-            .withColumn("date", F.to_date("timestamp"))
-            .withColumn("hour", F.hour("timestamp"))
-        )
+    def kept(df: DataFrame) -> DataFrame:
+        ranged = between_days(df, "timestamp", first, last)
+        return _dated(without_ids(ranged, "teacher", recent, "external_id"))
 
+    columns = ["presentation_id", "slide_id", "timestamp"]
     shown = (
-        dated(slides.select("user_id", "presentation_id", "slide_id", "timestamp"), "user_id")
-        .withColumnRenamed("user_id", "teacher")
+        kept(slides.select(F.col("user_id").alias("teacher"), *columns))
         .groupBy("teacher", *match)
         .agg(F.count(F.lit(1)).alias("n_shown"))
     )
     answered = (
-        dated(
-            responses.filter(~F.col("app").like(app_not_like)).select(
-                "teacher",
-                F.col("presentation").alias("presentation_id"),
-                F.col("slide").alias("slide_id"),
-                "student",
-                "timestamp",
-            ),
-            "teacher",
-        )
+        kept(_slide_columns(responses.filter(~F.col("app").like(app_not_like))))
         .groupBy(*match, "student")
         .agg(F.count(F.lit(1)).alias("n_answers"))
     )
-    return _count_sessions(shown, answered, match, ["teacher", "date", "hour"]).drop(
-        "num_responses"
+    return count_sessions(
+        checkpointed(shown), answered, match, ["teacher", "date", "hour"]
+    ).drop("num_responses")
+
+
+def type_counts_of(shown: DataFrame) -> DataFrame:
+    """Slides per member and type from ``shown_slides`` with types."""
+    return shown.groupBy("period", "teacher", "slide_type").agg(
+        F.count(F.lit(1)).alias("slide_type_count")
     )
 
 
-def slide_type_counts(
-    slides: DataFrame, cohort: Cohort, periods: Sequence[Period]
-) -> DataFrame:
+def slide_type_counts(slides: DataFrame, cohort: Cohort, periods: Sequence[Period]) -> DataFrame:
     """Slides shown per member and type, a slide counting once per date and hour."""
-    grain = ["period", "teacher", "presentation_id", "slide_id", "slide_type", "date", "hour"]
+    return type_counts_of(shown_slides(slides, cohort, periods, with_type=True))
+
+
+def special_use_of(answers: DataFrame, period: Period) -> DataFrame:
+    """Uses of the special app in one period from ``given_answers``."""
     return (
-        in_periods(
-            slides.select("user_id", "presentation_id", "slide_id", "slide_type", "timestamp"),
-            "user_id",
-            cohort,
-            periods,
-        )
-        .withColumn("hour", F.hour("timestamp"))
-        .select(*grain)
-        .distinct()
-        .groupBy("period", "teacher", "slide_type")
-        .agg(F.count(F.lit(1)).alias("slide_type_count"))
+        answers.filter(F.col("special") & (F.col("period") == period.name))
+        .groupBy("teacher")
+        .agg(F.sum("n_answers").alias("num_uses"))
+        .withColumn("special_app_use", F.lit(1))
     )
 
 

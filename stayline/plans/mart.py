@@ -18,7 +18,13 @@ from stayline.functions.labels import (
 )
 from stayline.functions.numbers import flag
 from stayline.functions.periods import Period
-from stayline.operators.activity import sessions, slide_type_counts, special_app_use
+from stayline.operators.activity import (
+    given_answers,
+    sessions_of,
+    shown_slides,
+    special_use_of,
+    type_counts_of,
+)
 from stayline.operators.cohort import Cohort, account_later, first_last_status
 from stayline.operators.features import (
     audience,
@@ -30,6 +36,7 @@ from stayline.operators.features import (
 )
 from stayline.operators.frames import scale
 from stayline.operators.joins import assemble
+from stayline.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -72,10 +79,15 @@ def feature_mart(
     """Features of every cohort member for every period of the study.
 
     Members without activity keep their row. Slide diversity and the special app
-    describe the initial period in all rows. Each event table is read once for all
-    periods, apart from the response scan of the special app.
+    describe the initial period in all rows.
+
+    Each event table is scanned once, for all periods and all features. What is left of
+    slides and responses inside the members' windows, reduced to one row per slide and
+    per student, is checkpointed; everything after works on that.
     """
-    counted = sessions(slides, responses, cohort, study.usage, study.special_app)
+    shown = checkpointed(shown_slides(slides, cohort, study.usage, with_type=True))
+    answers = checkpointed(given_answers(responses, cohort, study.usage, study.special_app))
+    counted = sessions_of(shown, answers)
     months = month_totals(counted, study.buckets)
     totals = usage_span(
         bucket_shares(user_totals(months, study.buckets), study.buckets, study.share_digits),
@@ -84,8 +96,9 @@ def feature_mart(
     statuses = first_last_status(launches, cohort, study.status).drop(
         "first_launch", "last_launch"
     )
-    diversity = slide_diversity(slide_type_counts(slides, cohort, [study.initial]))
-    special = special_app_use(responses, cohort, study.initial, study.special_app).drop("num_uses")
+    initially = F.col("period") == study.initial.name
+    diversity = slide_diversity(type_counts_of(shown.filter(initially)))
+    special = special_use_of(answers, study.initial).drop("num_uses")
     account = account_later(
         users,
         study.first_from,

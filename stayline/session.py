@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,8 +45,9 @@ def local_session(app: str, cores: int | str = 8, memory: str = "8g") -> SparkSe
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute a frame once and cut its lineage, in storage that outlives executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary folder.
+    The rows are written as a table, so later reads take only the columns they need, to
+    the folder the cluster names in ``spark.checkpoint.dir``. Only a local session
+    without that setting gets a temporary folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -56,4 +58,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a shared folder")
             folder = tempfile.mkdtemp(prefix="stayline-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
