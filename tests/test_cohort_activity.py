@@ -130,16 +130,16 @@ SLIDES = [
     ("c", "p4", "s1", "draw", "2019-08-11T09:30"),
 ]
 RESPONSES = [
-    ("a", "x", "p1", "s1", "pear", "2018-08-06T09:06"),
-    ("a", "x", "p1", "s1", "pear", "2018-08-06T09:07"),
-    ("a", "y", "p1", "s1", "pear", "2018-08-06T09:07"),
-    ("a", "x", "p1", "s2", "pear", "2018-08-06T09:12"),
-    ("a", None, "p1", "s2", "pear", "2018-08-06T09:12"),
-    ("a", "z", "p1", None, "pear", "2018-08-06T09:12"),  # NULL slide matches nothing
+    ("a", "x", "p1", "s1", "web", "2018-08-06T09:06"),
+    ("a", "x", "p1", "s1", "web", "2018-08-06T09:07"),
+    ("a", "y", "p1", "s1", "web", "2018-08-06T09:07"),
+    ("a", "x", "p1", "s2", "web", "2018-08-06T09:12"),
+    ("a", None, "p1", "s2", "web", "2018-08-06T09:12"),
+    ("a", "z", "p1", None, "web", "2018-08-06T09:12"),  # NULL slide matches nothing
     ("a", "w", "p1", "s1", "a flash app", "2018-08-06T09:12"),  # special app
     ("a", "v", "p1", "s1", None, "2018-08-06T09:12"),  # unknown app is rejected too
-    ("a", "u", "p2", "s1", "pear", "2018-08-06T10:12"),  # another hour
-    ("c", "x", "p4", "s1", "pear", "2019-08-11T09:35"),
+    ("a", "u", "p2", "s1", "web", "2018-08-06T10:12"),  # another hour
+    ("c", "x", "p4", "s1", "web", "2019-08-11T09:35"),
 ]
 
 

@@ -123,7 +123,7 @@ def test_every_count_has_one_bucket(spark, buckets):
     assert rows(labelled, "o", "l") == [(i, b.name) for i, b in enumerate(buckets)]
 
 
-def test_reference_edges(spark):
+def test_published_edges(spark):
     edges = [(1, "Testing"), (2, "Low"), (10, "Low"), (11, "Low_Medium"), (19, "Low_Medium")]
     edges += [(20, "Medium"), (30, "Medium"), (31, "High")]
     for n, name in edges:
