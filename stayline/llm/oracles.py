@@ -1,5 +1,30 @@
 """The corpus queries as DuckDB SQL, where SQL can express them."""
 
+OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS words
+  FROM documents
+), grams AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, least(len(words), 1)) + 1)) AS i FROM w)
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sizes sa ON sa.doc_id = a.doc_id JOIN sizes sb ON sb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, sa.n, sb.n
+  HAVING 100 * count(*) >= 90 * (sa.n + sb.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM w
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id
+FROM w LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
 OP7 = r"""
 WITH w AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
@@ -21,4 +46,4 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_remo
 FROM w LEFT JOIN removed USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op7_substrings": OP7}
+ORACLES: dict[str, str] = {"op6_ngrams": OP6, "op7_substrings": OP7}

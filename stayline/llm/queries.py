@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayline.llm.ngrams import similar_documents
 from stayline.llm.substrings import remove_repeated_windows
 
 
@@ -14,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated_windows(table(spark, sf_dir, "documents"), window=50)
     return kept.select(
@@ -22,5 +27,6 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_ngrams": op6_ngrams,
     "op7_substrings": op7_substrings,
 }
