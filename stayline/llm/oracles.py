@@ -1,5 +1,78 @@
 """The corpus queries as DuckDB SQL, where SQL can express them."""
 
+OP3 = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM documents
+), totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, source_no % 3 + 1 AS weight, 3 * source_size AS cap FROM totals
+), levels AS (
+  SELECT *, ((SELECT sum(source_size) FROM totals)
+      - coalesce(sum(cap) OVER (ORDER BY cap / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / ((SELECT sum(weight) FROM weighed)
+      - coalesce(sum(weight) OVER (ORDER BY cap / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM weighed
+), targets AS (
+  SELECT *, least((SELECT max(level) FROM levels WHERE level * weight <= cap) * weight, CAST(cap AS DOUBLE)) AS target,
+    greatest(source_size // 64, 1) AS blocks
+  FROM levels
+), quotas AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target * blocks / source_size) AS BIGINT) ELSE 0 END AS quota,
+    source_size // blocks AS base, source_size % blocks AS longer FROM targets
+), ends AS MATERIALIZED (
+  SELECT *, sum(quota) OVER (ORDER BY source_no) AS high, sum(quota) OVER () AS slots FROM quotas
+), points AS (
+  SELECT slot, (slot + 1) * CAST(0.6180339887498949 AS DOUBLE) AS y
+  FROM (SELECT unnest(range(0, 3 * (SELECT CAST(max(slots) AS BIGINT) FROM ends))) AS slot)
+), ranked AS (
+  SELECT source_no, blocks, quota, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS rank
+  FROM points JOIN ends ON (y - floor(y)) * CAST(slots AS DOUBLE) >= high - quota AND (y - floor(y)) * CAST(slots AS DOUBLE) < high
+), visits AS (
+  SELECT source_no, rank % blocks AS block, count(*) AS visits FROM ranked WHERE rank < quota GROUP BY ALL
+), placed AS (
+  SELECT s.doc_id, s.size, q.source_no, q.source_size, q.target, q.base, q.longer, q.blocks,
+    sum(s.size) OVER (PARTITION BY q.source_no ORDER BY s.key, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS start
+  FROM sized s JOIN ends q ON s.source IS NOT DISTINCT FROM q.source
+), blocks AS (
+  SELECT source_no, block, block * base + least(block, longer) AS first,
+    (block + 1) * base + least(block + 1, longer) AS next
+  FROM (SELECT source_no, base, longer, unnest(range(0, blocks)) AS block FROM ends)
+), taken AS (
+  SELECT p.source_no, p.start, p.doc_id, sum((least(p.start + p.size, b.next) - greatest(p.start, b.first)) * v.visits) AS taken
+  FROM placed p
+  JOIN blocks b ON b.source_no = p.source_no AND b.first < p.start + p.size AND b.next > p.start
+  JOIN visits v ON v.source_no = b.source_no AND v.block = b.block
+  GROUP BY ALL
+)
+SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken
+FROM placed p LEFT JOIN taken t ON p.size > 0 AND t.source_no = p.source_no AND t.start = p.start AND t.doc_id = p.doc_id
+"""
+
+OP4 = r"""
+WITH keyed AS MATERIALIZED (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
+    CAST('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) AS key
+  FROM documents
+), nodes AS (
+  SELECT doc_id, bytes, key, depth, key >> (60 - depth) AS prefix
+  FROM (SELECT *, unnest(range(0, 61)) AS depth FROM keyed)
+), sums AS (
+  SELECT depth, prefix, sum(bytes) AS shard_bytes, count(*) AS shard_docs FROM nodes GROUP BY depth, prefix
+  HAVING sum(bytes) <= 1048576 OR min(key) = max(key) OR depth = 60
+), fits AS (
+  SELECT doc_id, bytes, arg_min({'depth': depth, 'prefix': prefix, 'bytes': shard_bytes, 'docs': shard_docs}, depth) AS s
+  FROM nodes JOIN sums USING (depth, prefix) GROUP BY doc_id, bytes, key
+)
+SELECT doc_id, bytes, CASE WHEN s.depth = 0 THEN '' ELSE lpad(bin(s.prefix), CAST(s.depth AS INTEGER), '0') END AS shard,
+  CAST(s.depth AS BIGINT) AS depth, CAST(s.bytes AS BIGINT) AS shard_bytes, CAST(s.docs AS BIGINT) AS shard_docs
+FROM fits
+"""
+
 OP6 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, coalesce(regexp_extract_all(
@@ -46,4 +119,9 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_remo
 FROM w LEFT JOIN removed USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_ngrams": OP6, "op7_substrings": OP7}
+ORACLES: dict[str, str] = {
+    "op3_mixing": OP3,
+    "op4_sharding": OP4,
+    "op6_ngrams": OP6,
+    "op7_substrings": OP7,
+}

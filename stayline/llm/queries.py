@@ -7,14 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayline.llm.mixing import mix_sources
 from stayline.llm.ngrams import similar_documents
+from stayline.llm.sharding import assign_shards
 from stayline.llm.substrings import remove_repeated_windows
 
+SHARD_BYTES = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = assign_shards(table(spark, sf_dir, "documents"), byte_limit=SHARD_BYTES)
+    return sharded.select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_docs")
+
+
 def op6_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -27,6 +41,8 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
+    "op4_sharding": op4_sharding,
     "op6_ngrams": op6_ngrams,
     "op7_substrings": op7_substrings,
 }
