@@ -11,6 +11,7 @@ from stayline.llm.mixing import mix_sources
 from stayline.llm.ngrams import similar_documents
 from stayline.llm.sharding import assign_shards
 from stayline.llm.substrings import remove_repeated_windows
+from stayline.llm.templates import contaminated_documents
 
 SHARD_BYTES = 1 << 20
 
@@ -29,6 +30,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_docs")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "items", "reparameterised")
+
+
 def op6_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -43,6 +49,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op5_decontamination": op5_decontamination,
     "op6_ngrams": op6_ngrams,
     "op7_substrings": op7_substrings,
 }
