@@ -1,5 +1,55 @@
 """The corpus queries as DuckDB SQL, where SQL can express them."""
 
+_OP1_HEAD = r"""
+WITH rests AS (
+  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM rests
+), parsed AS (
+  SELECT page_id, html, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path
+  FROM split
+), rules(verdict, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+    ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), judged AS MATERIALIZED (
+  SELECT p.page_id, p.html, p.host, p.path, r.rule, r.verdict
+  FROM parsed p LEFT JOIN LATERAL (
+    SELECT host || path AS rule, verdict FROM rules
+    WHERE (p.host = rules.host OR suffix(p.host, '.' || rules.host)) AND starts_with(p.path, rules.path)
+    ORDER BY length(host || path) DESC, host || path DESC LIMIT 1
+  ) r ON true
+), links AS (
+  SELECT host AS source, translate(target, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS target
+  FROM (SELECT host, unnest(regexp_extract_all(html,
+    '(?i)\bhref\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1)) AS target FROM judged)
+), edges AS (
+  SELECT source, target, count(*) AS n FROM links WHERE source <> '' AND source <> target GROUP BY ALL
+), both_ways AS (
+  SELECT 'allow' AS kind, source AS a, target AS b, n FROM edges
+  UNION ALL SELECT 'block', target, source, n FROM edges
+), steps AS MATERIALIZED (
+  SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a) AS share FROM both_ways
+), seeds AS MATERIALIZED (
+  SELECT verdict AS kind, host, count(*) / sum(count(*)) OVER (PARTITION BY verdict) AS rank
+  FROM judged WHERE host <> '' AND verdict IS NOT NULL GROUP BY verdict, host
+), r0 AS (SELECT * FROM seeds)"""
+_OP1_ROUND = """, r{next} AS MATERIALIZED (
+  SELECT kind, host, sum(rank) AS rank FROM (
+    SELECT s.kind, s.b AS host, 0.85::DOUBLE * s.share * r.rank AS rank FROM steps s JOIN r{last} r ON r.kind = s.kind AND r.host = s.a
+    UNION ALL SELECT kind, host, (1 - 0.85::DOUBLE) * rank FROM seeds
+  ) GROUP BY kind, host
+)"""
+_OP1_TAIL = """, ranks AS (
+  SELECT host, coalesce(sum(rank) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'block'), 0) AS distrust
+  FROM r12 GROUP BY host
+)
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.verdict, CASE WHEN distrust > trust
+  AND distrust * (SELECT count(DISTINCT host) FROM judged WHERE host <> '') >= 0.1 THEN 'block' END, 'allow') AS verdict
+FROM judged j LEFT JOIN ranks USING (host)
+"""
+OP1 = _OP1_HEAD + "".join(_OP1_ROUND.format(last=k, next=k + 1) for k in range(12)) + _OP1_TAIL
+
 OP3 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -120,6 +170,7 @@ FROM w LEFT JOIN removed USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {
+    "op1_urls": OP1,
     "op3_mixing": OP3,
     "op4_sharding": OP4,
     "op6_ngrams": OP6,

@@ -12,14 +12,27 @@ from stayline.llm.ngrams import similar_documents
 from stayline.llm.sharding import assign_shards
 from stayline.llm.substrings import remove_repeated_windows
 from stayline.llm.templates import contaminated_documents
+from stayline.llm.urls import judge_urls
 
 SHARD_BYTES = 1 << 20
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -47,6 +60,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_urls": op1_urls,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
