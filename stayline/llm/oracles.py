@@ -50,6 +50,25 @@ FROM judged j LEFT JOIN ranks USING (host)
 """
 OP1 = _OP1_HEAD + "".join(_OP1_ROUND.format(last=k, next=k + 1) for k in range(12)) + _OP1_TAIL
 
+OP2 = r"""
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x : x IS NULL OR NOT isfinite(x)), true)
+    AND list_contains(list_transform(embedding, lambda x : x <> 0), true)
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least_ids AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM least_ids
+"""
+
 OP3 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -171,6 +190,7 @@ FROM w LEFT JOIN removed USING (doc_id)
 
 ORACLES: dict[str, str] = {
     "op1_urls": OP1,
+    "op2_embeddings": OP2,
     "op3_mixing": OP3,
     "op4_sharding": OP4,
     "op6_ngrams": OP6,

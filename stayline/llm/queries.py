@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayline.llm.embeddings import link_vectors
 from stayline.llm.mixing import mix_sources
 from stayline.llm.ngrams import similar_documents
 from stayline.llm.sharding import assign_shards
@@ -33,6 +34,10 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -61,6 +66,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
+    "op2_embeddings": op2_embeddings,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
