@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stayline.llm.embeddings import link_vectors
 from stayline.llm.mixing import mix_sources
 from stayline.llm.ngrams import similar_documents
+from stayline.llm.quality import score_documents, train
 from stayline.llm.sharding import assign_shards
 from stayline.llm.substrings import remove_repeated_windows
 from stayline.llm.templates import contaminated_documents
@@ -64,6 +65,12 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "by_text", "by_metadata", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
     "op2_embeddings": op2_embeddings,
@@ -72,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_ngrams": op6_ngrams,
     "op7_substrings": op7_substrings,
+    "op10_quality": op10_quality,
 }
