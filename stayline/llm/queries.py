@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.llm.embeddings import link_vectors
+from stayline.llm.licenses import scan_licenses
 from stayline.llm.mixing import mix_sources
 from stayline.llm.ngrams import similar_documents
 from stayline.llm.quality import score_documents, train
@@ -65,6 +66,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -79,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_ngrams": op6_ngrams,
     "op7_substrings": op7_substrings,
+    "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
 }
