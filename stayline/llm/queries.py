@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.llm.embeddings import link_vectors
+from stayline.llm.identifiers import KINDS, find_identifiers, span_list
 from stayline.llm.licenses import scan_licenses
 from stayline.llm.mixing import mix_sources
 from stayline.llm.ngrams import similar_documents
@@ -66,6 +67,16 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_identifiers(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda span: span["kind"])
+    others = [F.size("base") - F.size(F.array_remove(kinds, kind)) for kind in KINDS]
+    counts = [n.cast("long").alias(f"n_{kind}") for n, kind in zip(others, KINDS, strict=True)]
+    return found.select(
+        "doc_id", *counts, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans")
+    )
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -84,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_ngrams": op6_ngrams,
     "op7_substrings": op7_substrings,
+    "op8_pii": op8_pii,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
 }
