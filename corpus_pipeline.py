@@ -3,14 +3,68 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from stayline.llm.mixing import mix_sources, repeated
+from stayline.llm.ngrams import similar_documents
+from stayline.llm.quality import good_documents, train
+from stayline.llm.sharding import assign_shards
+from stayline.llm.templates import contaminated_documents
+from stayline.session import checkpointed
+
+SHARD_BYTES = 1 << 20
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return good_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), least=0.5)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose five-word shingles are 0.8 alike, the one with the smallest id stays.
+
+    Of rows equal in id and text one stays. Rows without an id link with nothing.
+    """
+    joined = similar_documents(docs, size=5, percent=80)
+    gone = checkpointed(joined.where("component_id < doc_id").select("doc_id").distinct())
+    key = F.xxhash64("text")
+    return docs.join(gone, "doc_id", "left_anti").withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, its values changed or not, go."""
+    found = contaminated_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    found = checkpointed(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    return docs.join(found, same, "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources in the proportion 1, 2, 3, repeating: documents are left out or repeated."""
+    return repeated(docs, mix_sources(docs, weights=(1, 2, 3), most=3))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard of at most a MB of text."""
+    return assign_shards(docs, byte_limit=SHARD_BYTES)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("shards", shards),
+]
+# the classifier is trained, which SQL cannot express
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents in turn."""
+    """Apply the stages to the documents in turn; each reads what the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpointed(docs)
     return docs

@@ -108,6 +108,20 @@ def _block_start(block: Column) -> Column:
     return block * F.col("base") + F.least(block, F.col("longer"))
 
 
+def repeated(docs: DataFrame, mixed: DataFrame, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, whole documents only.
+
+    A document of which the mix takes a part goes in or not with the chance of that part, by
+    a hash of its id. Rows equal in id and text share what the mix takes of them.
+    """
+    shares = mixed.groupBy("doc_id", "text_key").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share")).where("share > 0")
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.lit(1 << 30)) / (1 << 30)
+    copies = F.floor("share") + (chance < F.col("share") - F.floor("share")).cast("int")
+    counts = shares.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), copies.alias("__copies")).where("__copies > 0")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    return docs.join(checkpointed(counts), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = (1, 2, 3),
@@ -119,7 +133,7 @@ def mix_sources(
 
     Sources by code point, null last, weigh ``weights``, repeating, and share as many words
     as there are; no target exceeds ``most`` times its source. Returns one row per input
-    row: ``doc_id, source, size`` (words), ``source_size, target`` (its source's) and
+    row: ``doc_id, text_key`` (hash of the text), ``source, size`` (words), ``source_size, target`` (its source's) and
     ``taken`` (words taken, repeats counted, ``most`` times the size at most). What a source
     gives differs from its target by half a block at most, and is the same in every run.
 
@@ -128,7 +142,13 @@ def mix_sources(
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"))
+    sized = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("text_key"),
+        F.col("source").cast("string").alias("source"),
+        size.alias("size"),
+        key.alias("key"),
+    )
     sized = checkpointed(sized.withColumn("segment", F.substring("key", 1, 3)))
     segments = sized.groupBy("source", "segment").agg(F.sum("size").alias("n"))
     totals = segments.groupBy("source").agg(F.sum("n").alias("source_size"))
@@ -139,9 +159,9 @@ def mix_sources(
     offsets = offsets.join(source, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source", "source")
     numbers = quotas.select(F.col("source").alias("its_source"), "source_no")
     numbered = sized.join(numbers, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
-    placed = numbered.withColumn("own", _running(numbered, "size", ["source_no", "segment"], ["key", "doc_id", "size"]))
+    placed = numbered.withColumn("own", _running(numbered, "size", ["source_no", "segment"], ["key", "doc_id", "size", "text_key"]))
     placed = placed.join(offsets, ["source_no", "segment"]).withColumn("start", F.col("offset") + F.col("own"))
-    kept = ["doc_id", "source", "size", "source_size", "target"]
+    kept = ["doc_id", "text_key", "source", "size", "source_size", "target"]
     placed = checkpointed(placed.select(*kept, "source_no", "start", "base", "longer"))
     end = F.col("start") + F.col("size")
     pieces = placed.where("size > 0").withColumn(
