@@ -79,6 +79,8 @@ class _Chunk:
 
     def spans(self) -> list[tuple[int, int, int]]:
         """(bucket, from, to) of each bucket's part of the distinct windows."""
+        if not len(self.edges):
+            return []
         ends = [*self.edges[1:], len(self.bucket)]
         return [(int(self.bucket[a]), int(a), int(z)) for a, z in zip(self.edges, ends, strict=True)]
 
