@@ -467,18 +467,13 @@ FROM ev GROUP BY user_id, CAST(ts AS DATE)"""
     ),
     "group_totals": _with(
         """SELECT slide_type, count(*) AS rows, count(n) AS known,
-  CAST(sum(n) AS BIGINT) AS slides, count(DISTINCT teacher) AS teachers
-FROM slide_counts WHERE slide_type <> 'SMALL' GROUP BY slide_type""",
+  CAST(sum(n) AS BIGINT) AS slides, count(DISTINCT teacher) AS teachers, max(n) AS most
+FROM slide_counts GROUP BY slide_type""",
         SLIDE_COUNTS,
     ),
     "rownumber_widen": _with(
-        f"""SELECT teacher, max(CASE WHEN rn = 1 THEN ts END) AS timestamp_1,
-  max(CASE WHEN rn = 2 THEN ts END) AS timestamp_2,
-  max(CASE WHEN rn = 1 THEN smin END) AS account_status_min_1,
-  max(CASE WHEN rn = 2 THEN smin END) AS account_status_min_2,
-  max(CASE WHEN rn = 1 THEN smax END) AS account_status_max_1,
-  max(CASE WHEN rn = 2 THEN smax END) AS account_status_max_2,
-  count(*) AS rows_in_group
+        f"""SELECT teacher, CAST(rn AS INTEGER) AS position, ts AS timestamp, smin AS account_status_min,
+  smax AS account_status_max
 FROM (
   SELECT *, row_number() OVER (PARTITION BY teacher
            ORDER BY ts, smin NULLS FIRST, smax NULLS FIRST) AS rn
@@ -486,8 +481,7 @@ FROM (
                CASE WHEN i.ts = hi THEN i.status END AS smax
         FROM inside i JOIN (SELECT teacher, min(ts) AS lo, max(ts) AS hi
                             FROM inside GROUP BY teacher) e ON e.teacher = i.teacher
-        WHERE i.ts = lo OR i.ts = hi))
-GROUP BY teacher""",
+        WHERE i.ts = lo OR i.ts = hi))""",
         f"""inside AS (
   SELECT teacher, ts, status FROM launches JOIN cohort ON user_id = teacher
   WHERE {_window("CAST(ts AS DATE)", 1, 12, 0)})""",
@@ -745,6 +739,33 @@ SELECT CAST(5 * ((num_students + 2) // 5) AS DOUBLE), count(*), 5 FROM sessions
 GROUP BY (num_students + 2) // 5""",
         SESSIONS,
     ),
+    "sessions_of_responses": _with(
+        f"""SELECT teacher, date, hour, 'initial' AS period,
+  count(DISTINCT presentation_id) AS num_presentations, count(DISTINCT student) AS num_students,
+  count(*) AS num_responses
+FROM lines JOIN cohort USING (teacher)
+WHERE lower(app) NOT LIKE '%widget%' AND {_window("date", 0, 12, 0)}
+GROUP BY teacher, date, hour""",
+    ),
+    "week_stats_per_presentation": _with(
+        """SELECT CAST(year(date) * 100 + weekofyear(date) AS INTEGER) AS year_week,
+  round_even(avg(num_presentations), 0) AS presentations_avg,
+  round_even(stddev_samp(num_presentations), 1) AS presentations_sd
+FROM sessions GROUP BY 1""",
+        SESSIONS,
+    ),
+    "scatter_points": _with(
+        f"SELECT slide_diversity, presentations_later, usage_label_later FROM ({MODEL_TABLE})",
+        *MODEL_CTES,
+    ),
+    "facet_share_initial": _with(
+        f"""SELECT facet, x, n, CAST(sum(n) OVER (PARTITION BY facet) AS BIGINT) AS total,
+  CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY facet) AS share
+FROM (SELECT usage_label_later AS facet, total_presentations AS x, count(*) AS n FROM ({MODEL_TABLE})
+      WHERE usage_label_initial NOT IN ('Never Used', 'Tested Product Only')
+      GROUP BY usage_label_later, total_presentations)""",
+        *MODEL_CTES,
+    ),
     "facet_share": _with(
         """SELECT facet, x, n, CAST(sum(n) OVER (PARTITION BY facet) AS BIGINT) AS total,
   CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY facet) AS share
@@ -785,7 +806,7 @@ WHERE total_students IS NOT NULL AND responses_per_presentation IS NOT NULL""",
     ),
     "dummies": _with(
         f"""SELECT teacher, total_presentations,
-  CASE WHEN {AUDIENCE} = 'Light' THEN 1 ELSE 0 END AS "audience_label_Light",
+  {", ".join(f"CASE WHEN {AUDIENCE} = '{b}' THEN 1 ELSE 0 END AS audience_label_{b}" for b in ("Light", "Medium", "Heavy", "Superuser"))},
   coalesce(total_presentations - n_testing, 0) AS label
 FROM labelled""",
         SESSIONS,
@@ -817,6 +838,16 @@ sizes AS (
 SELECT stratum, 'train' AS split, train AS total FROM sizes
 UNION ALL SELECT stratum, 'test', test FROM sizes
 UNION ALL SELECT stratum, 'validation', n - train - test FROM sizes""",
+    "stratified_split_unknown": _with(
+        "SELECT quality, split, total FROM splits",
+        DOCS.replace("labels JOIN documents", "documents LEFT JOIN labels").replace("labels.doc_id", "documents.doc_id", 1),
+        SPLIT_SIZES,
+    ),
+    "upsample_unknown": _with(
+        """SELECT quality, max(count(*)) OVER () AS rows, count(*) AS documents
+FROM docs GROUP BY quality""",
+        DOCS.replace("labels JOIN documents", "documents LEFT JOIN labels").replace("labels.doc_id", "documents.doc_id", 1),
+    ),
     "class_balance": _with(
         """SELECT part, label, n, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY part) AS share
 FROM (SELECT split AS part, quality AS label, total AS n FROM splits
@@ -829,9 +860,9 @@ FROM (SELECT split AS part, quality AS label, total AS n FROM splits
 FROM docs GROUP BY quality""",
         DOCS,
     ),
-    "cutoff_sweep": _with("SELECT * FROM sweep", DOCS, SWEEP),
+    "cutoff_sweep": _with("SELECT *, CAST(0 AS BIGINT) AS unscored FROM sweep", DOCS, SWEEP),
     "best_cutoff": _with(
-        "SELECT * FROM sweep ORDER BY f1 DESC, cutoff DESC LIMIT 1", DOCS, SWEEP
+        "SELECT *, CAST(0 AS BIGINT) AS unscored FROM sweep ORDER BY f1 DESC, cutoff DESC LIMIT 1", DOCS, SWEEP
     ),
     "auc": _with(
         """SELECT (sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5

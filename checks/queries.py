@@ -257,19 +257,16 @@ def group_totals(r: Roles) -> DataFrame:
         F.sum("slide_type_count").alias("slides"),
         F.count_distinct("teacher").alias("teachers"),
     )
-    types = r.slide_presented().select("slide_type").distinct().filter("slide_type <> 'SMALL'")
-    return per_type.join(types, "slide_type")
+    totals = counts.groupBy("slide_type").agg(F.max("slide_type_count").alias("most"))
+    return per_type.join(totals, "slide_type")
 
 
 @register
 def rownumber_widen(r: Roles) -> DataFrame:
     rows = cohort.status_rows(r.launch_presentation(), _cohort(r), STUDY.status[0])
-    return reshape.widen_rows(
-        rows,
-        ["teacher"],
-        ["timestamp", "account_status_min", "account_status_max"],
-        ["timestamp", "account_status_min", "account_status_max"],
-    )
+    return reshape.number_rows(
+        rows, ["teacher"], ["timestamp", "account_status_min", "account_status_max"]
+    ).select("teacher", "position", "timestamp", "account_status_min", "account_status_max")
 
 
 @register
@@ -398,6 +395,11 @@ def sessions_later(r: Roles) -> DataFrame:
     return _sessions(r, (LATER,), by_presentation=False)
 
 
+@register
+def sessions_of_responses(r: Roles) -> DataFrame:
+    return activity.sessions_of_responses(r.student_responses(), _cohort(r), [INITIAL], APP)
+
+
 @register
 def sessions_excluding_recent(r: Roles) -> DataFrame:
     return activity.sessions_in_range(
@@ -665,6 +667,11 @@ def week_stats(r: Roles) -> DataFrame:
     return explore.week_stats(_sessions(r, by_presentation=False))
 
 
+@register
+def week_stats_per_presentation(r: Roles) -> DataFrame:
+    return explore.week_stats(_sessions(r))
+
+
 @register
 def histogram(r: Roles) -> DataFrame:
     counted = _sessions(r)
@@ -687,11 +694,18 @@ def facet_share(r: Roles) -> DataFrame:
 
 
 @register
-def scatter_sample(r: Roles) -> DataFrame:
-    counted = _sessions(r).withColumn(
-        "label", labels.bucket_label(F.col("num_students"), BUCKETS_5)
+def facet_share_initial(r: Roles) -> DataFrame:
+    active = _model_table(r).filter(
+        ~F.col("usage_label_initial").isin(labels.NEVER_USED, labels.TESTED_ONLY)
+    )
+    return explore.facet_share(active, "usage_label_later", "total_presentations")
+
+
+@register
+def scatter_points(r: Roles) -> DataFrame:
+    return explore.scatter(
+        _model_table(r), "slide_diversity", "presentations_later", "usage_label_later"
     )
-    return explore.scatter(counted, "date", "num_presentations", "label", fraction=0.5, seed=7)
 
 
 # --- preparation ------------------------------------------------------------------------
@@ -714,7 +728,7 @@ def dummies(r: Roles) -> DataFrame:
     labelled = features.audience(_labelled_totals(r)).select(
         "teacher", "total_presentations", "audience_presentations", "audience_label"
     )
-    levels = {"audience_label": reshape.levels_of(labelled, "audience_label")}
+    levels = {"audience_label": presets.CATEGORICAL_LEVELS["audience_label"]}
     return reshape.label_last(
         labelled,
         "audience_presentations",
@@ -739,6 +753,24 @@ def correlation_screen(r: Roles) -> DataFrame:
     return frames.correlations(rows, numeric).withColumn("r", F.round("r", 6))
 
 
+def _documents_and_labels(r: Roles) -> DataFrame:
+    return r.table("documents").select("doc_id", "n_chars").join(r.table("labels"), "doc_id", "left")
+
+
+@register
+def stratified_split_unknown(r: Roles) -> DataFrame:
+    split = prep.stratified_split(_documents_and_labels(r), "quality", "doc_id")
+    return explore.count_by(split, "quality", "split")
+
+
+@register
+def upsample_unknown(r: Roles) -> DataFrame:
+    grown = prep.upsample(_documents_and_labels(r), "quality", "doc_id")
+    return grown.groupBy("quality").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("documents")
+    )
+
+
 def _labelled_documents(r: Roles) -> DataFrame:
     return r.table("labels").join(r.table("documents").select("doc_id", "n_chars"), "doc_id")
 

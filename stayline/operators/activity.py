@@ -115,10 +115,12 @@ def sessions_of(shown: DataFrame, answers: DataFrame, by_presentation: bool = Tr
     """Sessions from checkpointed ``shown_slides`` and from ``given_answers``."""
     match = [*SLIDE_KEYS, "period"]
     grain = ["teacher", "date", "hour", "period"]
-    slides = shown.groupBy(*match).agg(F.sum("n_shown").alias("n_shown"))
+    if "slide_type" in shown.columns:
+        # stored, so that the join's sides are plain shuffles, which can be split
+        shown = checkpointed(shown.groupBy(*match).agg(F.sum("n_shown").alias("n_shown")))
     others = answers.filter(~F.col("special")).drop("special")
     counted = count_sessions(
-        slides if "slide_type" in shown.columns else shown,
+        shown,
         others,
         match,
         [*grain, "presentation_id"] if by_presentation else grain,
@@ -147,6 +149,28 @@ def sessions(
     )
 
 
+def sessions_of_responses(
+    responses: DataFrame, cohort: Cohort, periods: Sequence[Period], app_not_like: str
+) -> DataFrame:
+    """Sessions told by the responses alone: presentations somebody answered.
+
+    The app filter ignores case. One row per member, date and hour of each period.
+    """
+    other_apps = responses.filter(~F.lower("app").like(app_not_like.lower()))
+    inside = in_periods(_slide_columns(other_apps), "teacher", cohort, periods)
+    grain = ["teacher", "date", "hour", "period"]
+    answers = (
+        _dated(inside)
+        .groupBy(*grain, "presentation_id", "student")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return answers.groupBy(*grain).agg(
+        F.count_distinct("presentation_id").alias("num_presentations"),
+        F.count_distinct("student").alias("num_students"),
+        F.sum("n").alias("num_responses"),
+    )
+
+
 def sessions_in_range(
     slides: DataFrame,
     responses: DataFrame,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stayline.functions.labels import account_status
 from stayline.functions.periods import Period, between_days
 from stayline.operators.joins import fits_broadcast, lookup_join
+from stayline.session import checkpointed
 
 
 def cohort_members(
@@ -31,8 +32,9 @@ def cohort_members(
 class Cohort:
     """Cohort members with the facts the activity operators plan with.
 
-    ``small`` is decided by counting the members once; it allows a broadcast into the
-    event joins. The first-seen range bounds the days an event scan must read.
+    The members are stored once, and ``small``, which allows a broadcast into the event
+    joins, is decided on the stored rows. The first-seen range bounds the days an event
+    scan must read.
     """
 
     members: DataFrame
@@ -44,7 +46,7 @@ class Cohort:
     def select(
         cls, users: DataFrame, first_from: date, first_to: date, excluded_role: str
     ) -> Cohort:
-        members = cohort_members(users, first_from, first_to, excluded_role)
+        members = checkpointed(cohort_members(users, first_from, first_to, excluded_role))
         return cls(members, first_from, first_to, fits_broadcast(members))
 
     @property

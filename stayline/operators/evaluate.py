@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.numbers import ratio
 from stayline.operators.ranking import running_totals
+from stayline.session import checkpointed
 
 
 def cutoff_sweep(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -14,10 +15,18 @@ def cutoff_sweep(df: DataFrame, score: str, label: str) -> DataFrame:
 
     A row counts as positive when its score is at or above the cutoff. Rows with equal
     scores share one cutoff. Metrics with an empty denominator are NULL, F1 is 0.
+    Rows with a NULL or NaN score are in no cell; ``unscored`` says how many there are.
     """
-    counts = df.groupBy(F.col(score).cast("double").alias("cutoff")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+    counts = checkpointed(
+        df.groupBy(F.col(score).cast("double").alias("cutoff")).agg(
+            F.count_if(F.col(label) == 1).alias("pos"),
+            F.count_if(F.col(label) == 0).alias("neg"),
+            F.count(F.lit(1)).alias("rows"),
+        )
     )
+    without = counts.filter(F.col("cutoff").isNull() | F.isnan("cutoff"))
+    unscored = without.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    counts = counts.drop("rows")
     cells = running_totals(counts, "cutoff", ["pos", "neg"], descending=True).select(
         "cutoff",
         F.col("cum_pos").alias("tp"),
@@ -30,6 +39,7 @@ def cutoff_sweep(df: DataFrame, score: str, label: str) -> DataFrame:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return cells.select(
         "*",
+        F.lit(unscored).cast("long").alias("unscored"),
         ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"),
@@ -48,9 +58,11 @@ def auc(sweep: DataFrame) -> DataFrame:
 
     Of all positive-negative pairs, the share ranked correctly; equal scores count half.
     """
-    right = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2.0))
+    higher = F.col("tp") - F.col("pos") + F.col("pos") / 2.0
+    right = F.sum(F.col("neg").cast("double") * higher)
     return sweep.agg(
-        ratio(right, F.sum("pos") * F.sum("neg")).alias("auc"),
+        # as doubles: the number of pairs may exceed a long
+        ratio(right, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"),
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
     )

@@ -38,7 +38,10 @@ def month_stats(months: DataFrame) -> DataFrame:
 
 
 def week_stats(sessions: DataFrame, iso_year: bool = False) -> DataFrame:
-    """Mean and sample deviation of presentations per session row, by week."""
+    """Mean and sample deviation of presentations per session row, by week.
+
+    The grain of the rows is the caller's: one per presentation, or per teacher and hour.
+    """
     return sessions.groupBy(week_key(F.col("date"), iso_year).alias("year_week")).agg(
         round_even(F.avg("num_presentations"), 0).alias("presentations_avg"),
         round_even(F.stddev_samp("num_presentations"), 1).alias("presentations_sd"),
@@ -66,10 +69,7 @@ def facet_share(df: DataFrame, facet: str, x: str) -> DataFrame:
     return share_within(counts, ["facet"], "n")
 
 
-def scatter(
-    df: DataFrame, x: str, y: str, label: str | None = None, fraction: float = 1.0, seed: int = 1
-) -> DataFrame:
-    """Point data, optionally with a label and thinned by a seeded sample."""
+def scatter(df: DataFrame, x: str, y: str, label: str | None = None) -> DataFrame:
+    """All points, optionally with a label."""
     columns: Sequence[str] = [x, y] + ([label] if label else [])
-    points = df.select(*columns)
-    return points if fraction >= 1.0 else points.sample(fraction=fraction, seed=seed)
+    return df.select(*columns)

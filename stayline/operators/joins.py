@@ -8,24 +8,41 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup row is an id and a handful of dates or flags, about 100 bytes, so a
-# broadcast of this many rows stays near 100 MB.
-BROADCAST_ROWS = 1_000_000
-SALTS = 16
+BROADCAST_BYTES = 100_000_000
+LEAST_SALTS = 16
 SALT = "_salt"
+# what a value of a type without a fixed width takes
+TEXT_BYTES = 48
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Count the frame once to decide whether it may be sent to every executor."""
-    return df.count() <= rows
+def row_bytes(df: DataFrame) -> int:
+    """About what a row of the frame takes in memory."""
+    fixed = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4}
+    return 16 + sum(
+        8 if f.dataType.typeName() in ("long", "double", "date", "timestamp") else
+        fixed.get(f.dataType.typeName(), TEXT_BYTES)
+        for f in df.schema.fields
+    )
 
 
-def salted(df: DataFrame, columns: Sequence[str], salts: int = SALTS) -> DataFrame:
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the frame may be sent to every executor; counting stops at the limit."""
+    most = limit // row_bytes(df)
+    return df.limit(most + 1).count() <= most
+
+
+def default_salts(df: DataFrame) -> int:
+    """As many salts as a shuffle has partitions, so a key can fill all of them."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(LEAST_SALTS, partitions)
+
+
+def salted(df: DataFrame, columns: Sequence[str], salts: int) -> DataFrame:
     """Add a salt from a hash of the columns, which is the same on a retried task."""
     return df.withColumn(SALT, F.pmod(F.xxhash64(*columns), F.lit(salts).cast("long")))
 
 
-def repeated(df: DataFrame, salts: int = SALTS) -> DataFrame:
+def repeated(df: DataFrame, salts: int) -> DataFrame:
     """Every row once per salt."""
     return df.withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1))))
 
@@ -36,7 +53,7 @@ def lookup_join(
     on: Sequence[str],
     how: str = "inner",
     small: bool | None = None,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join facts to a lookup (inner, left, left_semi or left_anti).
 
@@ -48,6 +65,7 @@ def lookup_join(
     on = list(on)
     if fits_broadcast(lookup) if small is None else small:
         return facts.join(F.broadcast(lookup), on, how)
+    salts = salts or default_salts(facts)
     others = [c for c in facts.columns if c not in on]
     if not others:
         return facts.join(lookup, on, how)

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import (
@@ -57,10 +58,16 @@ def backward(
 ) -> Fit:
     """Drop the predictor with the highest p-value until all are at or below the level.
 
-    Linearly dependent predictors are removed first, since they have no p-value. Each
-    step is one distributed fit over the cached training rows; only coefficients and
-    p-values reach the driver.
+    Linearly dependent predictors are removed first, since they have no p-value. The
+    linear model's steps all follow from one pass for the cross products, and only what is
+    left is fitted. For the logistic model each step is one distributed fit over the cached
+    training rows; only coefficients and p-values reach the driver.
     """
+    if family == "gaussian":
+        cross = gram(train, [*features, label])
+        dependent = aliased(cross[:-1, :-1], features)
+        names, dropped = linear_steps(cross, features, dependent, level)
+        return Fit(fit(train, names, label, family).model, family, names, dropped, dependent)
     dependent = aliased(gram(train, features), features)
     names = [f for f in features if f not in dependent]
     train = train.select(*[F.col(f"`{n}`") for n in names], label).persist()
@@ -78,6 +85,46 @@ def backward(
         train.unpersist()
 
 
+def linear_steps(
+    cross: np.ndarray, features: Sequence[str], dependent: Sequence[str], level: float
+) -> tuple[list[str], list[tuple[str, float]]]:
+    """Remaining names and dropped (name, p-value) of the linear model, from cross products.
+
+    ``cross`` is that of ``gram`` for the features and then the label.
+    """
+    place = {name: i for i, name in enumerate(features, start=1)}
+    rows, own = cross[0, 0], cross[-1, -1]
+    names = [f for f in features if f not in dependent]
+    dropped: list[tuple[str, float]] = []
+    while True:
+        at = [place[n] for n in names]
+        scale = np.sqrt(np.diag(cross)[at])
+        inverse = np.linalg.inv(cross[np.ix_(at, at)] / np.outer(scale, scale))
+        beta = inverse @ (cross[at, -1] / scale)
+        free = rows - len(names) - 1
+        error = max(own - beta @ (cross[at, -1] / scale), 0.0) / max(free, 1)
+        size = np.abs(beta) / np.sqrt(np.maximum(error * np.diag(inverse), 1e-300))
+        worst = int(np.argmin(size))
+        p_value = two_sided(float(size[worst]), float(free))
+        if not p_value > level or len(names) == 1:
+            return names, dropped
+        dropped.append((names.pop(worst), p_value))
+
+
+def two_sided(t: float, free: float) -> float:
+    """Chance of a Student t at least as far from zero; by the angle whose tangent it is."""
+    if free > 1e5:
+        return math.erfc(t / math.sqrt(2))
+    start = math.atan(t / math.sqrt(free))
+    # the mass sits within a few multiples of 1 / sqrt(free)
+    def mass(low: float) -> float:
+        high = min(math.pi / 2, low + 60 / math.sqrt(free))
+        angle = np.linspace(low, high, 200_001)
+        return float(np.trapezoid(np.cos(angle) ** (free - 1), angle))
+
+    return min(1.0, mass(start) / mass(0.0))
+
+
 def score(result: Fit, df: DataFrame) -> DataFrame:
     """Add ``prediction``: a probability for the logistic model, a value for the linear one."""
     return result.model.transform(assemble_features(df, result.features)).drop("features")

@@ -84,7 +84,8 @@ def upsample(df: DataFrame, label: str, key: str, seed: int = 1234) -> DataFrame
 
     Each row is repeated equally often, the remainder going to the rows that rank first
     by a seeded hash. Copies are made in two steps of about the square root of their
-    number, so a single row standing for a whole class needs no long array.
+    number, so a single row standing for a whole class needs no long array; between the
+    steps the rows are dealt out by key and block, so that one row's copies fill many tasks.
     """
     largest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
     copies = F.floor(F.col("_target") / F.col("group_size")) + (
@@ -98,17 +99,25 @@ def upsample(df: DataFrame, label: str, key: str, seed: int = 1234) -> DataFrame
         .withColumn("_copies", copies)
         .withColumn("_step", F.ceil(F.sqrt("_copies")))
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        .repartition(key, "_block")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), in_block)))
         .drop("rank", "group_size", "_target", "_copies", "_step", "_block", "_copy")
     )
 
 
 def gram(df: DataFrame, columns: Sequence[str], weight: Column | None = None) -> np.ndarray:
-    """Weighted cross products of the columns with a leading constant.
+    """Weighted cross products of a constant and the columns, each less its mean.
 
-    Every task adds up one small matrix; only those sums are shuffled and collected.
+    The means come from one aggregation, so that columns far from zero keep their digits; a
+    column whose deviation is only rounding is zero. Every task adds up one small matrix;
+    only those sums are shuffled and collected.
     """
     p = len(columns) + 1
+    numbers = [F.col(f"`{c}`").cast("double") for c in columns]
+    found = df.agg(F.count(F.lit(1)), *[f(x) for x in numbers for f in (F.avg, F.stddev_pop)]).first()
+    means = np.array([found[1 + 2 * i] or 0.0 for i in range(p - 1)])
+    spread = np.array([found[2 + 2 * i] or 0.0 for i in range(p - 1)])
+    moves = np.where(spread > 1e-9 * np.abs(means), 1.0, 0.0)
     data = df.select(
         *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
         (F.lit(1.0) if weight is None else weight).alias("w"),
@@ -118,7 +127,7 @@ def gram(df: DataFrame, columns: Sequence[str], weight: Column | None = None) ->
         total = np.zeros((p, p))
         for batch in batches:
             values = batch.to_numpy(dtype=float)
-            x = np.column_stack([np.ones(len(values)), values[:, :-1]])
+            x = np.column_stack([np.ones(len(values)), (values[:, :-1] - means) * moves])
             total += x.T @ (x * values[:, -1:])
         i, j = np.indices((p, p)).reshape(2, -1)
         yield pd.DataFrame({"i": i, "j": j, "v": total.reshape(-1)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -19,7 +20,7 @@ def hash_rank(
     The hash's leading bits cut every group into 2**bits even slices. The sizes of the
     slices, at most that many per group, are summed up to offsets; the row numbering
     runs per slice, so a group of any size is spread over many tasks. ``key`` must
-    identify the row.
+    identify the row. Rows of the NULL group are a group of their own.
     """
     sliced = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn(
         "_slice", F.shiftrightunsigned("_h", 64 - bits)
@@ -30,8 +31,8 @@ def hash_rank(
         sliced.groupBy(group, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(
-            group,
-            "_slice",
+            F.col(group).alias("_group"),
+            F.col("_slice").alias("_part"),
             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
             F.sum("_n").over(whole).alias("group_size"),
         )
@@ -39,7 +40,7 @@ def hash_rank(
     in_slice = F.row_number().over(Window.partitionBy(group, "_slice").orderBy("_h", key))
     return (
         sliced.withColumn("_row", in_slice)
-        .join(offsets, [group, "_slice"])
+        .join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slice") == F.col("_part")))
         .select(
             *df.columns, (F.col("_before") + F.col("_row") - 1).alias("rank"), "group_size"
         )
@@ -55,13 +56,15 @@ def running_totals(
     into ranges of similar size; each range is summed by itself and shifted by the
     totals of the ranges before it. The totals are one row per range, bounded by the
     number of shuffle partitions. The input is read three times and therefore
-    checkpointed first.
+    checkpointed first. Rows without a place in the order (NULL or NaN) are left out;
+    infinite values are the first and the last.
     """
     spark = df.sparkSession
-    df = checkpointed(df)
+    df = checkpointed(df.filter(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double"))))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts)
-    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
+    inner = sorted({c for c in cuts if math.isfinite(c)}) or [0.0]
+    splits = [float("-inf"), *inner, float("inf")]
     ranged = Bucketizer(splits=splits, inputCol=order, outputCol="_range").transform(df)
 
     def before(column: str) -> Column:

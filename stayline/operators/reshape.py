@@ -13,9 +13,6 @@ from stayline.functions.numbers import ratio
 from stayline.operators.joins import fits_broadcast
 from stayline.session import checkpointed
 
-MAX_LEVELS = 1000
-
-
 def share_within(
     df: DataFrame, keys: Sequence[str], value: str, name: str = "share", small: bool | None = None
 ) -> DataFrame:
@@ -71,23 +68,32 @@ def lengthen(
     return df.unpivot(list(keys), list(columns), name, value)
 
 
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position"
+) -> DataFrame:
+    """Add each row's number within its key, from 1."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def widen_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
-    positions: int = 2,
+    positions: int | None = None,
 ) -> DataFrame:
-    """Number the rows of each key and put the first ``positions`` side by side.
+    """Number the rows of each key and put them side by side.
 
     Columns are ``<value>_1``, ``<value>_2``, ...; ``rows_in_group`` tells how many rows
-    the key really had. The numbering keeps only the needed positions before the
-    shuffle, the total is a plain grouping.
+    the key has. There are as many columns as the largest key has rows, which one count
+    tells, unless the caller names the number of positions wanted.
     """
-    numbered = df.withColumn(
-        "_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    ).filter(F.col("_row") <= positions)
+    if positions is None:
+        widest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        positions = widest or 0
+    numbered = number_rows(df, keys, order, "_row").filter(F.col("_row") <= positions)
     wide = numbered.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
         *[
             F.max(F.when(F.col("_row") == i, F.col(v))).alias(f"{v}_{i}")
             for v in values
@@ -95,7 +101,7 @@ def widen_rows(
         ]
     )
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_in_group"))
-    return wide.join(sizes, list(keys))
+    return wide.drop("_n").join(sizes, list(keys))
 
 
 def unite(df: DataFrame, name: str, parts: Sequence[str], separator: str = "") -> DataFrame:
@@ -105,11 +111,9 @@ def unite(df: DataFrame, name: str, parts: Sequence[str], separator: str = "") -
     return df.select(*kept, joined.alias(name))
 
 
-def levels_of(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list:
-    """Sorted distinct values of a categorical column; refuses unbounded columns."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} levels")
+def levels_of(df: DataFrame, column: str) -> list:
+    """Sorted distinct values of a categorical column, each of which becomes a column."""
+    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().collect()
     return sorted(r[0] for r in rows)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,14 +46,11 @@ def local_session(app: str, cores: int | str = 8, memory: str = "8g") -> SparkSe
     return configure(spark)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute a frame once and cut its lineage, in storage that outlives executors.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The rows are written as a table, so later reads take only the columns they need, to
-    the folder the cluster names in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder.
+    Only a local session without that setting gets a temporary folder, removed at exit.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -57,7 +58,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
             if not context.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a shared folder")
             folder = tempfile.mkdtemp(prefix="stayline-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+_written: list[str] = []
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute a frame once and cut its lineage, in storage that outlives executors.
+
+    The rows are written as a table to the checkpoint folder, so later reads take only the
+    columns they need. The tables stay until ``scratch_tables`` ends or the folder is cleaned.
+    """
+    spark = df.sparkSession
+    path = f"{_checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``checkpointed`` wrote inside the block when it ends.
+
+    Frames built inside must have been used or written by then.
+    """
+    start = len(_written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _written[start:]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        del _written[start:]

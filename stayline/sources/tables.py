@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -15,8 +16,16 @@ from stayline.sources.schemas import EVENT_DICTIONARY, EXCLUDED_USERS, TABLES
 def scan(
     spark: SparkSession, root: str, table: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Read one logical table with its declared types; only ``columns`` leave the scan."""
-    df = spark.read.schema(TABLES[table]).parquet(f"{root}/{table}")
+    """Read one logical table with its declared types; only ``columns`` leave the scan.
+
+    A column the files do not have is an error, not a column of NULLs.
+    """
+    path, declared = f"{root}/{table}", TABLES[table]
+    there = set(spark.read.parquet(path).columns)
+    missing = [c for c in declared.names if c not in there]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    df = spark.read.schema(declared).parquet(path)
     return df.select(*columns) if columns else df
 
 
@@ -43,21 +52,26 @@ def flatten_user_facts(df: DataFrame) -> DataFrame:
     """Bring the nested and the flat layout of the user table to the flat one.
 
     A struct's field ``b`` becomes ``a_b`` for the profile and plain ``b`` for the
-    account details; columns that are flat already pass through.
+    account details; columns that are flat already pass through. Names in camel case get
+    this library's form (``externalId`` becomes ``external_id``).
     """
     columns = []
     for field in df.schema.fields:
         if isinstance(field.dataType, T.StructType):
             prefix = "profile_" if field.name == "profile" else ""
             columns += [
-                F.col(f"{field.name}.{inner}").alias(prefix + inner)
+                F.col(f"`{field.name}`.`{inner}`").alias(prefix + _snake(inner))
                 for inner in field.dataType.names
             ]
         else:
-            columns.append(F.col(field.name))
+            columns.append(F.col(f"`{field.name}`").alias(_snake(field.name)))
     return df.select(*columns)
 
 
+def _snake(name: str) -> str:
+    return re.sub("(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
+
+
 def excluded_ids(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
     """The list of users to leave out, all text, one id per row."""
     reader = spark.read.schema(EXCLUDED_USERS)

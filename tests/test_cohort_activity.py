@@ -236,8 +236,8 @@ def test_salted_join_equals_plain_join(spark, how):
 
 
 def test_fits_broadcast(spark):
-    assert joins.fits_broadcast(spark.range(3), 3)
-    assert not joins.fits_broadcast(spark.range(4), 3)
+    assert joins.fits_broadcast(spark.range(3), 3 * joins.row_bytes(spark.range(1)))
+    assert not joins.fits_broadcast(spark.range(4), 3 * joins.row_bytes(spark.range(1)))
 
 
 def test_duplicate_keys(spark):

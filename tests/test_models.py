@@ -112,9 +112,9 @@ def regression(spark):
     return frame.repartition(3).cache(), x, y, z
 
 
-def test_gram_equals_the_product(regression):
+def test_gram_equals_the_product_of_the_centred_columns(regression):
     df, x, *_ = regression
-    full = np.column_stack([np.ones(len(x)), x])
+    full = np.column_stack([np.ones(len(x)), x - x.mean(axis=0)])
     assert np.allclose(prep.gram(df, ["a", "b", "c"]), full.T @ full)
     w = np.exp(x[:, 2])
     assert np.allclose(prep.gram(df, ["a", "b", "c"], F.exp("c")), full.T @ (full * w[:, None]))
@@ -127,6 +127,76 @@ def test_aliased_finds_later_dependent_columns(regression):
     assert prep.aliased(prep.gram(wide, names), names) == ["dep", "const", "zero"]
 
 
+def test_columns_far_from_zero_are_no_copies(spark):
+    random = np.random.default_rng(2)
+    data = [(1e5 + float(v), float(w), 1e5 + float(v)) for v, w in random.standard_normal((300, 2))]
+    df = spark.createDataFrame(data, "far double, near double, copy double")
+    names = ["far", "near", "copy"]
+    cross = prep.gram(df, names)
+    assert prep.aliased(cross, names) == ["copy"]
+    corr = np.corrcoef(np.array(data)[:, :2].T)
+    factors = prep.variance_inflation(prep.gram(df, names[:2]))
+    assert np.allclose(factors, np.diag(np.linalg.inv(corr)), rtol=1e-6)
+
+
+def test_linear_steps_agree_with_stepwise_fits(spark):
+    random = np.random.default_rng(8)
+    x = random.standard_normal((150, 6)) + [0, 50, 0, 0, -3, 1000]
+    y = 2 * x[:, 0] + 0.3 * x[:, 1] + random.standard_normal(150)
+    names = list("abcdef")
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], ", ".join(f"{n} double" for n in [*names, "y"]))
+    left, dropped = models.linear_steps(prep.gram(df, [*names, "y"]), names, [], 0.05)
+    expected, gone = list(names), []
+    while True:
+        p_values = models.fit(df, expected, "y", "gaussian").p_values
+        worst = max(expected, key=lambda n: p_values[n])
+        if p_values[worst] <= 0.05:
+            break
+        gone.append((worst, p_values[worst]))
+        expected.remove(worst)
+    assert left == expected
+    assert [n for n, _ in dropped] == [n for n, _ in gone]
+    assert [p for _, p in dropped] == pytest.approx([p for _, p in gone], abs=1e-6)
+
+
+def test_rows_without_a_group_stay(spark):
+    df = spark.range(100).withColumn("label", F.when(F.col("id") >= 20, (F.col("id") < 40).cast("int")))
+    split = prep.stratified_split(df, "label", "id")
+    assert split.count() == 100
+    assert split.filter("label IS NULL").groupBy("split").count().count() == 3
+    grown = prep.upsample(df, "label", "id")
+    assert {r["label"]: r["count"] for r in grown.groupBy("label").count().collect()} == {None: 60, 0: 60, 1: 60}
+
+
+def test_copies_of_one_row_fill_many_tasks(spark):
+    df = spark.range(20_001).withColumn("label", (F.col("id") == 0).cast("int"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        grown = prep.upsample(df, "label", "id").filter("label = 1").withColumn("part", F.spark_partition_id())
+        parts = {r["part"]: r["count"] for r in grown.groupBy("part").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(parts.values()) == 20_000 and len(parts) == 4
+
+
+def test_scores_that_are_no_numbers_are_counted_apart(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [(0.9, 1), (None, 1), (nan, 0), (inf, 1), (-inf, 0), (0.1, 0), (0.5, 1)]
+    sweep = evaluate.cutoff_sweep(spark.createDataFrame(data, "score double, label int"), "score", "label")
+    got = {r["cutoff"]: r for r in sweep.collect()}
+    assert sorted(got) == [-inf, 0.1, 0.5, 0.9, inf]
+    assert {r["unscored"] for r in got.values()} == {2}
+    assert got[-inf]["recall"] == 1.0 and got[inf]["tp"] == 1
+    assert one(evaluate.auc(sweep))["auc"] == 1.0
+
+
+def test_auc_of_more_pairs_than_a_long_holds(spark):
+    sweep = spark.createDataFrame(
+        [(0.5, 4 * 10**9, 4 * 10**9, 4 * 10**9, 4 * 10**9)], "cutoff double, tp long, fp long, pos long, neg long"
+    )
+    assert one(evaluate.auc(sweep))["auc"] == pytest.approx(0.5)
+
+
 def test_vif_without_weights_is_the_classic_one(regression):
     df, x, *_ = regression
     mixed = df.withColumn("m", F.col("a") + 0.3 * F.col("b") + 0.2 * F.col("c"))

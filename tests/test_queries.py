@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as entry_point
 from checks.compare import connect, difference, spark_table, sql_table
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 ROOT = "/root/testdata/sf0.001"
-ROWS_ONLY = {"vif_alias", "logit_backward", "odds_ratios", "linear_backward", "kmeans_assign",
-             "scatter_sample"}
+ROWS_ONLY = {"vif_alias", "logit_backward", "odds_ratios", "linear_backward", "kmeans_assign"}
 
 pytestmark = pytest.mark.skipif(not Path(ROOT).exists(), reason="test tables are missing")
 
@@ -20,11 +21,12 @@ def duck():
 
 
 def test_every_query_has_sql_or_is_rows_only():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(QUERIES) <= set(entry_point.queries())
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
     mine = spark_table(entry_point.queries()[name](spark, ROOT))
     assert difference(mine, sql_table(duck, entry_point.oracle_sql()[name])) is None
@@ -54,8 +56,18 @@ def test_user_windows_reach_the_scan_as_a_range(spark, capsys):
     assert "LessThan(o_orderdate,1997-01-01T00:00)" in text
 
 
-def test_position_limit_is_applied_before_the_shuffle(spark):
-    assert "WindowGroupLimit" in plan(spark, "rownumber_widen")
+def test_the_marts_session_join_stands_on_shuffles(spark):
+    """A join of plain shuffles is one that the adaptive skew join can split."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, "feature_mart")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [line.lstrip(" :+-") for line in text[text.index("== Physical Plan ==") :].splitlines()]
+    joins = [i for i, line in enumerate(lines) if line.startswith("SortMergeJoin [presentation_id")]
+    assert joins
+    for i in joins:
+        assert lines[i + 1].startswith("Sort ") and lines[i + 2].startswith("Exchange hashpartitioning")
 
 
 def test_churn_needs_no_join(spark):

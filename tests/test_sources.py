@@ -66,6 +66,30 @@ def test_result_and_list_files(spark, tmp_path, format):
     assert rows(tables.event_dictionary(spark, path, format)) == [("c", "e")]
 
 
+def test_users_in_camel_case_and_missing_columns(spark, tmp_path):
+    camel = spark.createDataFrame(
+        [("a", ts("2018-08-05T10:00"), None, ("teacher",), (True, None, "school"))],
+        "externalId string, firstSeen timestamp, lastPresented timestamp, profile struct<role:string>, "
+        "primaryAccountDetails struct<currentlyPremium:boolean,currentlyOnTrial:boolean,accountType:string>",
+    )
+    flat = tables.flatten_user_facts(camel)
+    assert set(flat.columns) == set(schemas.USER_FACTS.names)
+    flat.write.parquet(f"{tmp_path}/user_facts")
+    assert tables.scan(spark, str(tmp_path), "user_facts").count() == 1
+    flat.drop("account_type").write.parquet(f"{tmp_path}/less/user_facts")
+    with pytest.raises(ValueError, match="account_type"):
+        tables.scan(spark, f"{tmp_path}/less", "user_facts")
+
+
+def test_scratch_tables_go_at_the_end(spark):
+    with session.scratch_tables(spark):
+        df = session.checkpointed(spark.range(3))
+        (folder,) = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        assert df.count() == 3
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def test_checkpointed_cuts_the_plan(spark):
     df = session.checkpointed(spark.range(5).withColumn("x", F.col("id") * 2))
     assert "Range" not in df._jdf.queryExecution().analyzed().toString()
