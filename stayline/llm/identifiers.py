@@ -169,8 +169,9 @@ def instance_scores(edges: DataFrame, rounds: int, least_seeds: int) -> DataFram
     """``instance, score`` from ``pattern, instance, seed, n``.
 
     A pattern's score is the mean of its different instances' scores, with one more of score
-    0, if it has ``least_seeds`` different seeds; else 0. An instance's is the mean of its
-    patterns' by the number of places; a seed's is 1.
+    0, if it has ``least_seeds`` different seeds; else 0, or none if it has fewer instances
+    than that. An instance's is the mean of its scored patterns' by the number of places, 0
+    if there are none; a seed's is 1.
     """
     start = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
     scores = checkpointed(start.withColumn("score", F.col("seed").cast("double")))
@@ -180,17 +181,18 @@ def instance_scores(edges: DataFrame, rounds: int, least_seeds: int) -> DataFram
             .groupBy("pattern")
             .agg(
                 (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("pattern_score"),
+                F.count(F.lit(1)).alias("instances"),
                 F.count(F.when(F.col("seed"), 1)).alias("seeds"),
             )
         )
-        patterns = checkpointed(
-            patterns.select("pattern", F.when(F.col("seeds") >= least_seeds, F.col("pattern_score")).otherwise(0.0).alias("pattern_score"))
-        )
+        judged = F.when(F.col("seeds") >= least_seeds, F.col("pattern_score")).when(F.col("instances") >= least_seeds, 0.0)
+        patterns = checkpointed(patterns.select("pattern", judged.alias("pattern_score")))
+        told = F.when(F.col("pattern_score").isNotNull(), F.col("n"))
         scores = checkpointed(
             edges.join(patterns, "pattern")
             .groupBy("instance")
-            .agg(F.max("seed").alias("seed"), (F.sum(F.col("pattern_score") * F.col("n")) / F.sum("n")).alias("mean"))
-            .select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("mean")).alias("score"))
+            .agg(F.max("seed").alias("seed"), (F.sum(F.col("pattern_score") * F.col("n")) / F.sum(told)).alias("mean"))
+            .select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("mean", F.lit(0.0))).alias("score"))
         )
     return scores
 

@@ -2,14 +2,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from corpus_helpers import CLASHES, DOC
 
 from stayline.llm.oracles import ORACLES
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long"
-# names that the operators use inside
-CLASHES = ("n", "key", "chunk", "bucket", "a", "b", "component", "slot", "fine", "row", "base", "label", "size", "segment")
-
-
 @pytest.fixture
 def docs(spark):
     """Makes documents of (id, text[, source]), with extra columns whose names clash."""
@@ -24,12 +20,6 @@ def docs(spark):
     return make
 
 
-def counted(df):
-    """The rows as a multiset, by column name."""
-    names = sorted(df.columns)
-    return Counter(tuple(str(r[n]) for n in names) for r in df.collect())
-
-
 @pytest.fixture
 def by_sql():
     """The multiset of rows that a query's SQL gives over Arrow tables."""
