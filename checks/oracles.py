@@ -860,6 +860,14 @@ FROM (SELECT split AS part, quality AS label, total AS n FROM splits
 FROM docs GROUP BY quality""",
         DOCS,
     ),
+    "picked_split": _with("SELECT quality, split, total FROM splits", DOCS, SPLIT_SIZES),
+    "linear_line": """SELECT round(regr_slope(c_acctbal, c_nationkey), 3) AS slope,
+  round(regr_intercept(c_acctbal, c_nationkey), 1) AS intercept FROM customer""",
+    "inflation_of_two": """SELECT unnest(['c_nationkey', 'c_custkey']) AS term,
+  round(1 / (1 - corr(c_nationkey, c_custkey) ** 2), 6) AS vif, false AS is_aliased
+FROM customer""",
+    "logit_score_equations": """SELECT unnest(['log_chars', 'chars_mod_7', '(Intercept)']) AS term,
+  count(*) > 0 AS is_zero FROM labels""",
     "cutoff_sweep": _with("SELECT *, CAST(0 AS BIGINT) AS unscored FROM sweep", DOCS, SWEEP),
     "best_cutoff": _with(
         "SELECT *, CAST(0 AS BIGINT) AS unscored FROM sweep ORDER BY f1 DESC, cutoff DESC LIMIT 1", DOCS, SWEEP

@@ -847,6 +847,82 @@ def linear_backward(r: Roles) -> DataFrame:
     return evaluate.rmse(models.score(result, held_out), "label")
 
 
+@register
+def free_later_terms(r: Roles) -> DataFrame:
+    return _terms(r, "free_later")
+
+
+@register
+def premiumtrial_later_terms(r: Roles) -> DataFrame:
+    return _terms(r, "premiumtrial_later")
+
+
+def _terms(r: Roles, name: str) -> DataFrame:
+    preset = presets.PRESETS[name]
+    train, _, names = _split_rows(r, preset)
+    result = models.backward(train, names, "label", preset.family, preset.level)
+    return models.coefficients(r.spark, result)
+
+
+@register
+def held_out_evaluation(r: Roles) -> DataFrame:
+    preset = presets.PRESETS["used_later"]
+    train, held_out, names = _split_rows(r, preset)
+    result = models.backward(train, names, "label", preset.family, preset.level)
+    sweep = evaluate.cutoff_sweep(models.score(result, held_out), "prediction", "label")
+    best = evaluate.best_cutoff(sweep).select("cutoff", "accuracy", "precision", "recall", "f1")
+    return best.join(evaluate.auc(sweep), F.lit(True))
+
+
+@register
+def picked_split(r: Roles) -> DataFrame:
+    split = prep.stratified_split(_labelled_documents(r), "quality", "doc_id")
+    parts = [
+        part.withColumn("split", F.lit(name))
+        for validate, held in ((False, prep.TEST), (True, prep.VALIDATION))
+        for part, name in zip(prep.pick_split(split, validate), (prep.TRAIN, held))
+    ]
+    # the training rows come with either choice of the held-out ones
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[3])
+    return explore.count_by(rows, "quality", "split")
+
+
+def _balances(r: Roles) -> DataFrame:
+    columns = ("c_acctbal", "c_nationkey", "c_custkey")
+    return r.table("customer").select(*[F.col(c).cast("double").alias(c) for c in columns])
+
+
+@register
+def linear_line(r: Roles) -> DataFrame:
+    fitted = models.fit(_balances(r), ["c_nationkey"], "c_acctbal", "gaussian").model
+    line = [(round(float(fitted.coefficients[0]), 3), round(float(fitted.intercept), 1))]
+    return r.spark.createDataFrame(line, "slope double, intercept double")
+
+
+@register
+def inflation_of_two(r: Roles) -> DataFrame:
+    found = models.collinearity(
+        r.spark, _balances(r), ["c_nationkey", "c_custkey"], "c_acctbal", "gaussian"
+    )
+    return found.select("term", F.round("vif", 6).alias("vif"), "is_aliased")
+
+
+@register
+def logit_score_equations(r: Roles) -> DataFrame:
+    rows = _labelled_documents(r).select(
+        F.col("quality").cast("double").alias("label"),
+        F.log1p(F.col("n_chars").cast("double")).alias("log_chars"),
+        (F.col("n_chars") % 7).cast("double").alias("chars_mod_7"),
+    )
+    names = ["log_chars", "chars_mod_7"]
+    scored = models.score(models.fit(rows, names, "label", "binomial"), rows)
+    error = F.col("label") - F.col("prediction")
+    sums = [F.avg(error * F.col(n)).alias(n) for n in names]
+    wide = scored.agg(*sums, F.avg(error).alias("(Intercept)"))
+    long = wide.unpivot([], [*names, "(Intercept)"], "term", "score")
+    return long.select("term", (F.abs("score") < 1e-6).alias("is_zero"))
+
+
 @register
 def kmeans_assign(r: Roles) -> DataFrame:
     rows, names = _model_rows(r, presets.PRESETS["clusters"])

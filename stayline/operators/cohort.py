@@ -88,24 +88,32 @@ def first_last_status(launches: DataFrame, cohort: Cohort, periods: Sequence[Per
     never inside the period, are not. Two launches at one time with different status
     resolve to the smaller known status for the first and the larger for the last.
 
+    The statuses come from one scan of the days that any member's windows can touch.
     Launches are reduced to one row per member and status first, which is a plain hash
-    aggregate on times; picking the status happens on that small result. There is no
-    join back to the launches.
+    aggregate on times; picking the status happens on that small result. Who launched at
+    all is told by a scan of the ids and times alone.
     """
     day, first = F.to_date("timestamp"), F.col("first_day")
-    joined = lookup_join(
+    spans = [p.span(cohort.first_from, cohort.first_to) for p in periods]
+    ranged = between_days(
         launches.select(F.col("user_id").alias("teacher"), "timestamp", "account_status"),
-        cohort.first_days,
+        "timestamp",
+        min(s[0] for s in spans),
+        max(s[1] for s in spans),
+    )
+    joined = lookup_join(ranged, cohort.first_days, ["teacher"], small=cohort.small)
+    ever = lookup_join(
+        launches.select(F.col("user_id").alias("teacher"), "timestamp"),
+        cohort.members.select("teacher"),
         ["teacher"],
         small=cohort.small,
     )
+    ever = ever.groupBy("teacher").agg(F.count_if(F.col("timestamp").isNull()).alias("undated"))
     bounds = []
     for i, period in enumerate(periods):
         inside = F.when(period.contains(day, first), F.col("timestamp"))
         bounds += [F.min(inside).alias(f"lo{i}"), F.max(inside).alias(f"hi{i}")]
-    per_status = joined.groupBy("teacher", "account_status").agg(
-        *bounds, F.count_if(F.col("timestamp").isNull()).alias("undated")
-    )
+    per_status = joined.groupBy("teacher", "account_status").agg(*bounds)
     known, status = F.col("account_status").isNotNull(), F.col("account_status")
     picks = []
     for i, period in enumerate(periods):
@@ -123,7 +131,7 @@ def first_last_status(launches: DataFrame, cohort: Cohort, periods: Sequence[Per
                 ),
             ).alias(f"p{i}")
         )
-    per_user = per_status.groupBy("teacher").agg(*picks, F.sum("undated").alias("undated"))
+    per_user = per_status.groupBy("teacher").agg(*picks)
     never = F.array(
         *[
             F.struct(
@@ -138,6 +146,7 @@ def first_last_status(launches: DataFrame, cohort: Cohort, periods: Sequence[Per
     )
     return (
         cohort.members.select("teacher")
+        .join(ever, "teacher", "left")
         .join(per_user, "teacher", "left")
         .select("teacher", "undated", F.inline(never))
         .filter(
