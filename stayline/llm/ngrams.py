@@ -27,7 +27,7 @@ from stayline.session import checkpointed
 
 SLOTS = 1 << 18
 SLICE = 1 << 14
-BINS = 16
+BINS = 256
 ID_SLOTS = 1 << 20
 BLOCK = 256
 Batches = Iterator[pa.RecordBatch]
@@ -104,8 +104,8 @@ def _prefixes(size: int, percent: int, loads) -> Callable[[Batches], Batches]:
                 rows["low"].append(digest[1])
                 rows["rarest"].append(int(weight[first[0]]))
                 rows["grams"].append(grams[first].view(np.int64))
-                rows["bins"].append(np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=BINS))
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+                rows["bins"].append(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=BINS).astype(np.int32))
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, kind) for v, kind in zip(rows.values(), kinds, strict=True)], names=list(rows)
             )
@@ -188,7 +188,7 @@ class _Join:
         )
         prefixes = self.rows.mapInArrow(
             _prefixes(self.size, self.percent, self.spark.sparkContext.broadcast(table)),
-            "doc_id long, n long, high long, low long, rarest long, grams array<long>, bins array<long>",
+            "doc_id long, n long, high long, low long, rarest long, grams array<long>, bins array<int>",
         )
         self.prefixes = checkpointed(
             prefixes.join(
@@ -228,8 +228,8 @@ class _Join:
             pairs = pairs.join(
                 bins.select(F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("bins").alias(f"bins_{end}")), end
             )
-        # suffix filter: members whose hashes start differently cannot be common
-        common = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda x, y: x + y)
+        # suffix filter: n-grams whose hashes start differently are not common
+        common = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
         near = (100 + self.percent) * common >= self.percent * (F.col("n_a") + F.col("n_b"))
         pairs = checkpointed(pairs.where(near).select("a", "b"))
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(ID_SLOTS))
