@@ -11,7 +11,9 @@ and the other way round.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +25,23 @@ from stayline.llm.words import Rolling, mixed
 from stayline.session import checkpointed
 
 # fixed values: words that count as units after a number
-UNITS = (
+_UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres "
     "kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds "
     "ounce ounces ton tons ml l liter liters litre litres cup cups gallon gallons s sec secs second seconds "
     "min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
     "percent degree degrees dollar dollars cent cents euro euros usd eur gbp mph kmh kwh watt watts volt volts"
 ).split()
+_UNIT_NAMES = frozenset(_UNITS)
+UNITS = frozenset(u.encode() for u in _UNITS)
 LITERAL, NUMBER, UNIT, NAME, MEASURE = range(5)
 WINDOW, LEAST_LITERALS, LEAST_TOKENS = 8, 4, 13
 SLOTS = 1 << 22
-_KEPT_WORDS = 200_000
+GROUP_WORDS = 100_000
+_KEPT_WORDS = 400_000
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*[%$€£]?")
 _MEASURE = re.compile(r"[+-]?\d[\d.,]*([a-z]+)")
+_EDGE_BYTES = b"\"'`()[]{}<>|*#$%&!?.,;:-_/\\"
 _EDGES = "\"'`()[]{}<>|*#$%&!?.,;:–—-_/\\“”„«»¿¡"
 _BASE = 0x9E3779B97F4A7C15
 _KINDS = np.array([xxhash.xxh3_64_intdigest(f"<{k}>") for k in ("", "number", "unit", "name", "measure")], np.uint64)
@@ -43,98 +49,124 @@ HIT = "place long, size long, hash long, slots array<long>"
 Batches = Iterator[pa.RecordBatch]
 
 
-class Templates:
-    """Turns texts into template tokens; what a word is by itself is remembered."""
+def _letters(core: str | bytes) -> int:
+    if core.lower() in (UNITS if isinstance(core, bytes) else _UNIT_NAMES):
+        return UNIT
+    return NAME if len(core) > 1 and core[:1].isupper() and core[1:].islower() else LITERAL
+
+
+class _Kinds(dict):
+    """A number for each word; ``value``, ``kind`` and ``ends`` hold what it is by itself."""
 
     def __init__(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.rows: list[tuple[int, int, bool]] = []
-        self.table: np.ndarray = np.empty((0, 3), np.uint64)
-
-    def _code(self, word: bytes) -> int:
-        text = word.decode()
-        ends = text[-1] in ".!?:;|"
-        core = text if _NUMBER.fullmatch(text) else text.strip(_EDGES)
-        low = core.lower()
-        kind = LITERAL
-        if _NUMBER.fullmatch(low):
-            kind = NUMBER
-        elif (m := _MEASURE.fullmatch(low)) and m[1] in UNITS:
-            kind = MEASURE
-        elif low in UNITS:
-            kind = UNIT
-        elif len(core) > 1 and core[0].isupper() and core[1:].islower():
-            kind = NAME
-        value = xxhash.xxh3_64_intdigest(low) if core else 0
-        self.rows.append((value, kind, ends))
-        return len(self.rows) - 1
-
-    def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template hashes, values, is a slot) of the tokens; pure punctuation is no token."""
-        words = (text or b"").split()
-        if len(self.codes) > _KEPT_WORDS:
-            self.__init__()
-        codes = self.codes
-        for word in set(words).difference(codes):
-            codes[word] = self._code(word)
-        if len(self.table) < len(self.rows):
-            new = np.array(self.rows[len(self.table) :], np.uint64).reshape(-1, 3)
-            self.table = np.concatenate((self.table, new))
-        found = self.table[np.fromiter(map(codes.__getitem__, words), np.int64, len(words))]
-        found = found[found[:, 0] != 0]
-        value, kind, ends = found[:, 0], found[:, 1].astype(np.int64), found[:, 2].astype(bool)
-        first = np.ones(len(found), bool)
-        first[1:] = ends[:-1]
-        after_number = np.zeros(len(found), bool)
-        after_number[1:] = kind[:-1] == NUMBER
-        kind = np.where((kind == NAME) & first | (kind == UNIT) & ~after_number, LITERAL, kind)
-        slot = kind != LITERAL
-        return np.where(slot, _KINDS[kind], value), value, slot
+        self.value, self.kind, self.ends = array("Q"), bytearray(), bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        core = word.strip(_EDGE_BYTES)
+        if core.isalpha():  # plain words, by far the most
+            kind, low = _letters(core), core.lower()
+        else:
+            text = word.decode()
+            core = text if _NUMBER.fullmatch(text) else text.strip(_EDGES)
+            low = core.lower()
+            if core.isalpha():
+                kind = _letters(core)
+            elif _NUMBER.fullmatch(low):
+                kind = NUMBER
+            elif (m := _MEASURE.fullmatch(low)) and m[1].encode() in UNITS:
+                kind = MEASURE
+            else:
+                kind = LITERAL
+        self.value.append(xxhash.xxh3_64_intdigest(low) if core else 0)
+        self.kind.append(kind)
+        self.ends.append(word[-1] in b".!?:;|")
+        number = self[word] = len(self.kind) - 1
+        return number
 
 
-class _Windows:
-    def __init__(self, sizes: list[int]):
-        self.rolling = {size: Rolling(size, _BASE) for size in sizes}
+class Tokens:
+    """The template tokens of several texts in a row; pure punctuation is no token."""
 
-    def of(self, tokens: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the windows with enough literal tokens."""
-        hashes = mixed(self.rolling[size].of(tokens) + np.uint64(size))
-        literals = np.concatenate(([0], np.cumsum(~slot)))
-        enough = literals[size:] - literals[: len(literals) - size] >= LEAST_LITERALS if len(hashes) else []
-        places = np.flatnonzero(enough)
+    def __init__(self, kinds: _Kinds, texts: list[list[bytes]]):
+        codes = np.fromiter(map(kinds.__getitem__, chain.from_iterable(texts)), np.int64)
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        value = np.array(kinds.value, np.uint64)[codes]
+        there = np.flatnonzero(value)
+        codes, self.text, self.value = codes[there], text[there], value[there]
+        kind = np.frombuffer(bytes(kinds.kind), np.uint8)[codes]
+        ends = np.frombuffer(bytes(kinds.ends), np.bool_)[codes]
+        same = np.zeros(len(codes), bool)
+        same[1:] = self.text[1:] == self.text[:-1]
+        first, after_number = ~same, same.copy()
+        first[1:] |= ends[:-1]
+        after_number[1:] &= kind[:-1] == NUMBER
+        kind = np.where((kind == NAME) & first | (kind == UNIT) & ~after_number, LITERAL, kind)
+        self.slot = kind != LITERAL
+        self.hash = np.where(self.slot, _KINDS[kind], self.value)
+        self.literals = np.concatenate(([0], np.cumsum(~self.slot)))
+        self.start = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    def windows(self, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the windows inside one text that have enough literal tokens."""
+        size = rolling.window
+        hashes = mixed(rolling.of(self.hash) + np.uint64(size))
+        if not len(hashes):
+            return np.empty(0, np.int64), hashes
+        enough = self.literals[size:] - self.literals[: len(hashes)] >= LEAST_LITERALS
+        places = np.flatnonzero(enough & (self.text[: len(hashes)] == self.text[size - 1 :]))
         return places, hashes[places]
 
+    def row(self, place: int, size: int, h: np.uint64) -> tuple:
+        """``place`` (in its text), ``size, hash, slots`` of a window."""
+        own = slice(place, place + size)
+        slots = np.where(self.slot[own], self.value[own], 0).view(np.int64)
+        return place - self.start[self.text[place]], size, h.astype(np.int64), slots
+
 
-def _slots(value: np.ndarray, slot: np.ndarray, place: int, size: int) -> np.ndarray:
-    own = slice(place, place + size)
-    return np.where(slot[own], value[own], 0).view(np.int64)
+def _groups(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The words of the texts, in groups of many words; each with the number of its first text."""
+    group, words, first = [], 0, 0
+    for k, text in enumerate(texts):
+        group.append((text or b"").split())
+        words += len(group[-1])
+        if words >= GROUP_WORDS:
+            yield first, group
+            group, words, first = [], 0, k + 1
+    if group:
+        yield first, group
 
 
 def _item_windows(batches: Batches) -> Batches:
-    templates, windows = Templates(), _Windows(list(range(LEAST_LITERALS, WINDOW + 1)))
+    rolling = {size: Rolling(size, _BASE) for size in range(LEAST_LITERALS, WINDOW + 1)}
+    kinds = _Kinds()
     for batch in batches:
         rows: list[tuple] = []
         for item, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            tokens, value, slot = templates.of(text)
-            size = min(WINDOW, len(tokens))
+            tokens = Tokens(kinds, [(text or b"").split()])
+            size = min(WINDOW, len(tokens.hash))
             if item is None or size < LEAST_LITERALS:
                 continue
-            for place, h in zip(*windows.of(tokens, slot, size), strict=True):
-                rows.append((item, len(tokens), place, size, h.astype(np.int64), _slots(value, slot, place, size)))
+            for place, h in zip(*tokens.windows(rolling[size]), strict=True):
+                rows.append((item, len(tokens.hash), *tokens.row(place, size, h)))
         yield _batch(rows, ["item_id", "n_tokens", "place", "size", "hash", "slots"])
 
 
 def _doc_windows(sizes: list[int], wanted) -> Callable[[Batches], Batches]:
     def find(batches: Batches) -> Batches:
-        templates, windows = Templates(), _Windows(sizes)
+        rolling = [Rolling(size, _BASE) for size in sizes]
+        kinds = _Kinds()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, key, text in zip(*(batch[k].to_pylist() for k in ("doc_id", "text_key", "text")), strict=True):
-                tokens, value, slot = templates.of(text)
-                for size in sizes:
-                    places, hashes = windows.of(tokens, slot, size)
+            ids, keys = batch["doc_id"].to_pylist(), batch["text_key"].to_pylist()
+            for first, texts in _groups(batch["text"].to_pylist()):
+                if len(kinds) > _KEPT_WORDS:
+                    kinds = _Kinds()
+                tokens = Tokens(kinds, texts)
+                for windows in rolling:
+                    places, hashes = tokens.windows(windows)
                     for k in np.flatnonzero(wanted.value[hashes % np.uint64(SLOTS)]):
-                        rows.append((doc, key, places[k], size, hashes[k].astype(np.int64), _slots(value, slot, places[k], size)))
+                        doc = first + tokens.text[places[k]]
+                        rows.append((ids[doc], keys[doc], *tokens.row(places[k], windows.window, hashes[k])))
             yield _batch(rows, ["doc_id", "text_key", "place", "size", "hash", "slots"])
 
     return find
