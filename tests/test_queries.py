@@ -1,5 +1,7 @@
 """Registered queries against their SQL on the smallest test tables, and their plans."""
 
+import importlib.util
+import sys
 from pathlib import Path
 
 import pytest
@@ -33,6 +35,14 @@ def test_query_matches_sql(spark, duck, name):
     assert difference(mine, sql_table(duck, entry_point.oracle_sql()[name])) is None
 
 
+def test_entry_stands_without_the_corpus_operators(monkeypatch):
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    spec = importlib.util.spec_from_file_location("bare_entry", entry_point.__file__)
+    bare = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(bare)
+    assert set(bare.queries()) == set(QUERIES) and set(bare.oracle_sql()) == set(ORACLES)
+
+
 def test_entry_gives_rows(spark):
     assert entry_point.entry(spark).limit(1).count() == 1
 
