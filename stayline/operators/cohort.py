@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.labels import account_status
 from stayline.functions.periods import Period, between_days
-from stayline.operators.joins import fits_broadcast, lookup_join
+from stayline.operators.joins import duplicate_keys, fits_broadcast, lookup_join
 from stayline.session import checkpointed
 
 
@@ -32,8 +32,8 @@ def cohort_members(
 class Cohort:
     """Cohort members with the facts the activity operators plan with.
 
-    The members are stored once, and ``small``, which allows a broadcast into the event
-    joins, is decided on the stored rows. The first-seen range bounds the days an event
+    The members are stored once, must be one row per user, and ``small``, which allows a
+    broadcast into the event joins, is decided on the stored rows. The first-seen range bounds the days an event
     scan must read.
     """
 
@@ -47,6 +47,8 @@ class Cohort:
         cls, users: DataFrame, first_from: date, first_to: date, excluded_role: str
     ) -> Cohort:
         members = checkpointed(cohort_members(users, first_from, first_to, excluded_role))
+        if not duplicate_keys(members).isEmpty():
+            raise ValueError("the user table has several rows for one id")
         return cls(members, first_from, first_to, fits_broadcast(members))
 
     @property

@@ -243,3 +243,9 @@ def test_fits_broadcast(spark):
 def test_duplicate_keys(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "teacher string")
     assert rows(joins.duplicate_keys(df)) == [("a", 2)]
+
+
+def test_a_user_with_two_rows_is_refused(tables):
+    users = tables.users(("a", "2018-08-05T10:00", "teacher"), ("a", "2018-08-06T10:00", "teacher"))
+    with pytest.raises(ValueError, match="several rows"):
+        Cohort.select(users, date(2018, 8, 5), date(2018, 8, 18), "student")
