@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stayline.llm.components import components
 from stayline.session import checkpointed
 
-BUCKET = 64
+BUCKET = 128
 BLOCK = 2048
 MISSED = 5e-4
 DEVIATIONS = 3.0
@@ -37,7 +37,7 @@ Batches = Iterator[pa.RecordBatch]
 def tables_for(count: int, threshold: float) -> tuple[int, int]:
     """(bits of a key, tables) for so many vectors.
 
-    Keys are long enough for buckets of about 64 unrelated vectors, and there are enough
+    Keys are long enough for buckets of about 100 unrelated vectors, and there are enough
     tables that a pair right at the threshold fails to meet with a chance of ``MISSED``.
     """
     bits = max(6, math.ceil(math.log2(max(count, 1) / BUCKET)))
@@ -117,7 +117,8 @@ def _sides(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the two sides; the same if a block meets itself."""
     own = run["own"].to_numpy()
     if run["low"][0].as_py() == run["high"][0].as_py():
-        return np.arange(len(own)), np.arange(len(own))
+        every = np.arange(len(own))
+        return every, every
     return np.flatnonzero(own == run["low"][0].as_py()), np.flatnonzero(own == run["high"][0].as_py())
 
 
@@ -136,7 +137,8 @@ def _estimate(threshold: float) -> Callable[[Batches], Batches]:
         error = DEVIATIONS * np.sqrt(np.maximum(1 - factor**2, 0) / max(dim - 1, 1)) / factor
         one, two = _sides(run)
         near = np.zeros(len(run), bool)
-        for a, b in ((one, two), (two, one)):
+        # a block with itself holds each pair both ways already
+        for a, b in ((one, two), (two, one))[: 1 if one is two else 2]:
             if not len(a) or not len(b):
                 continue
             for part in np.array_split(a, -(-len(a) // 512)):
@@ -169,7 +171,7 @@ def _exact(threshold: float, bits: int, tables: int) -> Callable[[Batches], Batc
         for part in np.array_split(one, -(-len(one) // 256) or 1):
             i, j = np.nonzero(unit[part] @ unit[two].T >= threshold)
             i, j = part[i], two[j]
-            i, j = (i[i < j], j[i < j]) if one is two or len(one) == len(run) else (i, j)
+            i, j = (i[i < j], j[i < j]) if one is two else (i, j)
             first = (keys[i] == keys[j]).argmax(axis=1) if len(i) else np.empty(0, np.int64)
             pairs.append((i[first == table], j[first == table]))
         i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
@@ -233,7 +235,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     )
     sketches = checkpointed(sketches)
     entries = sketches.select("rep", "tag", "dim", "sketch", F.explode("keys").alias("key"))
-    # at most tables x 2**bits rows, about as many as 1 / 64 of the entries; only the large buckets
+    # at most tables x 2**bits rows, a hundredth of the entries; only the large buckets
     large = (
         entries.groupBy("key", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
         .select("key", "dim", F.ceil(F.col("n") / BLOCK).alias("blocks"))
