@@ -79,7 +79,9 @@ class Logistic:
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(design @ model.weights, -30, 30)))
             slope = design.T @ (p - y) + penalty * model.weights
-            curve = (design * (p * (1 - p) + 1e-6)[:, None]).T @ design + np.diag(penalty)
+            curve, weight = np.diag(penalty), p * (1 - p) + 1e-6
+            for rows in np.array_split(np.arange(len(design)), len(design) // 4096 + 1):
+                curve = curve + (design[rows] * weight[rows, None]).T @ design[rows]
             step = np.linalg.solve(curve, slope)
             model.weights = model.weights - step
             if np.abs(step).max() < 1e-6:
@@ -198,13 +200,15 @@ def train(
     features = texts.mapInArrow(_features, "doc_id long, by_text array<double>, by_metadata array<double>")
     # rows that repeat an id could pass the bound; the smallest of them stands for all
     features = features.groupBy("doc_id").agg(F.min(F.struct("by_text", "by_metadata")).alias("f"))
-    found = features.join(F.broadcast(sample), "doc_id").select("f.*", "label", "order", "doc_id").toPandas()
-    found = found.sort_values(["order", "doc_id"])
-    known = found["label"].notna().to_numpy()
+    found = features.join(F.broadcast(sample), "doc_id").select("f.*", "label", "order", "doc_id").toArrow()
+    found = found.sort_by([("order", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    known = found["label"].is_valid().to_numpy()
     y = found["label"].to_numpy()[known]
     if len(set(y)) < 2:
         return None
-    x = [np.array(found[c].tolist()) for c in ("by_text", "by_metadata")]
+    # without Python objects: the driver holds the samples as plain matrices
+    x = [found[c].combine_chunks().flatten().to_numpy().reshape(len(found), -1) for c in ("by_text", "by_metadata")]
+    del found
     return CoTrained.fit(tuple(part[known] for part in x), y, tuple(part[~known] for part in x), rounds, handed)
 
 
