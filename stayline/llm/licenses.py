@@ -16,12 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.words import Rolling, mixed
+from stayline.llm.words import Rolling, each_text, mixed
 
 GRAM, WINNOW, BAND = 3, 2, 8
 LEAST_COVERAGE = 0.8
 MOST_TEMPLATE_WORDS = 1_000_000
-_KEPT_WORDS = 200_000
+_KEPT_WORDS = 100_000
 _BASE = 0xD1342543DE82EF95
 _VALUE = np.uint64(xxhash.xxh3_64_intdigest("<version>"))
 Batches = Iterator[pa.RecordBatch]
@@ -189,7 +189,7 @@ def _find(templates: Mapping[str, str], band: int, least: float) -> Callable[[Ba
         kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([matches(t) for t in batch["text"].to_pylist()], kind)], names=["doc_id", "matches"]
+                [batch["doc_id"], pa.array([matches(t) for t in each_text(batch["text"])], kind)], names=["doc_id", "matches"]
             )
 
     return find

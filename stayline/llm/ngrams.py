@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.llm.components import components
-from stayline.llm.words import WordHashes, lower_ascii, shingles
+from stayline.llm.words import WordHashes, each_text, lower_ascii, shingles
 from stayline.session import checkpointed
 
 SLOTS = 1 << 18
@@ -55,7 +55,7 @@ def _count(size: int) -> Callable[[Batches], Batches]:
         sets, hits = _Sets(size), np.zeros(SLOTS, np.int64)
         for batch in batches:
             sizes, high, low = [], [], []
-            for text in batch["text"].to_pylist():
+            for text in each_text(batch["text"]):
                 grams = sets.of(text)
                 hits += np.bincount((grams % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS) if len(grams) > 20_000 else 0
                 if len(grams) <= 20_000:
@@ -85,7 +85,7 @@ def _prefixes(size: int, percent: int, loads) -> Callable[[Batches], Batches]:
         sets, load = _Sets(size), loads.value
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("doc_id", "n", "high", "low", "rarest", "grams", "bins")}
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), each_text(batch["text"]), strict=True):
                 grams = sets.of(text)
                 if doc_id is None or not len(grams):
                     continue
@@ -122,7 +122,7 @@ def _fetch(size: int, wanted) -> Callable[[Batches], Batches]:
             keep = np.flatnonzero(wanted.value[batch["slot"].to_numpy()])
             batch = batch.take(pa.array(keep))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([sets.of(t).tobytes() for t in batch["text"].to_pylist()], pa.binary())],
+                [batch["doc_id"], pa.array([sets.of(t).tobytes() for t in each_text(batch["text"])], pa.binary())],
                 names=["doc_id", "grams"],
             )
 

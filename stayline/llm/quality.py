@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stayline.llm.words import each_text
+
 LABELLED = 20_000
 UNLABELLED = 20_000
 ROUNDS = 4
@@ -147,7 +149,7 @@ class CoTrained:
 
 
 def _arrays(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    text = [text_features(t) for t in batch["text"].to_pylist()]
+    text = [text_features(t) for t in each_text(batch["text"])]
     meta = [metadata_features(*r) for r in zip(*(batch[k].to_pylist() for k in ("lang", "source", "n_chars")), strict=True)]
     return np.array(text).reshape(len(text), -1), np.array(meta).reshape(len(meta), -1)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.words import Rolling, mixed
+from stayline.llm.words import Rolling, each_text, mixed
 from stayline.session import checkpointed
 
 # fixed values: words that count as units after a number
@@ -38,7 +38,7 @@ LITERAL, NUMBER, UNIT, NAME, MEASURE = range(5)
 WINDOW, LEAST_LITERALS, LEAST_TOKENS = 8, 4, 13
 SLOTS = 1 << 22
 GROUP_WORDS = 100_000
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 150_000
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*[%$€£]?")
 _MEASURE = re.compile(r"[+-]?\d[\d.,]*([a-z]+)")
 _EDGE_BYTES = b"\"'`()[]{}<>|*#$%&!?.,;:-_/\\"
@@ -123,7 +123,7 @@ class Tokens:
         return place - self.start[self.text[place]], size, h.astype(np.int64), slots
 
 
-def _groups(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+def _groups(texts: Iterator[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
     """The words of the texts, in groups of many words; each with the number of its first text."""
     group, words, first = [], 0, 0
     for k, text in enumerate(texts):
@@ -158,7 +158,7 @@ def _doc_windows(sizes: list[int], wanted) -> Callable[[Batches], Batches]:
         for batch in batches:
             rows: list[tuple] = []
             ids, keys = batch["doc_id"].to_pylist(), batch["text_key"].to_pylist()
-            for first, texts in _groups(batch["text"].to_pylist()):
+            for first, texts in _groups(each_text(batch["text"])):
                 if len(kinds) > _KEPT_WORDS:
                     kinds = _Kinds()
                 tokens = Tokens(kinds, texts)

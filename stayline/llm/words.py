@@ -6,13 +6,14 @@ U+000D, which is what ``bytes.split`` yields on UTF-8 text.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WORD = r"[^\x20\x09-\x0D]+"
-_KEPT_WORDS = 200_000
+_KEPT_WORDS = 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -29,6 +30,11 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def each_text(column: pa.Array) -> Iterator[bytes | None]:
+    """The texts one after the other, so that not all of a batch are copied at once."""
+    return (text.as_py() for text in column)
+
+
 def lower_ascii(text: bytes) -> bytes:
     """The letters A to Z in lower case, all else as it is."""
     return text.translate(_LOWER)
