@@ -3,9 +3,10 @@
 Numbers, names and units become typed placeholders, so that a question with other values
 in it has the same template. Windows of template tokens are hashed; a table of fixed size
 of the benchmark's hashes drops nearly all windows of a document where they are made, and
-the rest is joined. Windows of one document and item on the same diagonal form a match;
-it counts if its slots agree: each value of the item stands for one value of the document
-and the other way round.
+the rest is joined. Windows of one document and item on the same diagonal form a match if
+their slots agree: each value of the item stands for one value of the document. Where they
+do not, the match falls apart at the slots that disagree, and tokens in a row with the
+item's own values are a match in any case.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ GROUP_WORDS = 100_000
 _KEPT_WORDS = 150_000
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*[%$€£]?")
 _MEASURE = re.compile(r"[+-]?\d[\d.,]*([a-z]+)")
+# what may stand before and after a number without being part of it
+_BEFORE = "\"'`()[]{}<>|*#&!?;_\\“”„«»¿¡"
+_AFTER = _BEFORE + ".,:/–—-"
 _EDGE_BYTES = b"\"'`()[]{}<>|*#$%&!?.,;:-_/\\"
 _EDGES = "\"'`()[]{}<>|*#$%&!?.,;:–—-_/\\“”„«»¿¡"
 _BASE = 0x9E3779B97F4A7C15
@@ -67,7 +71,8 @@ class _Kinds(dict):
             kind, low = _letters(core), core.lower()
         else:
             text = word.decode()
-            core = text if _NUMBER.fullmatch(text) else text.strip(_EDGES)
+            number = text.lstrip(_BEFORE).rstrip(_AFTER)
+            core = number if _NUMBER.fullmatch(number) else text.strip(_EDGES)
             low = core.lower()
             if core.isalpha():
                 kind = _letters(core)
@@ -146,9 +151,10 @@ def _item_windows(batches: Batches) -> Batches:
             size = min(WINDOW, len(tokens.hash))
             if item is None or size < LEAST_LITERALS:
                 continue
+            key = int(np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64))
             for place, h in zip(*tokens.windows(rolling[size]), strict=True):
-                rows.append((item, len(tokens.hash), *tokens.row(place, size, h)))
-        yield _batch(rows, ["item_id", "n_tokens", "place", "size", "hash", "slots"])
+                rows.append((item, key, len(tokens.hash), *tokens.row(place, size, h)))
+        yield _batch(rows, ["item_id", "item_key", "n_tokens", "place", "size", "hash", "slots"])
 
 
 def _doc_windows(sizes: list[int], wanted) -> Callable[[Batches], Batches]:
@@ -172,6 +178,73 @@ def _doc_windows(sizes: list[int], wanted) -> Callable[[Batches], Batches]:
     return find
 
 
+def _stretches(there: np.ndarray) -> list[tuple[int, int]]:
+    """First and last place of each maximal stretch of true places."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], there, [False])).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
+
+
+def _standing(item: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether the slots agree: a value of the item stands for one of the document.
+
+    If it stands for several, those places agree that hold the value of more than half of
+    its places, or none.
+    """
+    agree = np.ones(len(item), bool)
+    slots = np.flatnonzero(item)
+    for value in np.unique(item[slots]):
+        places = slots[item[slots] == value]
+        values, counts = np.unique(doc[places], return_counts=True)
+        if len(values) > 1:
+            main = counts.argmax()
+            agree[places] = (doc[places] == values[main]) & (2 * counts[main] > len(places))
+    return agree
+
+
+def best_match(windows: list[dict], size: int, least: int) -> tuple[int, bool, int, int] | None:
+    """``covered, same_values, first, last`` of the best match on one diagonal, in item places.
+
+    A match is all windows, if their slots agree; else a stretch of tokens in a row, up to
+    the slots that disagree in it, or of tokens in a row whose values are the item's own.
+    """
+    base = min(w["item_place"] for w in windows)
+    width = max(w["item_place"] for w in windows) + size - base
+    item, doc, there = np.zeros(width, np.int64), np.zeros(width, np.int64), np.zeros(width, bool)
+    for w in windows:
+        own = slice(w["item_place"] - base, w["item_place"] - base + size)
+        item[own], doc[own], there[own] = w["item_slots"], w["slots"], True
+    same = item == doc
+    stretches = _stretches(there & same)
+    if _standing(item, doc).all():
+        found = [(int(there.sum()), bool(same.all()), base, base + width - 1)]
+    else:
+        found = []
+        for a, z in _stretches(there):
+            agree = _standing(item[a : z + 1], doc[a : z + 1])
+            stretches += [(a + b, a + y) for b, y in _stretches(agree)]
+    found += [(z - a + 1, bool(same[a : z + 1].all()), base + a, base + z) for a, z in stretches]
+    best = max(found, default=None)
+    return best if best and best[0] >= least else None
+
+
+def _judged(least_tokens: int) -> Callable[[Batches], Batches]:
+    names = ["doc_id", "text_key", "item_id", "n_tokens", "covered", "same_values", "first", "last"]
+    kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 2
+
+    def judge(batches: Batches) -> Batches:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                best = best_match(r["windows"], r["size"], min(least_tokens, r["n_tokens"]))
+                if best:
+                    covered, same, first, last = best
+                    rows.append((*(r[n] for n in names[:4]), covered, same, first + r["diagonal"], last + r["diagonal"]))
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return judge
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [()] * len(names)
     kinds = [pa.int64()] * (len(names) - 1) + [pa.list_(pa.int64())]
@@ -190,7 +263,7 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, least_tokens: int =
     spark = docs.sparkSession
     items = checkpointed(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
-        .mapInArrow(_item_windows, f"item_id long, n_tokens long, {HIT}")
+        .mapInArrow(_item_windows, f"item_id long, item_key long, n_tokens long, {HIT}")
     )
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
     wanted = np.zeros(SLOTS, bool)
@@ -207,37 +280,20 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, least_tokens: int =
     )
     # equal rows have the same hits; one of them is enough
     found = hits.join(
-        items.select("size", "hash", "item_id", "n_tokens", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")),
+        items.select("size", "hash", "item_id", "item_key", "n_tokens", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")),
         ["size", "hash"],
     ).withColumn("diagonal", F.col("place") - F.col("item_place"))
-    pairs = F.filter(
-        F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"] != 0
-    )
-    matches = found.groupBy("doc_id", "text_key", "item_id", "n_tokens", "size", "diagonal").agg(
-        F.array_sort(F.collect_set("item_place")).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
-    )
-    agree = (F.size(F.array_distinct("pairs.a")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.b")) == F.size("pairs"))
-    # windows overlap: each adds the tokens that the one before did not cover
-    steps = F.zip_with(
-        F.slice("places", F.lit(2), F.greatest(F.size("places") - 1, F.lit(0))),
-        F.slice("places", F.lit(1), F.greatest(F.size("places") - 1, F.lit(0))),
-        lambda a, b: F.least(a - b, F.col("size")),
-    )
-    covered = F.aggregate(steps, F.col("size"), lambda x, y: x + y)
-    matches = matches.where(agree).select(
-        "doc_id",
-        "text_key",
-        "item_id",
-        "n_tokens",
-        covered.alias("covered"),
-        (F.array_min("places") + F.col("diagonal")).alias("first"),
-        (F.array_max("places") + F.col("diagonal") + F.col("size") - 1).alias("last"),
-        F.forall("pairs", lambda p: p["a"] == p["b"]).alias("same_values"),
-    )
-    best = matches.where(F.col("covered") >= F.least(F.lit(least_tokens), "n_tokens")).groupBy(
-        "doc_id", "text_key", "item_id", "n_tokens"
+    window = F.struct("item_place", "item_slots", "slots")
+    diagonals = (
+        found.groupBy("doc_id", "text_key", "item_id", "item_key", "n_tokens", "size", "diagonal")
+        .agg(F.collect_set(window).alias("windows"))
+        .where(F.size("windows") * F.col("size") >= F.least(F.lit(least_tokens), "n_tokens"))
+        .drop("item_key")
     )
+    best = diagonals.mapInArrow(
+        _judged(least_tokens),
+        "doc_id long, text_key long, item_id long, n_tokens long, covered long, same_values boolean, first long, last long",
+    ).groupBy("doc_id", "text_key", "item_id", "n_tokens")
     return best.agg(F.max(F.struct("covered", "same_values", "first", "last")).alias("m")).select(
         "doc_id", "text_key", "item_id", "n_tokens", "m.covered", "m.first", "m.last", "m.same_values"
     )
@@ -250,7 +306,9 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, least_tokens:
     (ascending item ids) and ``reparameterised`` (those whose values differ).
 
     A document holds an item if one match covers ``least_tokens`` of its template tokens,
-    or all of a shorter item. A match is made of windows of eight tokens, at least four of
+    or all of a shorter item. Where a value of the item stands for several of the document,
+    the match ends at the places that disagree; tokens in a row with the item's own values
+    are a match in any case. A match is made of windows of eight tokens, at least four of
     them literal; an item of four to seven tokens is one window, a shorter one matches
     nothing. Null and empty texts hold nothing and are in no document. Each row is judged by
     its own text, also where ids repeat or are null; items with a null id are left out, and

@@ -139,3 +139,28 @@ def test_several_notices_repeated_rows_and_no_rows(docs):
     found = scan_licenses(docs((1, text), (1, text))).collect()
     assert [[m.license for m in r.matches] for r in found] == [["MIT line", "CC-BY-NC line", "CC-BY-SA line"]] * 2
     assert scan_licenses(docs()).collect() == []
+
+
+LONG = (
+    "the farmer asked Janet to count every basket that stood along the northern wall of the barn before the rain came and then to carry "
+    "them one after the other across the yard into the old stone house where her brother was waiting with bread and cheese and where "
+    "later that evening Janet sat down to rest"
+)
+
+
+def test_a_changed_slot_leaves_the_tokens_around_it(spark, docs):
+    apples = "he bought 3 red apples and also 4 ripe pears from the man at the market gate"
+    plain = "add the first 5 of them to the other 7 and write the sum on the left side"
+    rows = [
+        (1, LONG.replace("Janet sat", "Maria sat")),  # one of two places of a name
+        (2, apples.replace("3", "5").replace("4", "5")),  # two values become equal
+        (3, plain.replace("5", "5,").replace("7", "(7).")),
+        (4, plain.replace("5", "8,")),
+        (5, " ".join(LONG.split()[:8])),
+    ]
+    got = verdicts(docs(*rows), items(spark, (60, LONG), (61, apples), (62, plain)))
+    assert got[1] == (True, [60], [])
+    assert got[2] == (True, [61], [61])
+    assert got[3] == (True, [62], [])
+    assert got[4] == (True, [62], [62])
+    assert got[5] == (False, [], [])
