@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
 Numbers, names and units become typed placeholders, so that a question with other values
-in it has the same template. Windows of template tokens are hashed; a table of fixed size
+in it has the same template. Windows of template tokens are hashed, and each window also with its
+values left in, so that copies are found whatever they are made of; a table of fixed size
 of the benchmark's hashes drops nearly all windows of a document where they are made, and
 the rest is joined. Windows of one document and item on the same diagonal form a match if
 their slots agree: each value of the item stands for one value of the document. Where they
@@ -111,19 +112,24 @@ class Tokens:
         self.literals = np.concatenate(([0], np.cumsum(~self.slot)))
         self.start = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
-    def windows(self, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the windows inside one text that have enough literal tokens."""
+    def windows(self, rolling: Rolling) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+        """(exact, places, hashes) of the windows inside one text, in both forms.
+
+        The exact form of every window holds its values; the other has placeholders, for
+        windows with a slot and enough literal tokens.
+        """
         size = rolling.window
-        hashes = mixed(rolling.of(self.hash) + np.uint64(size))
-        if not len(hashes):
-            return np.empty(0, np.int64), hashes
-        enough = self.literals[size:] - self.literals[: len(hashes)] >= LEAST_LITERALS
-        places = np.flatnonzero(enough & (self.text[: len(hashes)] == self.text[size - 1 :]))
-        return places, hashes[places]
-
-    def row(self, place: int, size: int, h: np.uint64) -> tuple:
-        """``place`` (in its text), ``size, hash, slots`` of a window."""
-        own = slice(place, place + size)
+        count = max(len(self.hash) - size + 1, 0)
+        inside = self.text[:count] == self.text[size - 1 :] if count else np.empty(0, bool)
+        literals = self.literals[size:] - self.literals[:count] if count else np.empty(0, np.int64)
+        for exact, tokens in ((True, self.value), (False, self.hash)):
+            fits = inside if exact else inside & (literals >= LEAST_LITERALS) & (literals < size)
+            places = np.flatnonzero(fits)
+            yield exact, places, mixed(rolling.of(tokens)[places] + np.uint64(size))
+
+    def row(self, place: int, size: int, h: np.uint64, bare: bool = False) -> tuple:
+        """``place`` (in its text), ``size, hash, slots`` of a window; ``bare``: without slots."""
+        own = slice(place, place + (0 if bare else size))
         slots = np.where(self.slot[own], self.value[own], 0).view(np.int64)
         return place - self.start[self.text[place]], size, h.astype(np.int64), slots
 
@@ -142,18 +148,19 @@ def _groups(texts: Iterator[bytes | None]) -> Iterator[tuple[int, list[list[byte
 
 
 def _item_windows(batches: Batches) -> Batches:
-    rolling = {size: Rolling(size, _BASE) for size in range(LEAST_LITERALS, WINDOW + 1)}
+    rolling = {size: Rolling(size, _BASE) for size in range(1, WINDOW + 1)}
     kinds = _Kinds()
     for batch in batches:
         rows: list[tuple] = []
         for item, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             tokens = Tokens(kinds, [(text or b"").split()])
             size = min(WINDOW, len(tokens.hash))
-            if item is None or size < LEAST_LITERALS:
+            if item is None or not size:
                 continue
             key = int(np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64))
-            for place, h in zip(*tokens.windows(rolling[size]), strict=True):
-                rows.append((item, key, len(tokens.hash), *tokens.row(place, size, h)))
+            for _, places, hashes in tokens.windows(rolling[size]):
+                for place, h in zip(places, hashes, strict=True):
+                    rows.append((item, key, len(tokens.hash), *tokens.row(place, size, h)))
         yield _batch(rows, ["item_id", "item_key", "n_tokens", "place", "size", "hash", "slots"])
 
 
@@ -169,10 +176,10 @@ def _doc_windows(sizes: list[int], wanted) -> Callable[[Batches], Batches]:
                     kinds = _Kinds()
                 tokens = Tokens(kinds, texts)
                 for windows in rolling:
-                    places, hashes = tokens.windows(windows)
-                    for k in np.flatnonzero(wanted.value[hashes % np.uint64(SLOTS)]):
-                        doc = first + tokens.text[places[k]]
-                        rows.append((ids[doc], keys[doc], *tokens.row(places[k], windows.window, hashes[k])))
+                    for exact, places, hashes in tokens.windows(windows):
+                        for k in np.flatnonzero(wanted.value[hashes % np.uint64(SLOTS)]):
+                            doc = first + tokens.text[places[k]]
+                            rows.append((ids[doc], keys[doc], *tokens.row(places[k], windows.window, hashes[k], exact)))
             yield _batch(rows, ["doc_id", "text_key", "place", "size", "hash", "slots"])
 
     return find
@@ -212,7 +219,8 @@ def best_match(windows: list[dict], size: int, least: int) -> tuple[int, bool, i
     item, doc, there = np.zeros(width, np.int64), np.zeros(width, np.int64), np.zeros(width, bool)
     for w in windows:
         own = slice(w["item_place"] - base, w["item_place"] - base + size)
-        item[own], doc[own], there[own] = w["item_slots"], w["slots"], True
+        # a window in the exact form has no slots of its own: its values are the item's
+        item[own], doc[own], there[own] = w["item_slots"], w["slots"] or w["item_slots"], True
     same = item == doc
     stretches = _stretches(there & same)
     if _standing(item, doc).all():
@@ -308,9 +316,9 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, least_tokens:
     A document holds an item if one match covers ``least_tokens`` of its template tokens,
     or all of a shorter item. Where a value of the item stands for several of the document,
     the match ends at the places that disagree; tokens in a row with the item's own values
-    are a match in any case. A match is made of windows of eight tokens, at least four of
-    them literal; an item of four to seven tokens is one window, a shorter one matches
-    nothing. Null and empty texts hold nothing and are in no document. Each row is judged by
+    are a match in any case. A match is made of windows of eight tokens, an item of fewer is
+    one window; a window matches with its values, and with others if it has at least four
+    literal tokens. Null and empty texts hold nothing and are in no document. Each row is judged by
     its own text, also where ids repeat or are null; items with a null id are left out, and
     rows of items that share an id count as one. Other columns are ignored.
     """

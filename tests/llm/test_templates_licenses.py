@@ -164,3 +164,20 @@ def test_a_changed_slot_leaves_the_tokens_around_it(spark, docs):
     assert got[3] == (True, [62], [])
     assert got[4] == (True, [62], [62])
     assert got[5] == (False, [], [])
+
+
+def test_copies_are_found_whatever_they_are_made_of(spark, docs):
+    filler = " ".join(words(1, 40))
+    texts = {
+        70: "Compute 12 * (7 + 5) - 3 / 9",
+        71: "1 1 2 3 5 8 13 21 34 55 89 144 233 377 610",
+        72: "then Anna Berta Carla Doris Erika Frida Greta Hanna Ilona Julia Karla Laura",
+        73: "Janet 12 Robert",  # fewer than four tokens
+        74: "Paul met Olga near Rome",  # its first word is a name only inside a sentence
+    }
+    rows = [(k, f"{filler} {text} {filler}") for k, text in texts.items()]
+    rows += [(80, f"{filler} {texts[70].replace('12', '13')}"), (81, filler), (82, texts[71].replace(" 21 ", " 22 ")), (83, "12 Robert")]
+    got = verdicts(docs(*rows), items(spark, *texts.items()))
+    for k in texts:
+        assert got[k] == (True, [k], [])
+    assert got[80] == got[81] == got[82] == got[83] == (False, [], [])
