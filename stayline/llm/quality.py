@@ -1,9 +1,12 @@
 """Quality by co-training: a classifier of the text and one of the page's metadata teach each other.
 
-Both are logistic models fitted on the driver to bounded samples: labelled rows, and
-unlabelled ones from which each view hands its surest rows, with the label it sees, to
-the other. Held-out labelled rows calibrate each view and weigh the two. All documents
-are then scored in one pass without a shuffle.
+Both are logistic models of a bounded sample of labelled rows, which the driver holds, and
+of all unlabelled rows, of which each view hands its surest ones, with the label it sees,
+to the other. The unlabelled rows stay where they are: histograms of the logits choose the
+rows, and the partitions' sums of slopes and curvatures fit the models. Which rows have been
+handed over follows from the models and bounds of the rounds before. Held-out labelled rows
+calibrate each view and weigh the two. All documents are then scored in one pass without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.llm.words import each_text
+from stayline.session import checkpointed
 
 LABELLED = 20_000
-UNLABELLED = 20_000
 ROUNDS = 4
 HANDED = 0.05
+SURE = float(np.log(9))
+BINS, MOST_LOGIT = 6000, 30
 RIDGE = 1.0
 SOURCE_SLOTS, LANG_SLOTS = 32, 16
 Batches = Iterator[pa.RecordBatch]
@@ -71,25 +76,45 @@ class Logistic:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    # loss and weights before the last step
+    before: tuple[float, np.ndarray] | None = None
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> Logistic:
         model = cls(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6), np.zeros(2 * x.shape[1] + 1))
-        design = model._design(x)
-        penalty = np.full(design.shape[1], ridge)
-        penalty[0] = 1e-6
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(design @ model.weights, -30, 30)))
-            slope = design.T @ (p - y) + penalty * model.weights
-            curve, weight = np.diag(penalty), p * (1 - p) + 1e-6
-            for rows in np.array_split(np.arange(len(design)), len(design) // 4096 + 1):
-                curve = curve + (design[rows] * weight[rows, None]).T @ design[rows]
-            step = np.linalg.solve(curve, slope)
-            model.weights = model.weights - step
-            if np.abs(step).max() < 1e-6:
+            if model.step(model.sums(x, y), ridge) < 1e-6:
                 break
         return model
 
+    def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The slope of the loss, below it its curvature and the loss, summed over the rows."""
+        total = np.zeros((len(self.weights) + 2, len(self.weights)))
+        for rows in np.array_split(np.arange(len(x)), len(x) // 4096 + 1):
+            design = self._design(x[rows])
+            logit = np.clip(design @ self.weights, -30, 30)
+            p = 1 / (1 + np.exp(-logit))
+            total[0] += design.T @ (p - y[rows])
+            total[1:-1] += (design * (p * (1 - p) + 1e-6)[:, None]).T @ design
+            total[-1, 0] += (np.logaddexp(0, logit) - y[rows] * logit).sum()
+        return total
+
+    def step(self, total: np.ndarray, ridge: float = RIDGE) -> float:
+        """One Newton step by the sums over all rows, or half the last one back if it went too far.
+
+        Returns the largest change of a weight.
+        """
+        penalty = np.full(len(self.weights), ridge)
+        penalty[0] = 1e-6
+        loss = total[-1, 0] + (penalty * self.weights**2).sum() / 2
+        if self.before is not None and loss > self.before[0] + 1e-9 * abs(self.before[0]):
+            change = (self.before[1] - self.weights) / 2
+        else:
+            change = -np.linalg.solve(total[1:-1] + np.diag(penalty), total[0] + penalty * self.weights)
+            self.before = loss, self.weights
+        self.weights = self.weights + change
+        return float(np.abs(change).max())
+
     def _design(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.hstack((np.ones((len(z), 1)), z, z * z))
@@ -98,6 +123,122 @@ class Logistic:
         return np.clip(self._design(x) @ self.weights, -30, 30)
 
 
+def _bins(logit: np.ndarray) -> np.ndarray:
+    return np.clip((logit + MOST_LOGIT) * (BINS / (2 * MOST_LOGIT)), 0, BINS - 1).astype(np.int64)
+
+
+def _bound(counts: np.ndarray, wanted: float) -> tuple[int, float]:
+    """The bin up to which ``wanted`` rows lie, counted from the first, and the share of it."""
+    sums = np.cumsum(counts)
+    at = int(np.searchsorted(sums, wanted))
+    if wanted <= 0 or at >= len(counts):
+        return (-1, 0.0) if wanted <= 0 else (len(counts), 0.0)
+    return at, float((wanted - (sums[at] - counts[at])) / counts[at])
+
+
+@dataclass
+class Round:
+    """The views of a round and, for each, the bins (with a share of the last) that it hands over."""
+
+    views: tuple[Logistic, Logistic]
+    low: list[tuple[int, float]]
+    high: list[tuple[int, float]]
+
+    @classmethod
+    def choose(cls, views: tuple[Logistic, Logistic], counts: np.ndarray, good: float, handed: float) -> Round:
+        """As many of each label as the labels' own shares, the surest first."""
+        low, high = [], []
+        for own in counts:
+            take = handed * own.sum()
+            low.append(_bound(own, take * (1 - good)))
+            at, share = _bound(own[::-1], take * good)
+            high.append((BINS - 1 - at, share))
+        return cls(views, low, high)
+
+    def given(self, parts: tuple[np.ndarray, np.ndarray], place: np.ndarray) -> list[np.ndarray]:
+        """For each view 1 and -1 where it hands the row over as good and bad, else 0."""
+        out = []
+        for view, part, (low, low_share), (high, high_share) in zip(self.views, parts, self.low, self.high, strict=True):
+            logit = view.logit(part)
+            bins = _bins(logit)
+            good = (logit > SURE) & ((bins > high) | (bins == high) & (place < high_share))
+            bad = (logit < -SURE) & ((bins < low) | (bins == low) & (place < low_share))
+            out.append(good.astype(np.int64) - bad)
+        return out
+
+
+def _state(rounds: list[Round], parts: tuple[np.ndarray, np.ndarray], place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which rows are not handed over yet, and for each view the labels it was given (1, -1, or 0)."""
+    free, labels = np.ones(len(place), bool), [np.zeros(len(place), np.int64) for _ in range(2)]
+    for r in rounds:
+        one, two = r.given(parts, place)
+        labels[0][free], labels[1][free] = two[free], one[free]
+        free &= (one == 0) & (two == 0)
+    return free, labels
+
+
+class Pool:
+    """The unlabelled rows: ``place`` (from 0 to 1, by hash), ``by_text`` and ``by_metadata``."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.select("place", "by_text", "by_metadata")
+
+    def total(self, of: Callable[[tuple[np.ndarray, np.ndarray], np.ndarray], np.ndarray]) -> np.ndarray | None:
+        """The sum of ``of(parts, place)`` over all rows; each partition returns one sum."""
+
+        def add(batches: Batches) -> Batches:
+            total = None
+            for batch in batches:
+                if len(batch):
+                    parts = tuple(batch[c].flatten().to_numpy().reshape(len(batch), -1) for c in ("by_text", "by_metadata"))
+                    own = of(parts, batch["place"].to_numpy())
+                    total = own if total is None else total + own
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["total"])
+
+        total = None
+        for r in self.rows.mapInArrow(add, "total array<double>").toLocalIterator():
+            total = np.array(r.total) if total is None else total + np.array(r.total)
+        return total
+
+    def moments(self, rounds: list[Round]) -> list[np.ndarray]:
+        """``_moments`` of each view over the rows that it was given."""
+
+        def of(parts, place):
+            _, labels = _state(rounds, parts, place)
+            return np.concatenate([_moments(x[y != 0]).ravel() for x, y in zip(parts, labels, strict=True)])
+
+        found = self.total(of)
+        first = 3 * len(rounds[0].views[0].mean)
+        return [part.reshape(3, -1) for part in np.split(found, [first])]
+
+    def counts(self, views: tuple[Logistic, Logistic], rounds: list[Round]) -> np.ndarray | None:
+        """The histogram of each view's logits of the rows not handed over yet."""
+
+        def of(parts, place):
+            free, _ = _state(rounds, parts, place)
+            return np.concatenate([np.bincount(_bins(v.logit(x[free])), minlength=BINS) for v, x in zip(views, parts, strict=True)]).astype(float)
+
+        found = self.total(of)
+        return None if found is None else found.reshape(2, BINS)
+
+    def sums(self, views: tuple[Logistic, Logistic], rounds: list[Round]) -> list[np.ndarray]:
+        """``Logistic.sums`` of each view over the rows that it was given."""
+
+        def of(parts, place):
+            _, labels = _state(rounds, parts, place)
+            return np.concatenate([v.sums(x[y != 0], (y[y != 0] > 0).astype(float)).ravel() for v, x, y in zip(views, parts, labels, strict=True)])
+
+        found = self.total(of)
+        first = len(views[0].weights) * (len(views[0].weights) + 2)
+        return [part.reshape(-1, len(v.weights)) for v, part in zip(views, np.split(found, [first]), strict=True)]
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Number, sum and sum of squares of each column."""
+    return np.stack((np.full(x.shape[1], float(len(x))), x.sum(axis=0), (x * x).sum(axis=0)))
+
+
 @dataclass
 class CoTrained:
     """The two views, each calibrated, and the weights of their calibrated logits."""
@@ -118,29 +259,28 @@ class CoTrained:
         )
 
     @classmethod
-    def fit(cls, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int, handed: float) -> CoTrained:
-        """The rows must come in a random order; every fourth labelled one is held out."""
+    def fit(cls, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Pool, rounds: int, handed: float) -> CoTrained:
+        """The labelled rows must come in a random order; every fourth is held out."""
         held = np.arange(len(y)) % 4 == 3
         if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
             held = np.zeros(len(y), bool)
-        known = [(part[~held], y[~held]) for part in x]
-        free = np.arange(len(pool[0]))
-        views = [Logistic.fit(*k) for k in known]
+        known, label = tuple(part[~held] for part in x), y[~held]
+        views = [Logistic.fit(part, label) for part in known]
+        past: list[Round] = []
         for _ in range(rounds):
-            given: list[tuple[np.ndarray, np.ndarray]] = []
-            for view, part in zip(views, pool, strict=True):
-                logit = view.logit(part[free])
-                order = np.argsort(logit, kind="stable")
-                # as many of each label as the labels' own shares, the surest first
-                take = int(handed * len(free))
-                good = int(round(take * y.mean()))
-                rows = np.concatenate((order[len(order) - good :], order[: take - good]))
-                sure = np.abs(logit[rows]) > np.log(9)
-                given.append((free[rows[sure]], (logit[rows[sure]] > 0).astype(float)))
-            for k, (rows, label) in enumerate(reversed(given)):
-                known[k] = (np.concatenate((known[k][0], pool[k][rows])), np.concatenate((known[k][1], label)))
-            views = [Logistic.fit(*k) for k in known]
-            free = np.setdiff1d(free, np.concatenate([rows for rows, _ in given]))
+            fixed = tuple(Logistic(v.mean, v.scale, v.weights) for v in views)
+            counts = pool.counts(fixed, past)
+            if counts is None or not counts.any():
+                break
+            past.append(Round.choose(fixed, counts, y.mean(), handed))
+            for view, part, given in zip(views, known, pool.moments(past), strict=True):
+                n, total, squares = _moments(part) + given
+                view.mean, view.before = total / n, None
+                view.scale = np.maximum(np.sqrt(np.maximum(squares / n - view.mean**2, 0)), 1e-6)
+            for _ in range(25):
+                given = pool.sums(tuple(views), past)
+                if max([v.step(v.sums(part, label) + g) for v, part, g in zip(views, known, given, strict=True)]) < 1e-2:
+                    break
         check = held if held.any() else np.ones(len(y), bool)
         calibrations = [Logistic.fit(v.logit(part[check])[:, None], y[check]) for v, part in zip(views, x, strict=True)]
         model = cls(tuple(views), tuple(calibrations), calibrations[0])
@@ -158,8 +298,8 @@ def _features(batches: Batches) -> Batches:
     for batch in batches:
         text, meta = _arrays(batch)
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))],
-            names=["doc_id", "by_text", "by_metadata"],
+            [batch["doc_id"], batch["place"], *(pa.array(list(x), pa.list_(pa.float64())) for x in (text, meta))],
+            names=["doc_id", "place", "by_text", "by_metadata"],
         )
 
 
@@ -177,41 +317,40 @@ def train(
     labels: DataFrame,
     target: str = "quality",
     labelled: int = LABELLED,
-    unlabelled: int = UNLABELLED,
+    unlabelled: int | None = None,
     rounds: int = ROUNDS,
     handed: float = HANDED,
 ) -> CoTrained | None:
-    """Fit on at most ``labelled`` rows with a label and ``unlabelled`` others, taken by a hash of the id.
+    """Fit on at most ``labelled`` rows with a label, taken by a hash of the id, and all others.
 
-    Of an id's labels the largest counts. None if the labels do not show both classes.
+    ``unlabelled`` bounds those others too. Of an id's labels the largest counts. Rows
+    without an id have no label. None if the labels do not show both classes.
     """
     order = F.xxhash64(F.lit("quality"), "doc_id")
     marked = labels.where(f"doc_id IS NOT NULL AND {target} IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marked = marked.agg(F.max(F.col(target).cast("double")).alias("label"))
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
-    ids = rows.join(marked, "doc_id", "left").withColumn("order", order)
-    # both samples have a bound, so that the join with the texts may broadcast them
-    sample = None
-    for kind, size in (("label IS NOT NULL", labelled), ("label IS NULL", unlabelled)):
-        part = ids.where(kind).orderBy("order", "doc_id").limit(size)
-        sample = part if sample is None else sample.unionByName(part)
-    sample = docs.sparkSession.createDataFrame(sample.dropDuplicates(["doc_id"]).toArrow(), "doc_id long, label double, order long")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).join(
-        F.broadcast(sample.select("doc_id")), "doc_id"
+    place = F.xxhash64(F.lit("place"), "doc_id", "text").bitwiseAND((1 << 52) - 1) / F.lit(float(1 << 52))
+    features = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("place"), *_columns(docs)).mapInArrow(
+        _features, "doc_id long, place double, by_text array<double>, by_metadata array<double>"
+    )
+    # the texts are read once; only their features meet the labels and are read again
+    rows = checkpointed(features.join(marked, "doc_id", "left").withColumn("order", order))
+    # the sample has a bound, so that its features may be gathered
+    sample = rows.where("label IS NOT NULL").groupBy("doc_id", "order").agg(
+        F.max("label").alias("label"), F.min(F.struct("by_text", "by_metadata")).alias("f")
     )
-    features = texts.mapInArrow(_features, "doc_id long, by_text array<double>, by_metadata array<double>")
-    # rows that repeat an id could pass the bound; the smallest of them stands for all
-    features = features.groupBy("doc_id").agg(F.min(F.struct("by_text", "by_metadata")).alias("f"))
-    found = features.join(F.broadcast(sample), "doc_id").select("f.*", "label", "order", "doc_id").toArrow()
+    found = sample.orderBy("order", "doc_id").limit(labelled).select("f.*", "label", "order", "doc_id").toArrow()
     found = found.sort_by([("order", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-    known = found["label"].is_valid().to_numpy()
-    y = found["label"].to_numpy()[known]
+    y = found["label"].to_numpy()
     if len(set(y)) < 2:
         return None
-    # without Python objects: the driver holds the samples as plain matrices
-    x = [found[c].combine_chunks().flatten().to_numpy().reshape(len(found), -1) for c in ("by_text", "by_metadata")]
+    # without Python objects: the driver holds the sample as plain matrices
+    x = tuple(found[c].combine_chunks().flatten().to_numpy().reshape(len(found), -1) for c in ("by_text", "by_metadata"))
     del found
-    return CoTrained.fit(tuple(part[known] for part in x), y, tuple(part[~known] for part in x), rounds, handed)
+    others = rows.where("label IS NULL")
+    if unlabelled is not None:
+        others = others.orderBy("order", "place").limit(unlabelled)
+    return CoTrained.fit(x, y, Pool(others), rounds, handed)
 
 
 def _score(model) -> Callable[[Batches], Batches]:

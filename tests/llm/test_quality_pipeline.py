@@ -6,7 +6,7 @@ from corpus_helpers import DOC, counted
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stayline.llm.quality import good_documents, score_documents, train
+from stayline.llm.quality import good_documents, metadata_features, score_documents, train
 
 SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
@@ -136,3 +136,19 @@ def test_stages_take_odd_rows_and_no_rows(spark):
 def test_the_whole_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 50 and "shard" in out.columns
+
+
+def test_all_unlabelled_rows_teach(spark):
+    """A source that only the last of many unlabelled rows have, which the text shows to be junk."""
+    ids = spark.range(26_000).orderBy(F.xxhash64(F.lit("quality"), "id"))
+    ids = [r.id for r in ids.collect()]
+    good = "The river ran past the old mill and {} people walked along its banks in the evening sun.\nThey talked for long."
+    rows = []
+    for place, i in enumerate(ids):
+        rare = place >= 24_000
+        text = f"|| {i} $$ || {i} $$ || {i} ## ||" if rare or i % 3 == 0 else good.format("many" if i % 2 else "some")
+        rows.append((i, text, "en", "rare" if rare else "src0", 100))
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in ids[:400]], "doc_id long, quality int")
+    model = train(spark.createDataFrame(rows, DOC), labels, rounds=2, handed=0.3)
+    usual, rare = (model.views[1].logit(np.array([metadata_features("en", s, 100)]))[0] for s in ("src0", "rare"))
+    assert rare < usual - 1
