@@ -188,6 +188,82 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_remo
 FROM w LEFT JOIN removed USING (doc_id)
 """
 
+
+def _fields(text: str) -> str:
+    """The bytes that a leaf hashes."""
+    columns = ("doc_id", "source", "lang", "n_chars", text)
+    return " || ".join(
+        f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in columns
+    )
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of all levels, runs of siblings, and tops of trees of ``tree, spot, hash`` with runs of three."""
+    return f"""
+{name}_nodes(level, tree, spot, hash) AS (
+  SELECT 0, tree, spot, hash FROM {leaves}
+  UNION ALL
+  SELECT level + 1, tree, spot // 3, sha256(string_agg(hash, '' ORDER BY spot))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}_nodes)
+  WHERE n > 1 GROUP BY level, tree, spot // 3),
+{name}_tops AS (SELECT tree, arg_max(hash, level) AS top, max(level) AS height FROM {name}_nodes GROUP BY tree),
+{name}_runs AS (
+  SELECT level, tree, spot // 3 AS run, list(hash ORDER BY spot) AS hashes
+  FROM {name}_nodes GROUP BY level, tree, spot // 3),
+{name}_ways(tree, spot, level, place, proof) AS (
+  SELECT tree, spot, 0, spot, '' FROM {leaves}
+  UNION ALL
+  SELECT w.tree, w.spot, w.level + 1, place // 3,
+    proof || array_to_string(hashes[:place % 3], '') || array_to_string(hashes[place % 3 + 2:], '')
+  FROM {name}_ways w JOIN {name}_tops t USING (tree) JOIN {name}_runs r
+    ON r.tree = w.tree AND r.level = w.level AND r.run = w.place // 3
+  WHERE w.level < t.height)"""
+
+
+# the lowest bit of the checksum of a doc_id's digits
+_CRC_IS_EVEN = """list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+    lambda c, i: xor(c >> 1, (c & 1) * 3988292384::BIGINT))) & 1 = 1"""
+
+OP13 = f"""
+WITH RECURSIVE tampered AS (
+  SELECT *, CASE WHEN {_CRC_IS_EVEN} THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents),
+hashed AS (
+  SELECT doc_id, coalesce(':' || source, '') AS tree, sha256({_fields("text")}) AS hash, sha256({_fields("changed")}) AS altered FROM tampered),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, hash) - 1 AS spot FROM hashed),
+{_tree("own", "leaves")},
+groups AS (
+  SELECT 0 AS tree, tree AS its, top AS hash, row_number() OVER (ORDER BY tree) - 1 AS spot FROM own_tops),
+{_tree("all", "groups")},
+folds(tree, spot, place, level, upper, group_at, hash) AS (
+  SELECT l.tree, l.spot, l.spot, 0, false, g.spot, l.altered FROM leaves l JOIN groups g ON g.its = l.tree
+  UNION ALL
+  SELECT f.tree, f.spot,
+    CASE WHEN upper OR f.level < t.height THEN place // 3 ELSE group_at END,
+    CASE WHEN upper OR f.level < t.height THEN f.level + 1 ELSE 0 END,
+    upper OR f.level >= t.height,
+    group_at,
+    CASE
+      WHEN upper THEN sha256(array_to_string(a.hashes[:place % 3], '') || f.hash || array_to_string(a.hashes[place % 3 + 2:], ''))
+      WHEN f.level < t.height THEN sha256(array_to_string(o.hashes[:place % 3], '') || f.hash || array_to_string(o.hashes[place % 3 + 2:], ''))
+      ELSE f.hash END
+  FROM folds f JOIN own_tops t USING (tree) CROSS JOIN all_tops top
+  LEFT JOIN own_runs o ON NOT upper AND o.tree = f.tree AND o.level = f.level AND o.run = place // 3
+  LEFT JOIN all_runs a ON upper AND a.level = f.level AND a.run = place // 3
+  WHERE NOT upper OR f.level < top.height),
+folded AS (
+  SELECT f.tree, f.spot, f.hash AS folded_root FROM folds f CROSS JOIN all_tops top WHERE upper AND f.level = top.height)
+SELECT l.doc_id, l.hash AS leaf, t.top AS subroot, top.top AS root, sha256(w.proof || v.proof) AS proof_sha256,
+  d.folded_root, d.folded_root = top.top AS verified
+FROM leaves l JOIN own_tops t USING (tree) CROSS JOIN all_tops top
+JOIN groups g ON g.its = l.tree
+JOIN own_ways w ON w.tree = l.tree AND w.spot = l.spot AND w.level = t.height
+JOIN all_ways v ON v.spot = g.spot AND v.level = top.height
+JOIN folded d ON d.tree = l.tree AND d.spot = l.spot
+"""
+
 ORACLES: dict[str, str] = {
     "op1_urls": OP1,
     "op2_embeddings": OP2,
@@ -195,4 +271,5 @@ ORACLES: dict[str, str] = {
     "op4_sharding": OP4,
     "op6_ngrams": OP6,
     "op7_substrings": OP7,
+    "op13_manifest": OP13,
 }

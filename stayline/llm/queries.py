@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.llm.embeddings import link_vectors
 from stayline.llm.identifiers import KINDS, find_identifiers, span_list
 from stayline.llm.licenses import scan_licenses
+from stayline.llm.manifest import fold, merkle_manifest, proof_text
 from stayline.llm.mixing import mix_sources
 from stayline.llm.ngrams import similar_documents
+from stayline.llm.packing import pack_documents
 from stayline.llm.quality import score_documents, train
 from stayline.llm.sharding import assign_shards
 from stayline.llm.substrings import remove_repeated_windows
 from stayline.llm.templates import contaminated_documents
 from stayline.llm.urls import judge_urls
+from stayline.llm.whitening import whiten
 
 SHARD_BYTES = 1 << 20
 URL_RULES = (
@@ -87,6 +91,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "by_text", "by_metadata", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=32)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    manifest = merkle_manifest(docs, fields, "doc_id", "source", altered=[*fields[:-1], tampered])
+    folded = fold(F.col("altered_leaf"), F.col("steps"))
+    return manifest.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("steps")), 256).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
     "op2_embeddings": op2_embeddings,
@@ -98,4 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op11_packing": op11_packing,
+    "op12_whitening": op12_whitening,
+    "op13_manifest": op13_manifest,
 }
