@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stayline.operators import evaluate, models, prep, ranking
+from stayline.operators import evaluate, models, prep, ranking, triangles
 from stayline.plans import presets
 from tests.conftest import one, rows
 
@@ -145,7 +145,7 @@ def test_linear_steps_agree_with_stepwise_fits(spark):
     y = 2 * x[:, 0] + 0.3 * x[:, 1] + random.standard_normal(150)
     names = list("abcdef")
     df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], ", ".join(f"{n} double" for n in [*names, "y"]))
-    left, dropped = models.linear_steps(prep.gram(df, [*names, "y"]), names, [], 0.05)
+    left, dropped = models.linear_steps(triangles.column_triangle(df, [*names, "y"]), names, [], 0.05)
     expected, gone = list(names), []
     while True:
         p_values = models.fit(df, expected, "y", "gaussian").p_values
