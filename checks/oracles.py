@@ -302,6 +302,12 @@ splits AS (
   SELECT quality, 'train' AS split, train AS total FROM sizes
   UNION ALL SELECT quality, 'test', test FROM sizes
   UNION ALL SELECT quality, 'validation', n - train - test FROM sizes)"""
+MONTHS_OF_USERS = """months_of_users AS (
+  SELECT DISTINCT teacher AS user_id, CAST(date_trunc('month', date) AS DATE) AS month
+  FROM lines WHERE date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'),
+all_months AS (
+  SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '1998-12-01', INTERVAL 1 MONTH)) AS DATE)
+    AS month)"""
 SWEEP = """sweep AS (
   SELECT cutoff, tp, fp, fn, tn, pos, neg,
          CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS accuracy,
@@ -552,6 +558,55 @@ FROM (SELECT count(DISTINCT user_id) AS n_start FROM started),
         f"started AS (SELECT user_id FROM activity JOIN clicks USING (user_id) WHERE {START})",
         f"ended AS (SELECT user_id FROM activity WHERE {END})",
     ),
+    "churn_of_spans": _with(
+        """SELECT span, CAST(n_churn AS DOUBLE) / nullif(n_start, 0) AS churn_rate,
+  1.0 - CAST(n_churn AS DOUBLE) / nullif(n_start, 0) AS retention_rate, n_start, n_end, n_churn
+FROM (SELECT span, count(DISTINCT CASE WHEN early AND clicked THEN user_id END) AS n_start,
+             count(DISTINCT CASE WHEN late THEN user_id END) AS n_end,
+             count(DISTINCT CASE WHEN early AND clicked AND NOT late THEN user_id END) AS n_churn
+      FROM (SELECT span, user_id, bool_or(month BETWEEN s1 AND s2) AS early,
+                   bool_or(month BETWEEN e1 AND e2) AS late,
+                   user_id IN (SELECT user_id FROM clicks) AS clicked
+            FROM months_of_users CROSS JOIN spans GROUP BY span, user_id) GROUP BY span)""",
+        MONTHS_OF_USERS,
+        CLICKS,
+        """spans(span, s1, s2, e1, e2) AS (
+  VALUES ('published', DATE '1995-01-01', DATE '1995-08-01', DATE '1996-01-01', DATE '1996-06-01'),
+    ('year_on_year', DATE '1995-01-01', DATE '1995-12-01', DATE '1996-01-01', DATE '1996-12-01'),
+    ('one_month', DATE '1996-03-01', DATE '1996-03-01', DATE '1997-03-01', DATE '1997-03-01'))""",
+    ),
+    "retention_matrix": _with(
+        """SELECT s.month AS start_month, m.month, s.n AS n_users, count(DISTINCT b.user_id) AS n_active,
+  CAST(count(DISTINCT b.user_id) AS DOUBLE) / s.n AS share
+FROM (SELECT month, count(*) AS n FROM months_of_users GROUP BY month) s
+JOIN all_months m ON m.month >= s.month
+JOIN months_of_users a ON a.month = s.month
+LEFT JOIN months_of_users b ON b.user_id = a.user_id AND b.month = m.month
+GROUP BY s.month, m.month, s.n""",
+        MONTHS_OF_USERS,
+    ),
+    "cohort_matrix": _with(
+        """SELECT f.cohort_month, m.month, n AS n_users, count(b.user_id) AS n_active,
+  CAST(count(b.user_id) AS DOUBLE) / n AS share
+FROM (SELECT *, count(*) OVER (PARTITION BY cohort_month) AS n
+      FROM (SELECT user_id, min(month) AS cohort_month FROM months_of_users GROUP BY user_id)) f
+JOIN all_months m ON m.month >= f.cohort_month
+LEFT JOIN months_of_users b ON b.user_id = f.user_id AND b.month = m.month
+GROUP BY f.cohort_month, m.month, n""",
+        MONTHS_OF_USERS,
+    ),
+    "distinct_users_by_period": _with(
+        " UNION ALL ".join(
+            f"""SELECT status AS account_status, '{level}' AS level, {key} AS period,
+  count(DISTINCT user_id) AS n_distinct FROM launches GROUP BY ALL"""
+            for level, key in (
+                ("month", "strftime(ts, '%Y-%m')"),
+                ("quarter", "year(ts) || '-' || quarter(ts)"),
+                ("year", "CAST(year(ts) AS VARCHAR)"),
+                ("total", "'all'"),
+            )
+        )
+    ),
     "cohort_members": _with("SELECT teacher, first_seen FROM cohort"),
     "first_last_status_initial": _with(
         "SELECT 'initial' AS period, * FROM ends", _ends("ends", 0)

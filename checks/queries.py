@@ -14,6 +14,7 @@ from stayline.functions.periods import Period
 from stayline.operators import (
     activity,
     adoption,
+    bitmaps,
     cohort,
     evaluate,
     events,
@@ -367,6 +368,45 @@ def churn_retention(r: Roles) -> DataFrame:
     return retention.churn_retention(r.student_responded(), _clicks(r), START_MONTHS, END_MONTHS)
 
 
+ALL_MONTHS = bitmaps.Months(date(1995, 1, 1), date(1998, 12, 1))
+SPANS = {
+    "published": (START_MONTHS, END_MONTHS),
+    "year_on_year": ((date(1995, 1, 1), date(1995, 12, 1)), (date(1996, 1, 1), date(1996, 12, 1))),
+    "one_month": ((date(1996, 3, 1), date(1996, 3, 1)), (date(1997, 3, 1), date(1997, 3, 1))),
+}
+
+
+def _bitmaps(r: Roles) -> DataFrame:
+    return bitmaps.activity_bitmaps(r.student_responded(), ALL_MONTHS)
+
+
+@register
+def churn_of_spans(r: Roles) -> DataFrame:
+    return bitmaps.churn_of_spans(_bitmaps(r), _clicks(r), ALL_MONTHS, SPANS)
+
+
+@register
+def retention_matrix(r: Roles) -> DataFrame:
+    return bitmaps.retention_matrix(_bitmaps(r), ALL_MONTHS)
+
+
+@register
+def cohort_matrix(r: Roles) -> DataFrame:
+    return bitmaps.cohort_matrix(_bitmaps(r), ALL_MONTHS)
+
+
+@register
+def distinct_users_by_period(r: Roles) -> DataFrame:
+    month = F.col("month")
+    levels = {
+        "month": F.date_format(month, "yyyy-MM"),
+        "quarter": F.concat_ws("-", F.year(month), F.quarter(month)),
+        "year": F.year(month),
+        "total": F.lit("all"),
+    }
+    return bitmaps.distinct_by_period(r.launch_presentation(), "user_id", "timestamp", levels, ["account_status"])
+
+
 # --- cohort pulls -----------------------------------------------------------------------
 
 

@@ -13,6 +13,12 @@ LEAST_SALTS = 16
 SALT = "_salt"
 # what a value of a type without a fixed width takes
 TEXT_BYTES = 48
+# the bits that tell members from others: per member, at most in all, in one row
+FILTER_LOAD = 16
+FILTER_BITS = 1 << 28
+BLOCK_WORDS = 512
+HASHED_TYPES = ("byte", "short", "integer", "long", "string", "date", "timestamp", "timestamp_ntz", "boolean")
+BLOCK_BITS = 32 * BLOCK_WORDS
 
 
 def row_bytes(df: DataFrame) -> int:
@@ -47,6 +53,42 @@ def repeated(df: DataFrame, salts: int) -> DataFrame:
     return df.withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1))))
 
 
+def _hash_alike(left: DataFrame, right: DataFrame, on: Sequence[str]) -> bool:
+    """Whether equal keys have equal hashes: one type on both sides, and not a fraction."""
+    types = [(left.schema[c].dataType, right.schema[c].dataType) for c in on]
+    return all(a == b and a.typeName() in HASHED_TYPES for a, b in types)
+
+
+def member_filter(facts: DataFrame, lookup: DataFrame, on: Sequence[str], most_bits: int = FILTER_BITS) -> DataFrame:
+    """The facts without most rows whose key the lookup does not hold; no row it holds is lost.
+
+    Keys hash to places of a table of bits, ``FILTER_LOAD`` of them per lookup row but at
+    most ``most_bits``, which bounds what is broadcast (64 MB by default). With a key hashed to one
+    place, about 1 in ``FILTER_LOAD`` foreign keys passes, more where the bound is reached.
+    The facts do not move.
+    """
+    keys = lookup.select(*on).dropna(subset=list(on))
+    wanted = max(1, keys.count()) * FILTER_LOAD
+    bits = min(most_bits, 1 << (wanted - 1).bit_length())
+    blocks = max(1, bits // BLOCK_BITS)
+    place = F.pmod(F.xxhash64(*[F.lit("member"), *on]), F.lit(blocks * BLOCK_BITS).cast("long"))
+    word, bit = F.expr("_place div 32"), (F.col("_place") % 32).cast("int")
+    words = (
+        keys.select(place.alias("_place"))
+        .groupBy(word.alias("_word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_place % 32 as int))")).alias("_bits"))
+    )
+    in_block = F.map_from_entries(F.collect_list(F.struct((F.col("_word") % BLOCK_WORDS).cast("int"), "_bits")))
+    table = words.groupBy(F.expr(f"_word div {BLOCK_WORDS}").alias("_block")).agg(in_block.alias("_map"))
+    every = F.sequence(F.lit(0), F.lit(BLOCK_WORDS - 1))
+    table = table.select("_block", F.transform(every, lambda i: F.coalesce(F.col("_map")[i], F.lit(0))).alias("_words"))
+    placed = facts.withColumn("_place", place).withColumn("_block", F.expr(f"_place div {BLOCK_BITS}"))
+    kept = placed.join(F.broadcast(table), "_block").where(
+        F.getbit(F.get("_words", (word % BLOCK_WORDS).cast("int")), bit) == 1
+    )
+    return kept.select(*facts.columns)
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -60,13 +102,16 @@ def lookup_join(
     A lookup known or counted to be small is broadcast, so the facts do not move.
     Otherwise both sides are shuffled on the key plus a salt: the facts' salt is a
     hash of their other columns, the lookup is repeated once per salt. A key holding a
-    third of the facts is then spread over ``salts`` tasks.
+    third of the facts is then spread over ``salts`` tasks. Where facts without a match
+    are not wanted, a table of bits of bounded size drops most of them before the shuffle.
     """
     on = list(on)
     if fits_broadcast(lookup) if small is None else small:
         return facts.join(F.broadcast(lookup), on, how)
     salts = salts or default_salts(facts)
     others = [c for c in facts.columns if c not in on]
+    if how in ("inner", "left_semi") and _hash_alike(facts, lookup, on):
+        facts = member_filter(facts, lookup, on)
     if not others:
         return facts.join(lookup, on, how)
     return salted(facts, others, salts).join(repeated(lookup, salts), [*on, SALT], how).drop(SALT)
