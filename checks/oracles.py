@@ -412,6 +412,38 @@ SCREENED = [
     "after_session_prop",
 ]
 
+def _preset_terms() -> list[tuple[str, str, list[tuple[str, str]]]]:
+    """Each model's name, the rows it takes, and its terms with their SQL."""
+    numbers = [*SCREENED[:7], "slide_diversity", "special_app_use", "used_initial", "participated_before", *SCREENED[8:]]
+    outcomes = ["presentations_later", "used_later", "free_later", "premium_later", "premiumtrial_later"]
+    audience = [(f"audience_label_{b}", f"(audience_label = '{b}')") for b in ("None", "Light", "Medium", "Heavy", "Superuser")]
+    usage = [
+        (f"usage_label_initial_{b}", f"(usage_label_initial = '{b}')")
+        for b in ("Never Used", "Tested Product Only", "Used Product")
+    ]
+    shares = ["share_high", "after_session_prop", "teacher_event_prop", "student_event_prop"]
+    used = "usage_label_initial = 'Used Product'"
+    ever = "usage_label_initial <> 'Never Used'"
+    plain = "premiumtrial_later <> 1"
+    models = [
+        ("used_later", "used_later", f"{plain} AND {used}", [*shares, "used_initial", "audience_label_Light"]),
+        ("presentations_later", "presentations_later", f"{plain} AND {ever} AND usage_label_later <> 'Tested Product Only'",
+         ["share_high", "after_session_prop", "usage_label_initial_Used Product",
+          "usage_label_initial_Tested Product Only", "audience_label_None"]),
+        ("free_later", "free_later", f"{plain} AND {used}", [*shares, "share_testing", "used_initial", "audience_label_Light"]),
+        ("premium_later", "premium_later", f"{plain} AND {used}", [*shares, "share_testing", "used_initial", "audience_label_Light"]),
+        ("premiumtrial_later", "premiumtrial_later", used, ["used_initial", "audience_label_Light"]),
+        ("clusters", None, f"{plain} AND {ever}", []),
+    ]
+    found = []
+    for name, label, rows, gone in models:
+        terms = [(n, n) for n in numbers] + audience
+        terms += usage if "used_initial" not in gone else []
+        terms += [(o, o) for o in outcomes] if label is None else [("label", label)]
+        found.append((name, rows, [t for t in terms if t[0] not in gone]))
+    return found
+
+
 ORACLES: dict[str, str] = {
     "scan_limit_sample": _with(
         """SELECT user_id, event AS event_name, ts AS "timestamp" FROM ev
@@ -477,6 +509,26 @@ FROM ev GROUP BY user_id, CAST(ts AS DATE)"""
 FROM slide_counts GROUP BY slide_type""",
         SLIDE_COUNTS,
     ),
+    "status_rows_widened": _with(
+        f"""SELECT teacher, max(CASE WHEN rn = 1 THEN ts END) AS timestamp_1,
+  max(CASE WHEN rn = 2 THEN ts END) AS timestamp_2,
+  max(CASE WHEN rn = 1 THEN smin END) AS account_status_min_1,
+  max(CASE WHEN rn = 2 THEN smin END) AS account_status_min_2,
+  max(CASE WHEN rn = 1 THEN smax END) AS account_status_max_1,
+  max(CASE WHEN rn = 2 THEN smax END) AS account_status_max_2,
+  count(*) AS rows_in_group
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY teacher
+           ORDER BY ts, smin NULLS FIRST, smax NULLS FIRST) AS rn
+  FROM (SELECT DISTINCT i.teacher, i.ts, CASE WHEN i.ts = lo THEN i.status END AS smin,
+               CASE WHEN i.ts = hi THEN i.status END AS smax
+        FROM inside i JOIN (SELECT teacher, min(ts) AS lo, max(ts) AS hi
+                            FROM inside GROUP BY teacher) e ON e.teacher = i.teacher
+        WHERE i.ts = lo OR i.ts = hi)) GROUP BY teacher""",
+        f"""inside AS (
+  SELECT teacher, ts, status FROM launches JOIN cohort ON user_id = teacher
+  WHERE {_window("CAST(ts AS DATE)", 1, 12, 0)})""",
+    ),
     "rownumber_widen": _with(
         f"""SELECT teacher, CAST(rn AS INTEGER) AS position, ts AS timestamp, smin AS account_status_min,
   smax AS account_status_max
@@ -668,6 +720,10 @@ FROM statuses JOIN cohort ON teacher = external_id"""
     "event_profile": _with("SELECT * FROM profile", _profile("profile", EVENT_INSIDE)),
     "excluded_ids_removed": _with(
         """SELECT teacher, first_seen FROM cohort
+WHERE teacher NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)"""
+    ),
+    "exclusion_file_read": _with(
+        """SELECT teacher, first_seen FROM cohort
 WHERE teacher NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)"""
     ),
     "presentations_by_month_wide": _with(
@@ -813,6 +869,11 @@ FROM sessions GROUP BY 1""",
         f"SELECT slide_diversity, presentations_later, usage_label_later FROM ({MODEL_TABLE})",
         *MODEL_CTES,
     ),
+    "scatter_sample": _with(
+        f"""SELECT slide_diversity, presentations_later, usage_label_later FROM ({MODEL_TABLE})
+ORDER BY md5('0:' || teacher), teacher LIMIT 100""",
+        *MODEL_CTES,
+    ),
     "facet_share_initial": _with(
         f"""SELECT facet, x, n, CAST(sum(n) OVER (PARTITION BY facet) AS BIGINT) AS total,
   CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY facet) AS share
@@ -878,6 +939,18 @@ FROM labelled""",
         SESSIONS,
         TOTALS_5,
         """kept AS (SELECT * FROM totals
+  WHERE teacher NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier))""",
+    ),
+    "correlation_file": _with(
+        " UNION ALL ".join(
+            f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN stddev_pop({a}) > 0 AND "
+            f"stddev_pop({b}) > 0 THEN round(corr({a}, {b}), 6) END AS r FROM kept"
+            for a in CORRELATED
+            for b in CORRELATED
+        ),
+        SESSIONS,
+        TOTALS_5,
+        """kept AS (SELECT * FROM totals
   WHERE teacher NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier))""",
     ),
     "stratified_split": _with("SELECT quality, split, total FROM splits", DOCS, SPLIT_SIZES),
@@ -918,6 +991,68 @@ FROM docs GROUP BY quality""",
     "picked_split": _with("SELECT quality, split, total FROM splits", DOCS, SPLIT_SIZES),
     "linear_line": """SELECT round(regr_slope(c_acctbal, c_nationkey), 3) AS slope,
   round(regr_intercept(c_acctbal, c_nationkey), 1) AS intercept FROM customer""",
+    "kmeans_check": """SELECT CAST(4 AS BIGINT) AS clusters, count(*) AS rows, CAST(0 AS BIGINT) AS nearer_to_another,
+  true AS closer_than_to_the_mean FROM customer""",
+    "preset_columns": _with(
+        " UNION ALL ".join(
+            f"""SELECT '{preset}' AS preset, '{term}' AS term, count(*) AS rows,
+  round(sum(CAST({value} AS DOUBLE)), 4) AS total FROM complete WHERE {rows}"""
+            for preset, rows, terms in _preset_terms()
+            for term, value in terms
+        ),
+        *MODEL_CTES,
+        f"""complete AS (
+  SELECT * FROM ({MODEL_TABLE})
+  WHERE teacher NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)
+    AND subscription_later IS NOT NULL AND slide_diversity IS NOT NULL
+    AND teacher_event_prop IS NOT NULL)""",
+    ),
+    "aliased_columns": """SELECT unnest(['c_nationkey', 'c_custkey', 'affine', 'combined', 'constant', 'near_copy']) AS term,
+  unnest([false, regr_r2(c_custkey, c_nationkey) > 1 - 1e-9,
+    regr_r2(c_nationkey * 2 - 3, c_nationkey) > 1 - 1e-9,
+    (covar_pop(c_custkey / 7 + c_nationkey, c_custkey - c_nationkey * cross_slope)) ** 2
+      > (1 - 1e-9) * var_pop(c_custkey - c_nationkey * cross_slope)
+        * var_pop(c_custkey / 7 + c_nationkey - c_nationkey * (1 + cross_slope / 7)),
+    var_pop(4.0) > 0 OR count(*) > 0, stddev_pop(c_acctbal) = 0]) AS is_aliased
+FROM customer, (SELECT regr_slope(c_custkey, c_nationkey) AS cross_slope FROM customer)""",
+    "linear_elimination": """WITH r AS (
+  SELECT corr(c_acctbal, c_nationkey) AS yn, corr(c_acctbal, c_custkey) AS yc,
+         corr(c_nationkey, c_custkey) AS nc, count(*) AS n FROM customer),
+partials AS (
+  SELECT (yn - yc * nc) / sqrt((1 - yc ** 2) * (1 - nc ** 2)) AS pn,
+         (yc - yn * nc) / sqrt((1 - yn ** 2) * (1 - nc ** 2)) AS pc, n FROM r),
+sizes AS (
+  SELECT abs(pn) * sqrt((n - 3) / (1 - pn ** 2)) AS tn, abs(pc) * sqrt((n - 3) / (1 - pc ** 2)) AS tc FROM partials),
+path AS (
+  SELECT least(tn, tc) < 1.96 AS one_goes, CASE WHEN tn < tc THEN 'c_nationkey' ELSE 'c_custkey' END AS weaker FROM sizes)
+SELECT term, CAST(CASE WHEN one_goes AND term = weaker THEN 1 END AS INTEGER) AS step,
+  one_goes AND term = weaker AS dropped
+FROM path, (SELECT unnest(['c_nationkey', 'c_custkey']) AS term)""",
+    "flag_odds": _with(
+        """SELECT term, round(coefficient, 6) AS coefficient, round(exp(coefficient), 6) AS odds_ratio,
+  abs(coefficient) > 1.959964 * error AS significant
+FROM (SELECT unnest(['odd', '(Intercept)']) AS term,
+             unnest([ln(o1 * e0 / (o0 * e1)), ln(e1 / e0)]) AS coefficient,
+             unnest([sqrt(1 / o1 + 1 / e0 + 1 / o0 + 1 / e1), sqrt(1 / e1 + 1 / e0)]) AS error
+      FROM (SELECT CAST(count(*) FILTER (WHERE n_chars % 2 = 1 AND quality = 1) AS DOUBLE) AS o1,
+                   CAST(count(*) FILTER (WHERE n_chars % 2 = 1 AND quality = 0) AS DOUBLE) AS o0,
+                   CAST(count(*) FILTER (WHERE n_chars % 2 = 0 AND quality = 1) AS DOUBLE) AS e1,
+                   CAST(count(*) FILTER (WHERE n_chars % 2 = 0 AND quality = 0) AS DOUBLE) AS e0
+            FROM docs))""",
+        DOCS,
+    ),
+    "flag_scores": _with(
+        """SELECT CAST(n_chars % 2 AS DOUBLE) AS odd, count(*) AS rows, round(avg(quality), 8) AS prediction
+FROM docs GROUP BY 1""",
+        DOCS,
+    ),
+    "order_statistics": """WITH ordered AS (
+  SELECT CAST(n_chars AS DOUBLE) AS v, row_number() OVER (ORDER BY n_chars) - 1 AS place, count(*) OVER () AS n
+  FROM documents WHERE n_chars IS NOT NULL)
+SELECT chance, round(min(CASE WHEN place = floor((n - 1) * chance) THEN v END)
+  + ((n - 1) * chance - floor((n - 1) * chance))
+    * (min(CASE WHEN place = ceil((n - 1) * chance) THEN v END) - min(CASE WHEN place = floor((n - 1) * chance) THEN v END)), 6) AS value
+FROM ordered, (SELECT unnest(range(21)) / 20.0 AS chance) GROUP BY chance, n""",
     "inflation_of_two": """SELECT unnest(['c_nationkey', 'c_custkey']) AS term,
   round(1 / (1 - corr(c_nationkey, c_custkey) ** 2), 6) AS vif, false AS is_aliased
 FROM customer""",

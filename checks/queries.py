@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +25,14 @@ from stayline.operators import (
     frames,
     models,
     prep,
+    ranking,
     reshape,
     retention,
 )
 from stayline.operators.cohort import Cohort
 from stayline.operators.joins import assemble, without_ids
 from stayline.plans import mart, presets
-from stayline.session import checkpointed, configure
+from stayline.session import checkpoint_folder, checkpointed, configure
 from stayline.sources import tables
 from stayline.sources.roles import Roles
 
@@ -270,6 +273,13 @@ def rownumber_widen(r: Roles) -> DataFrame:
     ).select("teacher", "position", "timestamp", "account_status_min", "account_status_max")
 
 
+@register
+def status_rows_widened(r: Roles) -> DataFrame:
+    rows = cohort.status_rows(r.launch_presentation(), _cohort(r), STUDY.status[0])
+    values = ["timestamp", "account_status_min", "account_status_max"]
+    return reshape.widen_rows(rows, ["teacher"], values, values, positions=2)
+
+
 @register
 def left_assembly(r: Roles) -> DataFrame:
     slides = r.slide_presented(with_type=False).groupBy(F.col("user_id").alias("teacher")).agg(
@@ -517,6 +527,21 @@ def excluded_ids_removed(r: Roles) -> DataFrame:
     return without_ids(members, "teacher", r.excluded_users(), "hashed_coach_id")
 
 
+def _scratch_file(r: Roles, name: str) -> str:
+    """A place for a file that a query writes and reads again."""
+    return f"{checkpoint_folder(r.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register
+def exclusion_file_read(r: Roles) -> DataFrame:
+    path = _scratch_file(r, "excluded")
+    listed = r.excluded_users().select(F.col("hashed_coach_id").cast("string"))
+    # as in a list kept by hand, ids repeat and some are missing
+    unknown = listed.limit(1).select(F.lit(None).cast("string").alias("hashed_coach_id"))
+    tables.write_result(listed.unionByName(listed).unionByName(unknown), path, "csv")
+    return without_ids(_cohort(r).members, "teacher", tables.excluded_ids(r.spark, path), "hashed_coach_id")
+
+
 # --- reshape and features ---------------------------------------------------------------
 
 MONTHS = periods.month_list(date(1995, 1, 1), date(1996, 12, 1))
@@ -748,6 +773,13 @@ def scatter_points(r: Roles) -> DataFrame:
     )
 
 
+@register
+def scatter_sample(r: Roles) -> DataFrame:
+    return explore.scatter(
+        _model_table(r), "slide_diversity", "presentations_later", "usage_label_later", sample=100
+    )
+
+
 # --- preparation ------------------------------------------------------------------------
 
 
@@ -778,8 +810,7 @@ def dummies(r: Roles) -> DataFrame:
     )
 
 
-@register
-def correlation_long(r: Roles) -> DataFrame:
+def _correlations(r: Roles) -> DataFrame:
     columns = ["total_presentations", "total_students", "months_used", "n_testing", "n_low"]
     kept = frames.complete_cases(
         without_ids(_totals(r, BUCKETS_5), "teacher", r.excluded_users(), "hashed_coach_id")
@@ -787,6 +818,18 @@ def correlation_long(r: Roles) -> DataFrame:
     return frames.correlations(kept, columns).withColumn("r", F.round("r", 6))
 
 
+@register
+def correlation_long(r: Roles) -> DataFrame:
+    return _correlations(r)
+
+
+@register
+def correlation_file(r: Roles) -> DataFrame:
+    path = _scratch_file(r, "correlations")
+    tables.write_result(_correlations(r), path, "csv")
+    return r.spark.read.schema("a string, b string, r double").option("header", True).csv(path)
+
+
 @register
 def correlation_screen(r: Roles) -> DataFrame:
     rows, numeric = presets.screening_frame(_model_table(r), r.excluded_users())
@@ -969,6 +1012,85 @@ def kmeans_assign(r: Roles) -> DataFrame:
     return models.clusters(rows, names).select("teacher", "cluster")
 
 
+@register
+def kmeans_check(r: Roles) -> DataFrame:
+    columns = ["c_acctbal", "c_nationkey", "c_custkey"]
+    report = models.cluster_report(_balances(r), columns)
+    return report.agg(
+        F.count(F.lit(1)).alias("clusters"),
+        F.sum("rows").alias("rows"),
+        F.sum("nearer_to_another").alias("nearer_to_another"),
+        (F.sum("within") < F.lit(float(len(columns))) * F.sum("rows")).alias("closer_than_to_the_mean"),
+    )
+
+
+@register
+def preset_columns(r: Roles) -> DataFrame:
+    table = checkpointed(_model_table(r))
+    parts = []
+    for preset in presets.PRESETS.values():
+        rows, names = presets.model_frame(table, preset, r.excluded_users())
+        kept = [*names, *(["label"] if preset.label else [])]
+        sums = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.col(f"`{c}`").cast("double")).alias(c) for c in kept])
+        long = sums.unpivot(["rows"], [F.col(f"`{c}`") for c in kept], "term", "total")
+        parts.append(long.select(F.lit(preset.name).alias("preset"), "term", "rows", F.round("total", 4).alias("total")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register
+def aliased_columns(r: Roles) -> DataFrame:
+    rows = _balances(r).select(
+        "c_nationkey",
+        "c_custkey",
+        (F.col("c_nationkey") * 2 - 3).alias("affine"),
+        (F.col("c_custkey") / 7 + F.col("c_nationkey")).alias("combined"),
+        F.lit(4.0).alias("constant"),
+        # so near to the key that cross products cannot tell them apart
+        (F.col("c_custkey") + F.col("c_acctbal") * 1e-7).alias("near_copy"),
+        "c_acctbal",
+    )
+    names = [c for c in rows.columns if c != "c_acctbal"]
+    found = models.collinearity(r.spark, rows, names, "c_acctbal", "gaussian")
+    return found.select("term", "is_aliased")
+
+
+@register
+def linear_elimination(r: Roles) -> DataFrame:
+    fitted = models.backward(_balances(r), ["c_nationkey", "c_custkey"], "c_acctbal", "gaussian", 0.05)
+    steps = [(name, i, True) for i, (name, _) in enumerate(fitted.dropped, start=1)]
+    steps += [(name, None, False) for name in fitted.features]
+    return r.spark.createDataFrame(steps, "term string, step int, dropped boolean")
+
+
+def _odd_lengths(r: Roles) -> DataFrame:
+    odd = (F.col("n_chars") % 2).cast("double")
+    return _labelled_documents(r).select("doc_id", F.col("quality").alias("label"), odd.alias("odd"))
+
+
+def _odd_fit(r: Roles) -> models.Fit:
+    return models.backward(_odd_lengths(r), ["odd"], "label", "binomial", 0.15)
+
+
+@register
+def flag_odds(r: Roles) -> DataFrame:
+    found = models.coefficients(r.spark, _odd_fit(r))
+    numbers = [F.round(c, 6).alias(c) for c in ("coefficient", "odds_ratio")]
+    return found.select("term", *numbers, (F.col("p_value") <= 0.05).alias("significant"))
+
+
+@register
+def flag_scores(r: Roles) -> DataFrame:
+    scored = models.score(_odd_fit(r), _odd_lengths(r))
+    return scored.groupBy("odd").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("prediction"), 8).alias("prediction"))
+
+
+@register
+def order_statistics(r: Roles) -> DataFrame:
+    chances = [i / 20 for i in range(21)]
+    values = ranking.exact_quantiles(r.table("documents"), "n_chars", chances)
+    return r.spark.createDataFrame(list(zip(chances, values)), "chance double, value double").withColumn("value", F.round("value", 6))
+
+
 # --- evaluation -------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stayline.functions.numbers import round_even
 from stayline.functions.periods import month_of_text, week_key
 from stayline.operators.reshape import share_within
+from stayline.sources.tables import hashed_sample
 
 
 def count_by(df: DataFrame, *columns: str, name: str = "total") -> DataFrame:
@@ -69,7 +70,9 @@ def facet_share(df: DataFrame, facet: str, x: str) -> DataFrame:
     return share_within(counts, ["facet"], "n")
 
 
-def scatter(df: DataFrame, x: str, y: str, label: str | None = None) -> DataFrame:
-    """All points, optionally with a label."""
+def scatter(
+    df: DataFrame, x: str, y: str, label: str | None = None, sample: int | None = None, key: str = "teacher"
+) -> DataFrame:
+    """All points, or a repeatable sample of so many by the hash of a key, optionally with a label."""
     columns: Sequence[str] = [x, y] + ([label] if label else [])
-    return df.select(*columns)
+    return (df if sample is None else hashed_sample(df, sample, [key])).select(*columns)

@@ -10,6 +10,7 @@ from functools import reduce
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GeneralizedLinearRegression,
     GeneralizedLinearRegressionModel,
@@ -215,12 +216,37 @@ def collinearity(
     return spark.createDataFrame(rows, "term string, vif double, is_aliased boolean")
 
 
-def clusters(
-    df: DataFrame, features: Sequence[str], k: int = 4, seed: int = 1234
-) -> DataFrame:
-    """Assign every row to one of ``k`` clusters over standardised columns."""
+def _clustered(df: DataFrame, features: Sequence[str], k: int, seed: int) -> tuple[DataFrame, list[np.ndarray]]:
     data = assemble_features(df, features)
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(data)
     scaled = scaler.transform(data).drop("features")
     model = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(scaled)
-    return model.transform(scaled).drop("scaled")
+    return model.transform(scaled), model.clusterCenters()
+
+
+def clusters(
+    df: DataFrame, features: Sequence[str], k: int = 4, seed: int = 1234
+) -> DataFrame:
+    """Assign every row to one of ``k`` clusters over standardised columns."""
+    return _clustered(df, features, k, seed)[0].drop("scaled")
+
+
+def cluster_report(df: DataFrame, features: Sequence[str], k: int = 4, seed: int = 1234) -> DataFrame:
+    """Per cluster of ``clusters``: rows, their squared distance from the centre, and rows nearer to another centre.
+
+    Distances to the ``k`` centres are expressions; only one row per cluster is shuffled.
+    """
+    assigned, centres = _clustered(df, features, k, seed)
+    place = vector_to_array("scaled")
+    square = [
+        reduce(Column.__add__, [(F.get(place, F.lit(i)) - float(c)) * (F.get(place, F.lit(i)) - float(c)) for i, c in enumerate(centre)])
+        for centre in centres
+    ]
+    away = assigned.select("cluster", F.array(*square).alias("away"))
+    own = F.get("away", "cluster")
+    # distances that rounding alone sets apart are equal
+    return away.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(own).alias("within"),
+        F.count_if(F.array_min("away") < own * (1 - 1e-9)).alias("nearer_to_another"),
+    )

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from stayline.session import checkpointed
 
+FAN = 1024
+BINS = 1024
+
 
 def hash_rank(
     df: DataFrame, group: str, key: str, seed: int, bits: int = 12
@@ -47,6 +50,35 @@ def hash_rank(
     )
 
 
+def prefix_sums(
+    df: DataFrame, place: str, values: Sequence[str], most: int, groups: Sequence[str] = (), fan: int = FAN
+) -> DataFrame:
+    """Add ``before_<value>``: the sum over the rows of the group that come before by place.
+
+    Places are whole numbers from 0 to ``most``, each at most once in a group. The scan has
+    as many levels as ``most`` needs: rows are summed in blocks of ``fan`` places, blocks in
+    blocks of blocks, so no window holds more than ``fan`` rows. NULL is a group.
+    """
+    block = f"_{place}_block"
+    blocked = df.withColumn(block, F.expr(f"`{place}` div {fan}"))
+    inside = Window.partitionBy(*groups, block).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    own = blocked.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    if most < fan:
+        return own.drop(block)
+    blocks = blocked.groupBy(*groups, block).agg(*[F.sum(v).alias(v) for v in values])
+    higher = prefix_sums(blocks, block, values, most // fan, groups, fan).select(
+        F.col(block).alias("_its_block"),
+        *[F.col(g).alias(f"_its_{i}") for i, g in enumerate(groups)],
+        *[F.col(f"before_{v}").alias(f"_more_{v}") for v in values],
+    )
+    same = F.col(block) == F.col("_its_block")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_its_{i}"))
+    return own.join(higher, same).select(
+        *df.columns, *[(F.col(f"before_{v}") + F.col(f"_more_{v}")).alias(f"before_{v}") for v in values]
+    )
+
+
 def running_totals(
     df: DataFrame, order: str, values: Sequence[str], descending: bool = False
 ) -> DataFrame:
@@ -54,8 +86,7 @@ def running_totals(
 
     ``order`` must be unique. Cut points taken from approximate quantiles split the rows
     into ranges of similar size; each range is summed by itself and shifted by the
-    totals of the ranges before it. The totals are one row per range, bounded by the
-    number of shuffle partitions. The input is read three times and therefore
+    totals of the ranges before it, which ``prefix_sums`` adds up. The input is read three times and therefore
     checkpointed first. Rows without a place in the order (NULL or NaN) are left out;
     infinite values are the first and the last.
     """
@@ -71,12 +102,11 @@ def running_totals(
         return F.desc(column) if descending else F.asc(column)
 
     sums = ranged.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
-    earlier = Window.orderBy(before("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    offsets = sums.select(
+    place = (F.lit(len(splits)) - F.col("_range") if descending else F.col("_range")).cast("int")
+    offsets = prefix_sums(sums.withColumn("_place", place), "_place", values, len(splits)).select(
         "_range",
-        *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_before_{v}") for v in values],
-        *[F.sum(v).over(everything).alias(f"all_{v}") for v in values],
+        *[F.col(f"before_{v}").alias(f"_before_{v}") for v in values],
+        *[sums.agg(F.sum(v)).scalar().alias(f"all_{v}") for v in values],
     )
     inside = (
         Window.partitionBy("_range")
@@ -92,27 +122,69 @@ def running_totals(
     )
 
 
+def order_statistics(df: DataFrame, column: str, places: Sequence[int]) -> dict[int, float]:
+    """The values at some places (from 0) in ascending order, by refining histograms.
+
+    Each pass counts the values of the ranges that still hold a wanted place in ``BINS`` even
+    bins; the bin with the place, cut to the least and the greatest value in it, is its
+    next range. A pass is one aggregation of a few thousand counts; nothing is sorted. Rows
+    without a value (NULL or NaN) have no place; places beyond the last have no value.
+    """
+    value = F.col(column).cast("double")
+    numbers = checkpointed(df.select(value.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")))
+    infinite = float("inf")
+    finite = numbers.where(F.abs("v") < infinite)
+    first = numbers.agg(
+        F.count_if(F.col("v") == -infinite).alias("low"),
+        F.count_if(F.abs("v") < infinite).alias("n"),
+        F.count(F.lit(1)).alias("all"),
+        F.min(F.when(F.abs("v") < infinite, F.col("v"))).alias("lo"),
+        F.max(F.when(F.abs("v") < infinite, F.col("v"))).alias("hi"),
+    ).first()
+    found = {p: -infinite if p < first["low"] else infinite for p in places if 0 <= p < first["all"]}
+    open_ = {p: p - first["low"] for p in found if first["low"] <= p < first["low"] + first["n"]}
+    ranges = {(first["lo"], first["hi"]): open_} if open_ else {}
+    while ranges:
+        found |= {p: lo for (lo, hi), wanted in ranges.items() if lo == hi for p in wanted}
+        ranges = {r: wanted for r, wanted in ranges.items() if r[0] < r[1]}
+        if not ranges:
+            break
+        bounds = list(ranges)
+        which, share = F.lit(None).cast("int"), F.lit(None).cast("double")
+        for i, (lo, hi) in enumerate(bounds):
+            inside = F.col("v").between(lo, hi)
+            which = F.when(inside, i).otherwise(which)
+            # halves first: the width of a range may be more than a double holds
+            share = F.when(inside, (F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2)).otherwise(share)
+        binned = finite.select("v", which.alias("i"), F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin"))
+        counted = (
+            binned.where("i IS NOT NULL")
+            .groupBy("i", "bin")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .collect()
+        )
+        finer: dict[tuple[float, float], dict[int, int]] = {}
+        for i, bound in enumerate(bounds):
+            before = 0
+            for row in sorted((r for r in counted if r["i"] == i), key=lambda r: r["bin"]):
+                for p, rank in ranges[bound].items():
+                    if before <= rank < before + row["n"]:
+                        finer.setdefault((row["lo"], row["hi"]), {})[p] = rank - before
+                before += row["n"]
+        ranges = finer
+    return found
+
+
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:
     """Quantiles with linear interpolation between the two neighbouring order statistics."""
-    counts = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    cumulated = running_totals(counts, "value", ["n"])
-    total = cumulated.agg(F.max("all_n")).first()[0]
-    if total is None:
+    value = F.col(column).cast("double")
+    total = df.select(F.count_if(value.isNotNull() & ~F.isnan(value))).first()[0]
+    if not total:
         return []
     picks = []
     for p in probabilities:
         spot = (total - 1) * p
         low = int(spot)
         picks.append((low, min(low + 1, total - 1), spot - low))
-    wanted = sorted({i for low, high, _ in picks for i in (low, high)})
-    found = cumulated.agg(
-        *[F.min(F.when(F.col("cum_n") > i, F.col("value"))).alias(f"v{i}") for i in wanted]
-    ).first()
-    return [
-        found[f"v{low}"] + share * (found[f"v{high}"] - found[f"v{low}"])
-        for low, high, share in picks
-    ]
+    found = order_statistics(df, column, sorted({i for low, high, _ in picks for i in (low, high)}))
+    return [found[low] + share * (found[high] - found[low]) if share else found[low] for low, high, share in picks]

@@ -46,7 +46,7 @@ def local_session(app: str, cores: int | str = 8, memory: str = "8g") -> SparkSe
     return configure(spark)
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a temporary folder, removed at exit.
@@ -73,7 +73,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     columns they need. The tables stay until ``scratch_tables`` ends or the folder is cleaned.
     """
     spark = df.sparkSession
-    path = f"{_checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

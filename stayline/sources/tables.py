@@ -48,6 +48,16 @@ def sample_rows(df: DataFrame, rows: int, order_by: Sequence[str] = ()) -> DataF
     return (df.orderBy(*order_by) if order_by else df).limit(rows)
 
 
+def hashed_sample(df: DataFrame, rows: int, key: Sequence[str], seed: int = 0) -> DataFrame:
+    """The ``rows`` rows with the smallest hash of their key, in its order; the key identifies a row.
+
+    The same rows whatever the partitioning: every task keeps its smallest ones and those
+    meet, so samples of parts of a table merge by sampling their union again.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in key])
+    return df.withColumn("_hash", F.md5(text)).orderBy("_hash", *key).limit(rows).drop("_hash")
+
+
 def flatten_user_facts(df: DataFrame) -> DataFrame:
     """Bring the nested and the flat layout of the user table to the flat one.
 
