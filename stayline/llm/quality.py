@@ -11,12 +11,15 @@ shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,9 @@ ROUNDS = 4
 HANDED = 0.05
 SURE = float(np.log(9))
 BINS, MOST_LOGIT = 6000, 30
+# sums of so many partitions meet in a task
+FAN = 256
+_SUMS = "place long, total array<double>"
 RIDGE = 1.0
 SOURCE_SLOTS, LANG_SLOTS = 32, 16
 Batches = Iterator[pa.RecordBatch]
@@ -184,7 +190,11 @@ class Pool:
         self.rows = rows.select("place", "by_text", "by_metadata")
 
     def total(self, of: Callable[[tuple[np.ndarray, np.ndarray], np.ndarray], np.ndarray]) -> np.ndarray | None:
-        """The sum of ``of(parts, place)`` over all rows; each partition returns one sum."""
+        """The sum of ``of(parts, place)`` over all rows.
+
+        All partitions work at once and return one sum each; ``FAN`` of these meet in a
+        group, and the groups' on the driver, always in the order of the partitions.
+        """
 
         def add(batches: Batches) -> Batches:
             total = None
@@ -194,12 +204,15 @@ class Pool:
                     own = of(parts, batch["place"].to_numpy())
                     total = own if total is None else total + own
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["total"])
+                place = pa.array([TaskContext.get().partitionId()], pa.int64())
+                yield pa.RecordBatch.from_arrays([place, pa.array([total], pa.list_(pa.float64()))], names=["place", "total"])
 
-        total = None
-        for r in self.rows.mapInArrow(add, "total array<double>").toLocalIterator():
-            total = np.array(r.total) if total is None else total + np.array(r.total)
-        return total
+        def join(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"place": [key[0]], "total": [_in_order(list(frame["place"]), list(frame["total"]))]})
+
+        sums = self.rows.mapInArrow(add, _SUMS)
+        found = sums.groupBy(F.expr(f"place div {FAN}")).applyInPandas(join, _SUMS).collect()
+        return _in_order([r.place for r in found], [r.total for r in found]) if found else None
 
     def moments(self, rounds: list[Round]) -> list[np.ndarray]:
         """``_moments`` of each view over the rows that it was given."""
@@ -234,6 +247,11 @@ class Pool:
         return [part.reshape(-1, len(v.weights)) for v, part in zip(views, np.split(found, [first]), strict=True)]
 
 
+def _in_order(places: Sequence[int], totals: Sequence[np.ndarray]) -> np.ndarray:
+    """The sum of arrays in the order of their places, so that rounding is the same every time."""
+    return reduce(np.add, [np.asarray(totals[i]) for i in np.argsort(np.asarray(places))])
+
+
 def _moments(x: np.ndarray) -> np.ndarray:
     """Number, sum and sum of squares of each column."""
     return np.stack((np.full(x.shape[1], float(len(x))), x.sum(axis=0), (x * x).sum(axis=0)))
