@@ -7,8 +7,10 @@ there the document's words are aligned with the template's in a band.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Mapping
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +85,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _KEPT_WORDS:
             self.clear()
-        core = "".join(c for c in word.decode().lower() if c.isalnum())
+        core = "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalnum())
         if not core:
             value = 0
         elif core.lstrip("v").isdigit():
@@ -114,14 +116,14 @@ def fingerprints(hashes: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.n
 def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
     """(matched words, first, last) of the best alignment with doc place - template place near ``shift``.
 
-    The longest common subsequence within the band; of equally long ones the one that ends
-    first, then the shorter.
+    The longest common subsequence within the band; of equally long ones the shortest, of
+    those the nearest to ``shift``, of those the first.
     """
     width = 2 * band + 1
     # column c of row q stands for the place q + shift - band + c of the document
     score = np.zeros(width + 1, np.int64)
     start = np.full(width + 1, -1, np.int64)
-    best = (0, 0, -1)
+    best, away = (0, 0, -1), -width
     for q in range(len(template)):
         places = np.arange(width) + q + shift - band
         inside = (places >= 0) & (places < len(doc))
@@ -134,8 +136,8 @@ def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int) -> tuple
             if score[c] + 1 > new[c]:
                 new[c] = score[c] + 1
                 begin[c] = places[c] if score[c] == 0 else start[c]
-                if (new[c], begin[c] - places[c]) > (best[0], best[1] - best[2]):
-                    best = (int(new[c]), int(begin[c]), int(places[c]))
+                if (new[c], begin[c] - places[c], -abs(c - band)) > (best[0], best[1] - best[2], away):
+                    best, away = (int(new[c]), int(begin[c]), int(places[c])), -abs(c - band)
         # without a word of the document, the best of the columns further left
         top = np.maximum.accumulate(new[:width])
         origin = np.where(new[:width] == top, np.arange(width), 0)
@@ -145,6 +147,42 @@ def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int) -> tuple
     return best
 
 
+def _covered(kept: list[tuple], place: int) -> bool:
+    """Whether one of ascending matches (start, end, ...) holds a place."""
+    after = bisect_right(kept, (place, float("inf")))
+    return bool(after) and place < kept[after - 1][1]
+
+
+def _diagonals(stretches: set[tuple[int, int, int]], band: int) -> list[tuple[int, int, int]]:
+    """One (template, shift, place) of those that stand within half a band of each other.
+
+    A template that comes again has a diagonal of its own, however near: its fingerprints
+    stand at least a template's length, less the band, behind the first ones.
+    """
+    chosen: list[tuple[int, int, int]] = []
+    for k, shift, place in sorted(stretches):
+        if not chosen or chosen[-1][0] != k or shift > chosen[-1][1] + band // 2:
+            chosen.append((k, shift, place))
+    return chosen
+
+
+def _near(
+    hashes: np.ndarray, known: list[np.ndarray], kept: list[tuple], band: int, least: float, stretch: tuple[int, int, int]
+) -> tuple[int, int, int, int] | None:
+    """(matched words, start, end, template) at a stretch, between the matches beside it."""
+    k, shift, place = stretch
+    low, high = max(0, shift - band), max(0, shift + len(known[k]) + band)
+    after = bisect_right(kept, (place, float("inf")))
+    if after:
+        low = max(low, kept[after - 1][1])
+    if after < len(kept):
+        high = min(high, kept[after][0])
+    common, first, last = align(hashes[low:high], known[k], shift - low, band)
+    if common < least * len(known[k]) or last - first + 1 > common / least:
+        return None
+    return common, low + first, low + last + 1, k
+
+
 def _find(templates: Mapping[str, str], band: int, least: float) -> Callable[[Batches], Batches]:
     def find(batches: Batches) -> Batches:
         vocabulary, rolling = _Words(), Rolling(GRAM, _BASE)
@@ -161,30 +199,24 @@ def _find(templates: Mapping[str, str], band: int, least: float) -> Callable[[Ba
             at, values = fingerprints(hashes, rolling)
             slot = np.searchsorted(prints, values)
             hit = np.flatnonzero(prints[np.minimum(slot, len(prints) - 1)] == values) if len(prints) else []
-            stretches: dict[int, set[int]] = defaultdict(set)
-            for i in hit:
-                for k, place in index[int(values[i])]:
-                    stretches[k].add(int(at[i]) - place)
-            found = []
-            for k, shifts in stretches.items():
-                done = None
-                for shift in sorted(shifts):
-                    if done is not None and shift <= done + band // 2:
-                        continue  # inside the band of the alignment before
-                    done = shift
-                    low = max(0, shift - band)
-                    part = hashes[low : max(0, shift + len(known[k]) + band)]
-                    common, first, last = align(part, known[k], shift - low, band)
-                    coverage = common / len(known[k])
-                    if coverage >= least and last - first + 1 <= common / least:
-                        found.append((k, coverage, int(places[low + first]), int(places[low + last]) + 1))
-            # of overlapping matches the one with more matched words stays, then the closer one
-            found.sort(key=lambda m: (-round(m[1] * len(known[m[0]])), -m[1], m[2], m[0]))
-            kept: list[tuple] = []
-            for m in found:
-                if all(m[3] <= o[2] or m[2] >= o[3] for o in kept):
-                    kept.append(m)
-            return [dict(license=names[k], coverage=c, start=s, end=e) for k, c, s, e in sorted(kept, key=lambda m: m[2])]
+            stretches = {(k, int(at[i]) - place, int(at[i])) for i in hit for k, place in index[int(values[i])]}
+            kept: list[tuple] = []  # places of matches, ascending and apart
+            while stretches:
+                found = {m for m in map(partial(_near, hashes, known, kept, band, least), _diagonals(stretches, band)) if m}
+                # of overlapping matches the one with more matched words stays, then the closer one
+                before = len(kept)
+                for common, start, end, k in sorted(found, key=lambda m: (-m[0], -m[0] / len(known[m[3]]), m[1], m[3])):
+                    place = bisect_left(kept, (start,))
+                    if (not place or kept[place - 1][1] <= start) and (place == len(kept) or end <= kept[place][0]):
+                        kept.insert(place, (start, end, k, common))
+                if len(kept) == before:
+                    break
+                # what no match covers yet is looked at again, without what is covered
+                stretches = {s for s in stretches if not _covered(kept, s[2])}
+            return [
+                dict(license=names[k], coverage=common / len(known[k]), start=int(places[s]), end=int(places[e - 1]) + 1)
+                for s, e, k, common in kept
+            ]
 
         kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
@@ -207,7 +239,8 @@ def scan_licenses(
     all equal. A match has ``least`` of the template's words in order, at most ``band`` words
     off the diagonal, and as large a share of the words between its ends. It is found if
     four words in a row agree somewhere. Of overlapping matches the one with the most
-    matched words stays. Null and empty texts match nothing; rows that repeat an id, or have
+    matched words stays; what it leaves uncovered is looked at again, so that notices side
+    by side are all found. Null and empty texts match nothing; rows that repeat an id, or have
     none, are scanned one by one; other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates

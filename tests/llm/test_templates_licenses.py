@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from stayline.llm.licenses import TEMPLATES, scan_licenses
 from stayline.llm.templates import contaminated_documents
 
@@ -181,3 +183,19 @@ def test_copies_are_found_whatever_they_are_made_of(spark, docs):
     for k in texts:
         assert got[k] == (True, [k], [])
     assert got[80] == got[81] == got[82] == got[83] == (False, [], [])
+
+
+@pytest.mark.parametrize("times", [2, 3, 5, 40])
+@pytest.mark.parametrize("between", ["", "and also", "x y z"])
+def test_notices_side_by_side_are_all_found(docs, times, between):
+    notice = "Released under the MIT License."
+    text = f" {between} ".join([notice] * times)
+    (row,) = scan_licenses(docs((1, f"Intro words here. {text} The end."))).collect()
+    step = 5 + len(between.split())
+    assert [(m["license"], m["start"], m["end"]) for m in row["matches"]] == [("MIT line", 3 + i * step, 8 + i * step) for i in range(times)]
+
+
+def test_a_text_of_many_notices_ends_soon(docs):
+    text = " ".join("Released under the MIT License. Some other words follow here." for _ in range(4000))
+    (row,) = scan_licenses(docs((1, text))).collect()
+    assert len(row["matches"]) == 4000
