@@ -14,10 +14,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayline.operators.joins import fits_broadcast
 from stayline.session import checkpointed
 
 KEY_BITS = 60
 MORE_BITS = 4
+# of a directory that every task gets
+DIRECTORY_BYTES = 8_000_000
 
 
 def _key() -> Column:
@@ -75,6 +78,9 @@ def assign_shards(docs: DataFrame, byte_limit: int) -> DataFrame:
     while True:
         directory = _directory(keys, least, bits, byte_limit)
         found = directory.where("shard IS NOT NULL").withColumnRenamed("fine", named["fine"])
+        # the directory grows with the data: it is sent to every task only while it is small
+        small = fits_broadcast(found, DIRECTORY_BYTES)
+        found = F.broadcast(found) if small else found.hint("merge")
         at = F.shiftright(named["key"], KEY_BITS - bits)
         parts.append(
             rows.withColumn(named["fine"], at)
