@@ -2,13 +2,14 @@
 
 The documents of a source, in hashed order, form one sequence of words that is cut into
 equal blocks. A schedule gives slot after slot to a source: slot i stands at the
-fractional part of i times the golden ratio, and the cumulative quotas of the sources
-divide the unit interval. The k-th slot of a source takes its block k modulo the number
+fractional part of i times the golden ratio, taken as the quotient of two neighbouring
+Fibonacci numbers so that whole numbers give it exactly, and the cumulative quotas of the
+sources divide the unit interval. The k-th slot of a source takes its block k modulo the number
 of its blocks.
 
 Positions and ranks are running sums in two steps (over segments, then inside one), so
-no task holds a whole source. Only the table of sources and the segment totals of one
-source pass through a single window.
+no task holds a whole source. Only the table of sources and a bounded number of segment
+totals pass through a single window.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.llm.words import WORD
+from stayline.operators.ranking import prefix_sums
 from stayline.session import checkpointed
 
 BLOCK_WORDS = 64
-GOLDEN = 0.6180339887498949
+# The 67th and 68th Fibonacci number, whose products with 16 bits fit a long
+STEP, TURN = 44945570212853, 72723460248141
 SLOT_SEGMENT = 4096
 CELLS = 4096
 
@@ -67,6 +70,17 @@ def _quotas(targets: DataFrame, block_words: int) -> DataFrame:
     )
 
 
+def golden_place(index: Column) -> Column:
+    """``index`` times ``STEP`` modulo ``TURN`` in whole numbers, for an index below ``TURN``.
+
+    The index enters in three parts of 16 bits; no product leaves a long.
+    """
+    step, turn, bits = F.lit(STEP), F.lit(TURN), 1 << 16
+    high = (F.shiftright(index, 32) * step) % turn
+    middle = (high * bits + (F.shiftright(index, 16) % bits) * step) % turn
+    return (middle * bits + (index % bits) * step) % turn
+
+
 def schedule(quotas: DataFrame) -> DataFrame:
     """``slot, source_no, rank, block`` of every slot.
 
@@ -75,9 +89,9 @@ def schedule(quotas: DataFrame) -> DataFrame:
     """
     spark = quotas.sparkSession
     total = quotas.agg(F.max("slots")).first()[0] or 0
-    points = spark.range(3 * total).select(
-        F.col("id").alias("slot"), ((F.col("id") + 1) * GOLDEN - F.floor((F.col("id") + 1) * GOLDEN)).alias("x")
-    )
+    if 3 * total >= TURN:
+        raise ValueError("the schedule has more points than its sequence; take larger blocks")
+    points = spark.range(3 * total).select(F.col("id").alias("slot"), (golden_place(F.col("id") + 1) / TURN).alias("x"))
     points = points.withColumn("cell", F.floor(F.col("x") * CELLS)).withColumn("at", F.col("x") * F.lit(float(total)))
     ends = quotas.where("quota > 0").select("source_no", "quota", "blocks", "low", (F.col("low") + F.col("quota")).alias("high"))
     first = F.floor(F.col("low") / F.lit(float(total)) * CELLS) if total else F.lit(0)
@@ -88,7 +102,8 @@ def schedule(quotas: DataFrame) -> DataFrame:
     drawn = drawn.withColumn("segment", F.expr(f"slot div {SLOT_SEGMENT}"))
     drawn = drawn.select("slot", "segment", "source_no", "quota", "blocks")
     counts = drawn.groupBy("source_no", "segment").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.withColumn("offset", _running(counts, "n", ["source_no"], ["segment"])).drop("n")
+    sums = prefix_sums(counts, "segment", ["n"], 3 * total // SLOT_SEGMENT, ["source_no"])
+    offsets = sums.select("source_no", "segment", F.col("before_n").alias("offset"))
     own = F.row_number().over(Window.partitionBy("source_no", "segment").orderBy("slot")) - 1
     ranked = drawn.withColumn("own", own).join(offsets, ["source_no", "segment"])
     return (
@@ -140,7 +155,9 @@ def mix_sources(
     Null and empty texts have size 0 and are never taken. Rows that repeat an id, whole
     rows included, are mixed as documents of their own. Other columns are ignored.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # rows without an id are told apart by their texts
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce("text", F.lit(""))))
+    key = F.md5(F.concat(F.lit(seed + ":"), name))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

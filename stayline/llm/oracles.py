@@ -72,7 +72,7 @@ FROM least_ids
 OP3 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || coalesce(text, ''))) AS key
   FROM documents
 ), totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -96,11 +96,12 @@ WITH sized AS (
 ), ends AS MATERIALIZED (
   SELECT *, sum(quota) OVER (ORDER BY source_no) AS high, sum(quota) OVER () AS slots FROM quotas
 ), points AS (
-  SELECT slot, (slot + 1) * CAST(0.6180339887498949 AS DOUBLE) AS y
+  SELECT slot, CAST(CAST(CAST(slot + 1 AS HUGEINT) * 44945570212853 % 72723460248141 AS BIGINT) AS DOUBLE)
+    / CAST(72723460248141 AS DOUBLE) AS x
   FROM (SELECT unnest(range(0, 3 * (SELECT CAST(max(slots) AS BIGINT) FROM ends))) AS slot)
 ), ranked AS (
   SELECT source_no, blocks, quota, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS rank
-  FROM points JOIN ends ON (y - floor(y)) * CAST(slots AS DOUBLE) >= high - quota AND (y - floor(y)) * CAST(slots AS DOUBLE) < high
+  FROM points JOIN ends ON x * CAST(slots AS DOUBLE) >= high - quota AND x * CAST(slots AS DOUBLE) < high
 ), visits AS (
   SELECT source_no, rank % blocks AS block, count(*) AS visits FROM ranked WHERE rank < quota GROUP BY ALL
 ), placed AS (

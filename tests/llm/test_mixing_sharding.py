@@ -128,3 +128,39 @@ def test_written_shards_read_back(spark, docs, tmp_path):
     write_shards(sharded, f"{tmp_path}/out")
     back = spark.read.option("recursiveFileLookup", "false").parquet(f"{tmp_path}/out")
     assert counted(back.select("doc_id", "text")) == counted(sharded.select("doc_id", "text"))
+
+
+def test_the_schedule_is_exact_at_any_length(spark):
+    from stayline.llm.mixing import STEP, TURN, golden_place
+
+    places = [0, 1, 2, 4095, 10**9, 10**12 + 7, 5 * 10**13, TURN - 1]
+    df = spark.createDataFrame([(p,) for p in places], "i long")
+    found = {r.i: r.x for r in df.select("i", golden_place(F.col("i")).alias("x")).collect()}
+    assert found == {p: p * STEP % TURN for p in places}
+
+
+def test_a_small_source_finds_its_slots_far_out(spark):
+    """Among points a trillion slots out, an interval of 3 in 10**7 holds its share to within a few."""
+    from stayline.llm.mixing import TURN, golden_place
+
+    points = spark.range(10**12, 10**12 + 10**7, 1, 8).select((golden_place(F.col("id")) / TURN).alias("x"))
+    for low in (0.0, 0.123456, 0.9):
+        held = points.where((F.col("x") >= low) & (F.col("x") < low + 3e-6)).count()
+        assert abs(held - 30) <= 4
+
+
+def test_rows_without_an_id_are_told_apart_by_their_texts(docs):
+    df = docs(*[(None, f"text number {i} " * (i % 7)) for i in range(40)], (1, "a b c"))
+    rows = mix_sources(df).collect()
+    assert len(rows) == 41 and sum(r["taken"] for r in rows) == pytest.approx(sum(r["size"] for r in rows), abs=64)
+
+
+def test_a_large_directory_is_joined_without_a_broadcast(docs, monkeypatch):
+    from stayline.llm import sharding
+
+    df = docs(*[(i, f"text {i} " * 20) for i in range(300)])
+    small = sorted(map(str, sharding.assign_shards(df, 2000).collect()))
+    monkeypatch.setattr(sharding, "DIRECTORY_BYTES", 0)
+    large = sharding.assign_shards(df, 2000)
+    assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, large.collect())) == small
