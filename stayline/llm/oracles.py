@@ -1,7 +1,7 @@
 """The corpus queries as DuckDB SQL, where SQL can express them."""
 
-_OP1_HEAD = r"""
-WITH rests AS (
+OP1 = r"""
+WITH RECURSIVE rests AS (
   SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), split AS (
   SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM rests
@@ -33,22 +33,22 @@ WITH rests AS (
 ), seeds AS MATERIALIZED (
   SELECT verdict AS kind, host, count(*) / sum(count(*)) OVER (PARTITION BY verdict) AS rank
   FROM judged WHERE host <> '' AND verdict IS NOT NULL GROUP BY verdict, host
-), r0 AS (SELECT * FROM seeds)"""
-_OP1_ROUND = """, r{next} AS MATERIALIZED (
-  SELECT kind, host, sum(rank) AS rank FROM (
-    SELECT s.kind, s.b AS host, 0.85::DOUBLE * s.share * r.rank AS rank FROM steps s JOIN r{last} r ON r.kind = s.kind AND r.host = s.a
-    UNION ALL SELECT kind, host, (1 - 0.85::DOUBLE) * rank FROM seeds
-  ) GROUP BY kind, host
-)"""
-_OP1_TAIL = """, ranks AS (
+), bound AS (
+  SELECT 0.001::DOUBLE * 0.1 / greatest(count(DISTINCT host), 1) AS least FROM judged WHERE host <> ''
+), flows AS (
+  SELECT 0 AS step, kind, host, (1 - 0.85::DOUBLE) * rank AS rank FROM seeds
+  UNION ALL
+  SELECT step + 1, f.kind, s.b, sum(0.85::DOUBLE * s.share * f.rank)
+  FROM (SELECT *, sum(rank) OVER () AS moving FROM flows) f JOIN steps s ON s.kind = f.kind AND s.a = f.host
+  WHERE moving * (0.85::DOUBLE / (1 - 0.85::DOUBLE)) > (SELECT least FROM bound) GROUP BY step, f.kind, s.b
+), ranks AS (
   SELECT host, coalesce(sum(rank) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'block'), 0) AS distrust
-  FROM r12 GROUP BY host
+  FROM flows GROUP BY host
 )
 SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.verdict, CASE WHEN distrust > trust
   AND distrust * (SELECT count(DISTINCT host) FROM judged WHERE host <> '') >= 0.1 THEN 'block' END, 'allow') AS verdict
 FROM judged j LEFT JOIN ranks USING (host)
 """
-OP1 = _OP1_HEAD + "".join(_OP1_ROUND.format(last=k, next=k + 1) for k in range(12)) + _OP1_TAIL
 
 OP2 = r"""
 WITH RECURSIVE vectors AS MATERIALIZED (

@@ -2,12 +2,14 @@
 
 Trust starts at hosts with pages that a rule allows and follows links; distrust starts at
 hosts with blocked pages and follows links backwards, to those who link there. Both are
-personalised PageRanks over links summed per pair of hosts, and spread in one join a round.
+personalised PageRanks over links summed per pair of hosts, and spread in one join a round
+until what is still to move cannot matter to any verdict.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 from stayline.session import checkpointed
 
 DAMPING = 0.85
-ROUNDS = 12
 LEAST_SHARE = 0.1
+# the part of the least distrust that blocks which may be left to move in the end
+LEFT = 0.001
+# rounds between two tables
+STRIDE = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 Rule = tuple[str, str, str]
@@ -66,12 +71,13 @@ def host_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def host_ranks(judged: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def host_ranks(judged: DataFrame, links: DataFrame, left: float, damping: float = DAMPING) -> DataFrame:
     """``host, trust, distrust`` of every host with pages, links or seeds.
 
     ``judged`` has ``host`` and ``verdict`` of the pages that a rule decides. Seeds weigh by
-    their number of such pages; both ranks start as the seeds, whose shares sum to one.
-    Rank at a host without links ends there.
+    their number of such pages, and each rank's seeds sum to one. Rounds go on until all that
+    can still arrive, at all hosts together, is at most ``left``; then it is added. Rank at a
+    host without links ends there.
     """
     both = links.select(F.col("source").alias("a"), F.col("target").alias("b"), "n", F.lit("allow").alias("kind"))
     both = both.unionByName(
@@ -83,12 +89,23 @@ def host_ranks(judged: DataFrame, links: DataFrame, damping: float = DAMPING, ro
     )
     seeds = judged.where("host <> '' AND verdict IS NOT NULL").groupBy(F.col("verdict").alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
     totals = seeds.groupBy("kind").agg(F.sum("n").alias("total"))
-    seeds = checkpointed(seeds.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("rank")))
-    ranks = seeds
-    for _ in range(rounds):
-        moved = steps.join(ranks, ["kind", "host"]).select("kind", F.col("b").alias("host"), (damping * F.col("share") * F.col("rank")).alias("rank"))
-        start = seeds.select("kind", "host", ((1 - damping) * F.col("rank")).alias("rank"))
-        ranks = checkpointed(moved.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+    start = (1 - damping) * F.col("n") / F.col("total")
+    seeds = checkpointed(seeds.join(F.broadcast(totals), "kind").select("kind", "host", start.alias("rank")))
+    ranks, fade = seeds, damping**STRIDE
+    earlier = ranks.limit(0)
+    before, now = 0.0, seeds.agg(F.sum("rank")).first()[0] or 0.0
+    # ranks only grow, so the growth of their sum is all that has arrived since
+    while (now - before) * fade / (1 - fade) > left:
+        written = ranks
+        for _ in range(STRIDE):
+            moved = steps.join(ranks, ["kind", "host"]).select("kind", F.col("b").alias("host"), (damping * F.col("share") * F.col("rank")).alias("rank"))
+            ranks = moved.unionByName(seeds).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        earlier, ranks = written, checkpointed(ranks)
+        before, now = now, ranks.agg(F.sum("rank")).first()[0]
+    # the rest is taken to arrive where the last rounds' did, so that nothing is lost on the way
+    rest = fade / (1 - fade)
+    late = ranks.withColumn("rank", F.col("rank") * (1 + rest)).unionByName(earlier.withColumn("rank", F.col("rank") * -rest))
+    ranks = late.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
     part = {k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)) for k in ("allow", "block")}
     return ranks.groupBy("host").agg(part["allow"].alias("trust"), part["block"].alias("distrust"))
 
@@ -97,7 +114,6 @@ def judge_urls(
     pages: DataFrame,
     rules: Sequence[Rule],
     damping: float = DAMPING,
-    rounds: int = ROUNDS,
     least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """A verdict for every page: its longest fitting rule's, else its host's.
@@ -118,7 +134,8 @@ def judge_urls(
         parsed.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"))
     )
     hosts = parsed.where("host <> ''").select("host").distinct().count()
-    ranks = host_ranks(parsed, host_links(pages), damping, rounds)
+    left = LEFT * least_share / max(hosts, 1)
+    ranks = host_ranks(parsed, host_links(pages), left, damping)
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * hosts >= least_share)
     # a host may have a third of all pages: both sides of the join stand in storage
     return parsed.join(checkpointed(ranks), "host", "left").select(

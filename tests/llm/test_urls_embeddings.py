@@ -126,3 +126,27 @@ def test_pairs_at_the_threshold_are_hardly_ever_missed(spark):
     found = sum(r.n_links for r in link_vectors(vectors(spark, *rows), 0.9).collect())
     assert found >= 2 * 990
     assert tables_for(2000, 0.9)[1] > 5
+
+
+def test_distrust_reaches_hosts_many_links_away(spark):
+    # farm0 links to the blocked host, farm1 to farm0, and so on; twelve rounds would end halfway
+    chain = [(1, "http://shop.net/es/", "")]
+    chain += [(k + 2, f"http://farm{k}.org/", link(f"farm{k - 1}.org" if k else "shop.net")) for k in range(24)]
+    found = {r.host: r for r in judge_urls(pages(spark, *chain), URL_RULES).collect()}
+    for k in range(24):
+        assert found[f"farm{k}.org"].distrust == pytest.approx(0.15 * 0.85 ** (k + 1), rel=1e-6)
+    assert found["farm20.org"].verdict == "block"
+
+
+def test_ranks_solve_their_equation(spark):
+    draw = np.random.default_rng(2)
+    rows = [(i, f"http://h{i % 12}.{'com' if i < 6 else 'org'}/", link(*[f"h{j}.org" for j in draw.integers(0, 12, 3)])) for i in range(30)]
+    hosts, trust = sorted({f"h{i % 12}.{'com' if i < 6 else 'org'}" for i in range(30)}), {}
+    for r in judge_urls(pages(spark, *rows), URL_RULES).collect():
+        trust[r.host] = r.trust
+    out = {h: [t for i, u, html in rows if u[7:-1] == h for t in html.split('https://')[1:]] for h in hosts}
+    arcs = {h: [t.split("/")[0] for t in ts if t.split("/")[0] != h] for h, ts in out.items()}
+    seeds = {h: sum(u[7:-1] == h for _, u, _ in rows) for h in hosts if h.endswith(".com")}
+    for h in hosts:
+        arriving = sum(0.85 * trust[a] * arcs[a].count(h) / len(arcs[a]) for a in hosts if arcs[a])
+        assert trust[h] == pytest.approx(0.15 * seeds.get(h, 0) / sum(seeds.values()) + arriving, abs=1e-5)
