@@ -66,13 +66,13 @@ def _count(size: int) -> Callable[[Batches], Batches]:
                 low.append(digest[1])
             empty = pa.nulls(len(sizes), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), empty],
-                names=["doc_id", "n", "high", "low", "hits"],
+                [batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), empty],
+                names=["doc_id", "text_key", "n", "high", "low", "hits"],
             )
         nothing = pa.nulls(SLOTS // SLICE, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [nothing, pa.array(range(SLOTS // SLICE), pa.int64()), nothing, nothing, pa.array(list(hits.reshape(-1, SLICE)), pa.list_(pa.int64()))],
-            names=["doc_id", "n", "high", "low", "hits"],
+            [nothing, nothing, pa.array(range(SLOTS // SLICE), pa.int64()), nothing, nothing, pa.array(list(hits.reshape(-1, SLICE)), pa.list_(pa.int64()))],
+            names=["doc_id", "text_key", "n", "high", "low", "hits"],
         )
 
     return count
@@ -164,6 +164,9 @@ class _Join:
         self.rows = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
         )
+        self.keyed = docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key")
+        )
 
     def _slot_table(self, slots: DataFrame, size: int, kind: type) -> np.ndarray:
         """A table of fixed size on the driver, from rows of ``slot, value``."""
@@ -175,7 +178,7 @@ class _Join:
     def classes(self) -> None:
         """Set sizes, classes of equal sets, and the prefixes of one document of each class."""
         counted = checkpointed(
-            self.rows.mapInArrow(_count(self.size), "doc_id long, n long, high long, low long, hits array<long>")
+            self.keyed.mapInArrow(_count(self.size), "doc_id long, text_key long, n long, high long, low long, hits array<long>")
         )
         self.counted = counted.where("hits IS NULL").drop("hits")
         hits = counted.where("hits IS NOT NULL").select("n", F.posexplode("hits").alias("place", "hit"))
@@ -308,6 +311,7 @@ class _Join:
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+            "text_key",
         )
 
 
@@ -315,8 +319,8 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     """Connect documents whose word n-gram sets have a Jaccard similarity of ``percent`` / 100.
 
     Words are compared with A to Z in lower case. Returns one row per input row: ``doc_id,
-    n_shingles`` (size of the set of distinct n-grams) and ``component_id`` (smallest id
-    reachable by links, itself included). Nothing is missed: the filters only drop pairs
+    n_shingles`` (size of the set of distinct n-grams), ``component_id`` (smallest id
+    reachable by links, itself included) and ``text_key`` (hash of the text). Nothing is missed: the filters only drop pairs
     that cannot be similar enough, and pairs left out as already connected change no
     component.
 

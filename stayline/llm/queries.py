@@ -61,7 +61,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
+    joined = similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return joined.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
