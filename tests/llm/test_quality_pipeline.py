@@ -152,3 +152,23 @@ def test_all_unlabelled_rows_teach(spark):
     model = train(spark.createDataFrame(rows, DOC), labels, rounds=2, handed=0.3)
     usual, rare = (model.views[1].logit(np.array([metadata_features("en", s, 100)]))[0] for s in ("src0", "rare"))
     assert rare < usual - 1
+
+
+def test_near_duplicates_judges_each_text_of_an_id_by_itself(spark):
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    words = [f"w{i}" for i in range(60)]
+    one, near, other = " ".join(words), " ".join([*words[:58], "x", "y"]), " ".join(f"z{i}" for i in range(40))
+    rows = [
+        (1, one, "en", "a", 10), (2, near, "en", "a", 10), (2, other, "en", "a", 20),
+        (3, "alone here", "en", "b", 3), (3, "alone here", "de", "b", 3), (3, "alone here", "de", "b", 2),
+        (None, "no id", "en", "c", 1), (None, "no id", "en", "c", 1), (None, one, "en", "c", 1),
+        (4, None, "en", "d", None), (4, None, "en", "d", None), (4, "", "en", "d", 0), (5, "", "en", "d", 0),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [tuple(r) for r in stage(spark, df, "").collect()]
+    expected = [
+        (1, one, "en", "a", 10), (2, other, "en", "a", 20), (3, "alone here", "de", "b", 2), (None, "no id", "en", "c", 1),
+        (None, one, "en", "c", 1), (4, None, "en", "d", None), (4, "", "en", "d", 0), (5, "", "en", "d", 0),
+    ]
+    assert sorted(map(str, kept)) == sorted(map(str, expected))
+    assert stage(spark, df.where("false"), "").count() == 0
