@@ -102,11 +102,13 @@ def running_totals(
         return F.desc(column) if descending else F.asc(column)
 
     sums = ranged.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
+    # one subquery for all totals
+    total = sums.agg(F.struct(*[F.sum(v).alias(v) for v in values])).scalar()
     place = (F.lit(len(splits)) - F.col("_range") if descending else F.col("_range")).cast("int")
     offsets = prefix_sums(sums.withColumn("_place", place), "_place", values, len(splits)).select(
         "_range",
         *[F.col(f"before_{v}").alias(f"_before_{v}") for v in values],
-        *[sums.agg(F.sum(v)).scalar().alias(f"all_{v}") for v in values],
+        *[total.getField(v).alias(f"all_{v}") for v in values],
     )
     inside = (
         Window.partitionBy("_range")
