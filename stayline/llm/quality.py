@@ -7,6 +7,10 @@ rows, and the partitions' sums of slopes and curvatures fit the models. Which ro
 handed over follows from the models and bounds of the rounds before. Held-out labelled rows
 calibrate each view and weigh the two. All documents are then scored in one pass without a
 shuffle.
+
+The view of the text holds its shape and its words: what the labelled texts that hold a word
+say of each target. A second target, of documents that are unwanted whatever their quality,
+is trained the same way on the same rows.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.words import each_text
+from stayline.llm.words import WordHashes, each_text
 from stayline.session import checkpointed
 
 LABELLED = 20_000
@@ -36,6 +40,9 @@ FAN = 256
 _SUMS = "place long, total array<double>"
 RIDGE = 1.0
 SOURCE_SLOTS, LANG_SLOTS = 32, 16
+# places of hashed words, parts of the labelled rows that are left out in turn, and the
+# labelled texts without evidence that stand beside every word's own
+WORD_SLOTS, FOLDS, DOUBT = 1 << 17, 4, 10.0
 Batches = Iterator[pa.RecordBatch]
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:'\"-()", b"!?", b"|<>{}[]\\/_=~^`", b"#$%&*@+", b" \t\r\x0b\x0c", b"\n"]
@@ -65,6 +72,73 @@ def text_features(text: bytes | None) -> list[float]:
     ]
 
 
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def _word_places(text: bytes | None, hashes: WordHashes) -> np.ndarray:
+    """The places of a text's words (runs of letters and digits, A to Z in lower case), each once."""
+    words = set((text or b"").translate(_PLAIN).split())
+    return np.unique(hashes.of(list(words)) & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
+
+
+@dataclass
+class Words:
+    """What words say of each target: log odds of the labelled texts that hold them, above all texts'.
+
+    ``odds[0]`` is of all labelled texts, ``odds[1 + f]`` of all but those of fold ``f``, so
+    that no text is told its own label; each has a row per target.
+    """
+
+    odds: np.ndarray
+
+    @classmethod
+    def count(cls, rows: DataFrame, targets: int) -> Words:
+        """From ``text, fold`` and the labels ``mark_0`` onward; sums by word and fold reach the driver."""
+        names = [f"{what}_{k}" for k in range(targets) for what in ("held", "marked")]
+
+        def add(batches: Batches) -> Batches:
+            # the last place counts the texts
+            total, hashes = np.zeros((2 * targets, FOLDS, WORD_SLOTS + 1)), WordHashes()
+            for batch in batches:
+                marks = zip(*(batch[f"mark_{k}"].to_pylist() for k in range(targets)), strict=True)
+                for text, fold, mark in zip(each_text(batch["text"]), batch["fold"].to_pylist(), marks, strict=True):
+                    places = np.append(_word_places(text, hashes), WORD_SLOTS)
+                    for k, value in enumerate(mark):
+                        if value is not None:
+                            total[2 * k, fold, places] += 1
+                            total[2 * k + 1, fold, places] += value
+            fold, place = np.nonzero(total[::2].any(axis=0))
+            arrays = [fold, place, *(t[fold, place] for t in total)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["fold", "place", *names])
+
+        sums = rows.mapInArrow(add, "fold long, place long, " + ", ".join(f"{n} double" for n in names))
+        found = sums.groupBy("fold", "place").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+        total = np.zeros((2 * targets, FOLDS, WORD_SLOTS + 1))
+        at = found["fold"].to_numpy(), found["place"].to_numpy()
+        for own, name in zip(total, names, strict=True):
+            own[at] = found[name].to_numpy()
+        everything = total.sum(axis=1, keepdims=True)
+        return cls(_log_odds(np.concatenate((everything, everything - total), axis=1)).astype(np.float32))
+
+    def features(self, text: bytes | None, hashes: WordHashes, fold: int | None) -> list[float]:
+        """Of each target the largest, the smallest and the mean log odds of the words."""
+        places = _word_places(text, hashes)
+        if not len(places):
+            return [0.0] * (3 * self.odds.shape[1])
+        own = self.odds[0 if fold is None else 1 + fold][:, places]
+        return np.stack((own.max(axis=1), own.min(axis=1), own.mean(axis=1)), axis=1).ravel().tolist()
+
+
+def _log_odds(total: np.ndarray) -> np.ndarray:
+    """(fold, target, place) from the numbers of texts and of marked ones, (2 x target, fold, place)."""
+    held, marked = total[::2], total[1::2]
+    texts, share = held[..., -1:], marked[..., -1:] / np.maximum(held[..., -1:], 1)
+    known = (texts > 0) & (share > 0) & (share < 1)
+    share = np.where(known, share, 0.5)
+    odds = np.log((marked + DOUBT * share) / (held - marked + DOUBT * (1 - share))) - np.log(share / (1 - share))
+    return np.where(known, odds, 0.0)[..., :-1].swapaxes(0, 1)
+
+
 def metadata_features(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
     """What the page says about itself: language and source as hashed places, stated length."""
     row = np.zeros(LANG_SLOTS + SOURCE_SLOTS + 2)
@@ -149,6 +223,8 @@ class Round:
     views: tuple[Logistic, Logistic]
     low: list[tuple[int, float]]
     high: list[tuple[int, float]]
+    # logits beyond which a row may be handed over
+    bars: tuple[float, float]
 
     @classmethod
     def choose(cls, views: tuple[Logistic, Logistic], counts: np.ndarray, good: float, handed: float) -> Round:
@@ -159,7 +235,9 @@ class Round:
             low.append(_bound(own, take * (1 - good)))
             at, share = _bound(own[::-1], take * good)
             high.append((BINS - 1 - at, share))
-        return cls(views, low, high)
+        # a rare label is not handed over, nor a common one, by a view that knows no more than their shares
+        usual = float(np.log(good / (1 - good)))
+        return cls(views, low, high, (min(0.0, usual) - SURE, max(0.0, usual) + SURE))
 
     def given(self, parts: tuple[np.ndarray, np.ndarray], place: np.ndarray) -> list[np.ndarray]:
         """For each view 1 and -1 where it hands the row over as good and bad, else 0."""
@@ -167,8 +245,8 @@ class Round:
         for view, part, (low, low_share), (high, high_share) in zip(self.views, parts, self.low, self.high, strict=True):
             logit = view.logit(part)
             bins = _bins(logit)
-            good = (logit > SURE) & ((bins > high) | (bins == high) & (place < high_share))
-            bad = (logit < -SURE) & ((bins < low) | (bins == low) & (place < low_share))
+            good = (logit > self.bars[1]) & ((bins > high) | (bins == high) & (place < high_share))
+            bad = (logit < self.bars[0]) & ((bins < low) | (bins == low) & (place < low_share))
             out.append(good.astype(np.int64) - bad)
         return out
 
@@ -264,6 +342,9 @@ class CoTrained:
     views: tuple[Logistic, Logistic]
     calibrations: tuple[Logistic, Logistic]
     combined: Logistic
+    words: Words | None = None
+    # the model of the second target
+    unwanted: CoTrained | None = None
 
     def scores(self, text: np.ndarray, metadata: np.ndarray) -> np.ndarray:
         """Columns: probability by text, by metadata, by both."""
@@ -306,19 +387,24 @@ class CoTrained:
         return model
 
 
-def _arrays(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    text = [text_features(t) for t in each_text(batch["text"])]
+def _arrays(batch: pa.RecordBatch | pa.Table, words: Words, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    folds = batch["fold"].to_pylist() if "fold" in batch.schema.names else [None] * len(batch)
+    text = [text_features(t) + words.features(t, hashes, f) for t, f in zip(each_text(batch["text"]), folds, strict=True)]
     meta = [metadata_features(*r) for r in zip(*(batch[k].to_pylist() for k in ("lang", "source", "n_chars")), strict=True)]
     return np.array(text).reshape(len(text), -1), np.array(meta).reshape(len(meta), -1)
 
 
-def _features(batches: Batches) -> Batches:
-    for batch in batches:
-        text, meta = _arrays(batch)
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["place"], *(pa.array(list(x), pa.list_(pa.float64())) for x in (text, meta))],
-            names=["doc_id", "place", "by_text", "by_metadata"],
-        )
+def _features(words) -> Callable[[Batches], Batches]:
+    def features(batches: Batches) -> Batches:
+        hashes = WordHashes()
+        for batch in batches:
+            text, meta = _arrays(batch, words.value, hashes)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["place"], *(pa.array(list(x), pa.list_(pa.float64())) for x in (text, meta))],
+                names=["doc_id", "place", "by_text", "by_metadata"],
+            )
+
+    return features
 
 
 def _columns(docs: DataFrame) -> list:
@@ -338,54 +424,83 @@ def train(
     unlabelled: int | None = None,
     rounds: int = ROUNDS,
     handed: float = HANDED,
+    unwanted: str | None = None,
 ) -> CoTrained | None:
     """Fit on at most ``labelled`` rows with a label, taken by a hash of the id, and all others.
 
     ``unlabelled`` bounds those others too. Of an id's labels the largest counts. Rows
-    without an id have no label. None if the labels do not show both classes.
+    without an id have no label. None if the labels do not show both classes. ``unwanted``
+    names a second label, whose model (none without both classes) is trained beside the first.
     """
+    targets = [target] if unwanted is None else [target, unwanted]
+    marks = [f"mark_{k}" for k in range(len(targets))]
     order = F.xxhash64(F.lit("quality"), "doc_id")
-    marked = labels.where(f"doc_id IS NOT NULL AND {target} IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    marked = marked.agg(F.max(F.col(target).cast("double")).alias("label"))
+    key = F.col("doc_id").cast("long").alias("doc_id")
+    marked = labels.where(f"doc_id IS NOT NULL AND {target} IS NOT NULL").groupBy(key)
+    marked = marked.agg(*(F.max(F.col(t).cast("double")).alias(m) for t, m in zip(targets, marks, strict=True)))
+    # the sample has a bound, so that it may be sent to the texts
+    known = marked.join(docs.select(key).distinct(), "doc_id", "left_semi").withColumn("order", order)
+    chosen = known.orderBy("order", "doc_id").limit(labelled).withColumn("fold", F.pmod("order", F.lit(FOLDS)).cast("int"))
+    chosen = checkpointed(chosen.drop("order"))
     place = F.xxhash64(F.lit("place"), "doc_id", "text").bitwiseAND((1 << 52) - 1) / F.lit(float(1 << 52))
-    features = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("place"), *_columns(docs)).mapInArrow(
-        _features, "doc_id long, place double, by_text array<double>, by_metadata array<double>"
+    read = docs.select(key, place.alias("place"), *_columns(docs))
+    words = Words.count(read.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), len(targets))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    features = read.join(F.broadcast(chosen.select("doc_id", "fold")), "doc_id", "left").mapInArrow(
+        _features(shared), "doc_id long, place double, by_text array<double>, by_metadata array<double>"
     )
-    # the texts are read once; only their features meet the labels and are read again
+    # only the features of the texts meet the labels and are read again
     rows = checkpointed(features.join(marked, "doc_id", "left").withColumn("order", order))
-    # the sample has a bound, so that its features may be gathered
-    sample = rows.where("label IS NOT NULL").groupBy("doc_id", "order").agg(
-        F.max("label").alias("label"), F.min(F.struct("by_text", "by_metadata")).alias("f")
+    sample = rows.where("mark_0 IS NOT NULL").groupBy("doc_id", "order").agg(
+        *(F.max(m).alias(m) for m in marks), F.min(F.struct("by_text", "by_metadata")).alias("f")
     )
-    found = sample.orderBy("order", "doc_id").limit(labelled).select("f.*", "label", "order", "doc_id").toArrow()
+    found = sample.orderBy("order", "doc_id").limit(labelled).select("f.*", *marks, "order", "doc_id").toArrow()
     found = found.sort_by([("order", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-    y = found["label"].to_numpy()
-    if len(set(y)) < 2:
-        return None
     # without Python objects: the driver holds the sample as plain matrices
-    x = tuple(found[c].combine_chunks().flatten().to_numpy().reshape(len(found), -1) for c in ("by_text", "by_metadata"))
+    x = tuple(_matrix(found[c]) for c in ("by_text", "by_metadata"))
+    y = [found[m].to_numpy() for m in marks]
     del found
-    others = rows.where("label IS NULL")
+    others = rows.where("mark_0 IS NULL")
     if unlabelled is not None:
         others = others.orderBy("order", "place").limit(unlabelled)
-    return CoTrained.fit(x, y, Pool(others), rounds, handed)
+    models = []
+    for own in y:
+        told = ~np.isnan(own)
+        both = len(set(own[told])) == 2
+        models.append(CoTrained.fit(tuple(part[told] for part in x), own[told], Pool(others), rounds, handed) if both else None)
+    if models[0] is None:
+        return None
+    models[0].words, models[0].unwanted = words, models[1] if unwanted else None
+    return models[0]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
 def _score(model) -> Callable[[Batches], Batches]:
     def score(batches: Batches) -> Batches:
+        hashes = WordHashes()
         for batch in batches:
-            p = model.value.scores(*_arrays(batch)) if len(batch) else np.empty((0, 3))
-            names = [n for n in batch.schema.names if n not in ("text", "lang", "source", "n_chars")]
+            p, bad = np.empty((0, 3)), pa.nulls(len(batch), pa.float64())
+            if len(batch):
+                x = _arrays(batch, model.value.words, hashes)
+                p = model.value.scores(*x)
+                if model.value.unwanted is not None:
+                    bad = pa.array(model.value.unwanted.scores(*x)[:, 2])
             yield pa.RecordBatch.from_arrays(
-                [*(batch[n] for n in names), *(pa.array(p[:, k]) for k in range(3))],
-                names=[*names, "by_text", "by_metadata", "score"],
+                [batch["doc_id"], *(pa.array(p[:, k]) for k in range(3)), bad],
+                names=["doc_id", "by_text", "by_metadata", "score", "unwanted"],
             )
 
     return score
 
 
 def score_documents(docs: DataFrame, model: CoTrained | None) -> DataFrame:
-    """``doc_id, by_text, by_metadata, score`` of every row: the probability of good quality.
+    """``doc_id, by_text, by_metadata, score, unwanted`` of every row.
+
+    The first three are the probability of good quality, ``unwanted`` that of the second
+    target (null where it has no model).
 
     Null texts and empty ones are scored as such, null metadata has places of its own, and
     rows that repeat an id are scored one by one. Without a model (no labels, or of one
@@ -393,24 +508,32 @@ def score_documents(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     """
     if model is None:
         nothing = F.lit(None).cast("double")
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(nothing.alias(c) for c in ("by_text", "by_metadata", "score")))
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(nothing.alias(c) for c in ("by_text", "by_metadata", "score", "unwanted")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs))
-    return rows.mapInArrow(_score(shared), "doc_id long, by_text double, by_metadata double, score double")
+    return rows.mapInArrow(_score(shared), "doc_id long, by_text double, by_metadata double, score double, unwanted double")
+
 
+def good_documents(docs: DataFrame, model: CoTrained | None, least: float = 0.5, most: float = 0.5) -> DataFrame:
+    """The rows, as they are, whose score is at least ``least``; all of them without a model.
 
-def good_documents(docs: DataFrame, model: CoTrained | None, least: float = 0.5) -> DataFrame:
-    """The rows, as they are, whose score is at least ``least``; all of them without a model."""
+    Of a model with a second target, only those stay whose probability of it is below ``most``.
+    """
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Batches) -> Batches:
+        hashes = WordHashes()
         for batch in batches:
             if len(batch):
                 own = {n: batch[n] for n in ("lang", "source", "n_chars")}
                 table = pa.table({"text": batch["text"].cast(pa.binary()), **own})
-                batch = batch.filter(pa.array(shared.value.scores(*_arrays(table))[:, 2] >= least))
+                x = _arrays(table, shared.value.words, hashes)
+                good = shared.value.scores(*x)[:, 2] >= least
+                if shared.value.unwanted is not None:
+                    good &= shared.value.unwanted.scores(*x)[:, 2] < most
+                batch = batch.filter(pa.array(good))
             yield batch
 
     return docs.mapInArrow(kept, docs.schema)

@@ -88,8 +88,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", "by_text", "by_metadata", "score", (F.col("score") >= 0.5).alias("kept"))
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels"), unwanted="toxic"))
+    kept = (F.col("score") >= 0.5) & (F.coalesce("unwanted", F.lit(0.0)) < 0.5)
+    return scored.select("doc_id", "by_text", "by_metadata", "score", F.col("unwanted").alias("toxic"), kept.alias("kept"))
 
 
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

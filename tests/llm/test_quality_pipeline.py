@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+import xxhash
 from corpus_helpers import DOC, counted
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stayline.llm.quality import good_documents, metadata_features, score_documents, train
+from stayline.llm.quality import WORD_SLOTS, Words, good_documents, metadata_features, score_documents, train
+from stayline.llm.words import WordHashes
 
 SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
@@ -172,3 +174,40 @@ def test_near_duplicates_judges_each_text_of_an_id_by_itself(spark):
     ]
     assert sorted(map(str, kept)) == sorted(map(str, expected))
     assert stage(spark, df.where("false"), "").count() == 0
+
+
+def test_toxic_documents_of_held_out_labels_are_caught(spark):
+    """English ones, of whose abusive words the labelled rows hold dozens each; clean documents stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    model = train(docs, labels.where("doc_id % 3 <> 0"), unwanted="toxic")
+    english = docs.where("lang = 'en'")
+    scores = {r.doc_id: r.unwanted for r in score_documents(english, model).collect()}
+    held = [(r.toxic, scores[r.doc_id] >= 0.5) for r in labels.where("doc_id % 3 = 0").collect() if r.doc_id in scores]
+    assert np.mean([found for toxic, found in held if toxic]) >= 0.85
+    assert np.mean([found for toxic, found in held if not toxic]) <= 0.04
+    kept = {r.doc_id for r in good_documents(english, model, least=0.0).collect()}
+    assert kept == {i for i, p in scores.items() if p < 0.5}
+
+
+def test_word_odds_by_brute_force(spark):
+    """Counts of texts per hashed word, with and without each fold, against a plain count."""
+    rows = [("Bad bad word", 0, 0.0, 1.0), ("good word", 1, 1.0, 0.0), ("bad, good", 2, 1.0, None), (None, 3, 0.0, 0.0), ("", 0, 1.0, 1.0)]
+    words = Words.count(spark.createDataFrame(rows, "text string, fold int, mark_0 double, mark_1 double").withColumn("text", F.col("text").cast("binary")).repartition(3), 2)
+    for target in range(2):
+        for left_out in (None, 0, 1, 2, 3):
+            own = [(t or "", r[target]) for t, f, *r in rows if f != left_out and r[target] is not None]
+            share = sum(m for _, m in own) / len(own)
+            for word in ("bad", "good", "word"):
+                held = [m for t, m in own if word in t.lower().replace(",", " ").split()]
+                if share in (0, 1):  # one class tells nothing
+                    assert not words.odds[0 if left_out is None else 1 + left_out, target].any()
+                    continue
+                odds = np.log((sum(held) + 10 * share) / (len(held) - sum(held) + 10 * (1 - share))) - np.log(share / (1 - share))
+                place = xxhash.xxh3_64_intdigest(word.encode()) % WORD_SLOTS
+                assert abs(words.odds[0 if left_out is None else 1 + left_out, target, place] - odds) < 1e-5
+    assert words.features(None, WordHashes(), None) == [0.0] * 6
+
+
+def test_a_second_target_of_one_class_rejects_nothing(tables):
+    model = train(tables["documents"], tables["labels"].withColumn("toxic", F.lit(0)), unwanted="toxic")
+    assert model.unwanted is None and {r.unwanted for r in score_documents(tables["documents"], model).collect()} == {None}
