@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.words import WordHashes, each_text
+from stayline.llm.words import each_text
 from stayline.session import checkpointed
 
 LABELLED = 20_000
@@ -75,10 +75,12 @@ def text_features(text: bytes | None) -> list[float]:
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def _word_places(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """The places of a text's words (runs of letters and digits, A to Z in lower case), each once."""
+def _word_places(text: bytes | None) -> np.ndarray:
+    """The places of a text's different words (runs of letters and digits, A to Z in lower case), in order."""
     words = set((text or b"").translate(_PLAIN).split())
-    return np.unique(hashes.of(list(words)) & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
+    places = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) & np.uint64(WORD_SLOTS - 1)
+    places.sort()
+    return places.astype(np.int64)
 
 
 @dataclass
@@ -98,11 +100,11 @@ class Words:
 
         def add(batches: Batches) -> Batches:
             # the last place counts the texts
-            total, hashes = np.zeros((2 * targets, FOLDS, WORD_SLOTS + 1)), WordHashes()
+            total = np.zeros((2 * targets, FOLDS, WORD_SLOTS + 1))
             for batch in batches:
                 marks = zip(*(batch[f"mark_{k}"].to_pylist() for k in range(targets)), strict=True)
                 for text, fold, mark in zip(each_text(batch["text"]), batch["fold"].to_pylist(), marks, strict=True):
-                    places = np.append(_word_places(text, hashes), WORD_SLOTS)
+                    places = np.append(_word_places(text), WORD_SLOTS)
                     for k, value in enumerate(mark):
                         if value is not None:
                             total[2 * k, fold, places] += 1
@@ -120,9 +122,9 @@ class Words:
         everything = total.sum(axis=1, keepdims=True)
         return cls(_log_odds(np.concatenate((everything, everything - total), axis=1)).astype(np.float32))
 
-    def features(self, text: bytes | None, hashes: WordHashes, fold: int | None) -> list[float]:
+    def features(self, text: bytes | None, fold: int | None) -> list[float]:
         """Of each target the largest, the smallest and the mean log odds of the words."""
-        places = _word_places(text, hashes)
+        places = _word_places(text)
         if not len(places):
             return [0.0] * (3 * self.odds.shape[1])
         own = self.odds[0 if fold is None else 1 + fold][:, places]
@@ -387,18 +389,17 @@ class CoTrained:
         return model
 
 
-def _arrays(batch: pa.RecordBatch | pa.Table, words: Words, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(batch: pa.RecordBatch | pa.Table, words: Words) -> tuple[np.ndarray, np.ndarray]:
     folds = batch["fold"].to_pylist() if "fold" in batch.schema.names else [None] * len(batch)
-    text = [text_features(t) + words.features(t, hashes, f) for t, f in zip(each_text(batch["text"]), folds, strict=True)]
+    text = [text_features(t) + words.features(t, f) for t, f in zip(each_text(batch["text"]), folds, strict=True)]
     meta = [metadata_features(*r) for r in zip(*(batch[k].to_pylist() for k in ("lang", "source", "n_chars")), strict=True)]
     return np.array(text).reshape(len(text), -1), np.array(meta).reshape(len(meta), -1)
 
 
 def _features(words) -> Callable[[Batches], Batches]:
     def features(batches: Batches) -> Batches:
-        hashes = WordHashes()
         for batch in batches:
-            text, meta = _arrays(batch, words.value, hashes)
+            text, meta = _arrays(batch, words.value)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["place"], *(pa.array(list(x), pa.list_(pa.float64())) for x in (text, meta))],
                 names=["doc_id", "place", "by_text", "by_metadata"],
@@ -480,11 +481,10 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _score(model) -> Callable[[Batches], Batches]:
     def score(batches: Batches) -> Batches:
-        hashes = WordHashes()
         for batch in batches:
             p, bad = np.empty((0, 3)), pa.nulls(len(batch), pa.float64())
             if len(batch):
-                x = _arrays(batch, model.value.words, hashes)
+                x = _arrays(batch, model.value.words)
                 p = model.value.scores(*x)
                 if model.value.unwanted is not None:
                     bad = pa.array(model.value.unwanted.scores(*x)[:, 2])
@@ -524,12 +524,11 @@ def good_documents(docs: DataFrame, model: CoTrained | None, least: float = 0.5,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Batches) -> Batches:
-        hashes = WordHashes()
         for batch in batches:
             if len(batch):
                 own = {n: batch[n] for n in ("lang", "source", "n_chars")}
                 table = pa.table({"text": batch["text"].cast(pa.binary()), **own})
-                x = _arrays(table, shared.value.words, hashes)
+                x = _arrays(table, shared.value.words)
                 good = shared.value.scores(*x)[:, 2] >= least
                 if shared.value.unwanted is not None:
                     good &= shared.value.unwanted.scores(*x)[:, 2] < most

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stayline.llm.quality import WORD_SLOTS, Words, good_documents, metadata_features, score_documents, train
-from stayline.llm.words import WordHashes
 
 SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
@@ -205,7 +204,7 @@ def test_word_odds_by_brute_force(spark):
                 odds = np.log((sum(held) + 10 * share) / (len(held) - sum(held) + 10 * (1 - share))) - np.log(share / (1 - share))
                 place = xxhash.xxh3_64_intdigest(word.encode()) % WORD_SLOTS
                 assert abs(words.odds[0 if left_out is None else 1 + left_out, target, place] - odds) < 1e-5
-    assert words.features(None, WordHashes(), None) == [0.0] * 6
+    assert words.features(None, None) == [0.0] * 6
 
 
 def test_a_second_target_of_one_class_rejects_nothing(tables):
