@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from stayline.llm.identifiers import find_identifiers
 
@@ -79,6 +80,37 @@ def test_contexts_of_seeds_find_what_no_pattern_fits(docs):
         assert found[k] == by_force(texts[k])
 
 
+def test_long_words_and_words_beside_digits_are_found(docs):
+    rows = contexts()
+    # 200 characters; and seeds and words next to other words with digits
+    rows.append((60, "please call me at 5" + "a" * 199 + " today"))
+    rows += [(70 + k, f"box 7 id user{k}@mail.example.com 9") for k in range(8)] + [(90, "box 7 id AB12 99 box")]
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in find_identifiers(docs(*rows)).collect()}
+    assert found[60] == [(18, 4, 218, "context")]
+    assert found[90] == [(9, 4, 13, "context")]
+
+
+def test_words_like_keys_are_judged_by_their_contexts(docs):
+    r = random.Random(5)
+    keys = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(9)]
+    rows = [(k, f'the token = "{key}" was sent') for k, key in enumerate(keys[:8])]
+    rows += [(20, "the token = hunter2 was sent"), (21, f"one word alone: {keys[8]}"), (22, "a token with 3 parts")]
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in find_identifiers(docs(*rows)).collect()}
+    assert all(found[k] == [(13, 4, 53, "context")] for k in range(8))
+    assert found[20] == [(12, 4, 19, "context")]
+    assert found[21] == found[22] == []
+
+
+def test_a_text_with_very_many_spans(docs):
+    n = 100_000
+    text = " ".join(f"10.{k // 250 % 250}.{k % 250}.7 {k}x" for k in range(n))
+    began = time.monotonic()
+    (row,) = find_identifiers(docs((1, text))).collect()
+    assert len(row.base) == n
+    assert [tuple(s) for s in row.base[-3:]] == by_force(text)[-3:]
+    assert time.monotonic() - began < 90
+
+
 def test_too_few_seeds_find_nothing(docs):
     rows = contexts()[:2] + contexts()[12:]
     found = {r.doc_id: len(r.spans) for r in find_identifiers(docs(*rows)).collect()}
