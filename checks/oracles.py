@@ -665,6 +665,7 @@ GROUP BY f.cohort_month, m.month, n""",
     ),
     "first_last_status_later": _with("SELECT 'later' AS period, * FROM ends", _ends("ends", 12)),
     "sessions_initial": _with("SELECT 'initial' AS period, * FROM sessions", SESSIONS),
+    "sessions_stored": _with("SELECT 'initial' AS period, * FROM sessions", SESSIONS),
     "sessions_later": _with(
         "SELECT 'later' AS period, * FROM sessions", _sessions("sessions", 12, False)
     ),

@@ -33,7 +33,7 @@ from stayline.operators.cohort import Cohort
 from stayline.operators.joins import assemble, without_ids
 from stayline.plans import mart, presets
 from stayline.session import checkpoint_folder, checkpointed, configure
-from stayline.sources import tables
+from stayline.sources import stored, tables
 from stayline.sources.roles import Roles
 
 ROLE = "HOUSEHOLD"
@@ -440,6 +440,20 @@ def sessions_initial(r: Roles) -> DataFrame:
     return _sessions(r)
 
 
+@register
+def sessions_stored(r: Roles) -> DataFrame:
+    """The initial sessions from events stored by year, user and presentation."""
+    cohort, tag = _cohort(r), uuid.uuid4().hex
+    first, last = INITIAL.span(cohort.first_from, cohort.first_to)
+    buckets = int(r.spark.conf.get("spark.sql.shuffle.partitions"))
+    slides, answers = f"slides_{tag}", f"answers_{tag}"
+    stored.store_events(r.slide_presented(with_type=False), slides, ["user_id", "presentation_id"], buckets, "year")
+    stored.store_events(r.student_responses(), answers, ["teacher", "presentation"], buckets, "year")
+    pulled = [stored.stored_events(r.spark, name, first, last, "year") for name in (slides, answers)]
+    with stored.co_partitioned(r.spark):
+        return checkpointed(activity.sessions_in_place(*pulled, cohort, [INITIAL], APP))
+
+
 @register
 def sessions_later(r: Roles) -> DataFrame:
     return _sessions(r, (LATER,), by_presentation=False)
