@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,25 +72,38 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The rows are written as a table to the checkpoint folder, so later reads take only the
     columns they need. The tables stay until ``scratch_tables`` ends or the folder is cleaned.
     """
+    return _stored(df)[1]
+
+
+def _stored(df: DataFrame) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def scratch_tables(spark: SparkSession) -> Iterator[None]:
+def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Remove the tables that ``checkpointed`` wrote inside the block when it ends.
 
-    Frames built inside must have been used or written by then.
+    Frames built inside must have been used or written by then. The block is given a
+    function that writes a frame as ``checkpointed`` does, but so that it outlives the block;
+    it goes with the block around, if there is one.
     """
-    start = len(_written)
+    start, kept = len(_written), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path, stored = _stored(df)
+        kept.append(path)
+        return stored
+
     try:
-        yield
+        yield keep
     finally:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in _written[start:]:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
-        del _written[start:]
+            if path not in kept:
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(conf).delete(place, True)
+        _written[start:] = kept

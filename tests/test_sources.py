@@ -90,6 +90,20 @@ def test_scratch_tables_go_at_the_end(spark):
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def test_kept_tables_go_with_the_block_around(spark):
+    def there(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rsplit("/", 1)[0])
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    with session.scratch_tables(spark):
+        with session.scratch_tables(spark) as keep:
+            passing = session.checkpointed(spark.range(3))
+            kept = keep(passing.where("id > 0"))
+        files = passing.inputFiles(), kept.inputFiles()
+        assert files and not there(passing) and there(kept) and kept.count() == 2
+    assert not there(kept)
+
+
 def test_checkpointed_cuts_the_plan(spark):
     df = session.checkpointed(spark.range(5).withColumn("x", F.col("id") * 2))
     assert "Range" not in df._jdf.queryExecution().analyzed().toString()
