@@ -10,7 +10,7 @@ from stayline.llm.ngrams import similar_documents
 from stayline.llm.quality import good_documents, train
 from stayline.llm.sharding import assign_shards
 from stayline.llm.templates import contaminated_documents
-from stayline.session import checkpointed
+from stayline.session import checkpointed, scratch_tables
 
 SHARD_BYTES = 1 << 20
 
@@ -29,26 +29,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays empty.
     """
     key = F.xxhash64("text").alias("__key")
-    document = [F.col("doc_id").cast("long").alias("__id"), key]
-    copies = checkpointed(docs.groupBy(*document).agg((F.count(F.lit(1)) > 1).alias("many")))
-    # an id's further texts get numbers of their own, above all ids
-    several = copies.where("__id IS NOT NULL").groupBy("__id").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    further = checkpointed(copies.join(several, "__id").where("__key <> first").select("__id", "__key"))
-    above = (copies.agg(F.max("__id")).first()[0] or 0) + 1
-    further = checkpointed(further.withColumn("number", F.monotonically_increasing_id() + above))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    if further.isEmpty():
-        joined = similar_documents(docs, size=5, percent=80)
-        gone = joined.where("component_id < doc_id").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    else:
-        numbered = docs.join(further, same, "left").select(F.coalesce("number", "doc_id").alias("doc_id"), "text")
-        joined = similar_documents(numbered, size=5, percent=80).where("doc_id IS NOT NULL").distinct()
-        known = joined.join(further.select(F.col("number").alias("doc_id"), "__id"), "doc_id", "left")
-        known = checkpointed(known.select("component_id", F.coalesce("__id", "doc_id").alias("__id"), F.col("text_key").alias("__key")))
-        least = known.groupBy("component_id").agg(F.min(F.struct("__id", "__key")).alias("least"))
-        gone = known.join(least, "component_id").where(F.struct("__id", "__key") != F.col("least")).select("__id", "__key")
-    gone = checkpointed(gone.distinct())
-    repeated_rows = checkpointed(copies.where("many").join(gone, ["__id", "__key"], "left_anti").select("__id", "__key"))
+    # only what goes and what is repeated outlives the join
+    with scratch_tables(spark) as keep:
+        document = [F.col("doc_id").cast("long").alias("__id"), key]
+        copies = checkpointed(docs.groupBy(*document).agg((F.count(F.lit(1)) > 1).alias("many")))
+        # an id's further texts get numbers of their own, above all ids
+        several = copies.where("__id IS NOT NULL").groupBy("__id").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        further = checkpointed(copies.join(several, "__id").where("__key <> first").select("__id", "__key"))
+        above = (copies.agg(F.max("__id")).first()[0] or 0) + 1
+        further = checkpointed(further.withColumn("number", F.monotonically_increasing_id() + above))
+        if further.isEmpty():
+            joined = similar_documents(docs, size=5, percent=80)
+            gone = joined.where("component_id < doc_id").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+        else:
+            numbered = docs.join(further, same, "left").select(F.coalesce("number", "doc_id").alias("doc_id"), "text")
+            joined = similar_documents(numbered, size=5, percent=80).where("doc_id IS NOT NULL").distinct()
+            known = joined.join(further.select(F.col("number").alias("doc_id"), "__id"), "doc_id", "left")
+            known = checkpointed(known.select("component_id", F.coalesce("__id", "doc_id").alias("__id"), F.col("text_key").alias("__key")))
+            least = known.groupBy("component_id").agg(F.min(F.struct("__id", "__key")).alias("least"))
+            gone = known.join(least, "component_id").where(F.struct("__id", "__key") != F.col("least")).select("__id", "__key")
+        gone = keep(gone.distinct())
+        repeated_rows = keep(copies.where("many").join(gone, ["__id", "__key"], "left_anti").select("__id", "__key"))
     single = docs.join(gone.unionByName(repeated_rows), same, "left_anti")
     repeats = docs.join(repeated_rows, same)
     first = repeats.groupBy("__id", "__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
