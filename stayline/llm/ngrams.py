@@ -9,11 +9,15 @@ whole: first every document that shares an n-gram with a leader (the most centra
 document of that n-gram's list) is compared with it, then what is still unconnected
 within a list is compared in pairs. Length, positional and suffix filters come before
 the sets are fetched, and a pair is verified once.
+
+The lists are made for a part of the n-grams at a time, and what a step has written goes
+when the next ones no longer read it, so the disk holds a fraction of all that is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +27,14 @@ from pyspark.sql import functions as F
 
 from stayline.llm.components import components
 from stayline.llm.words import WordHashes, each_text, lower_ascii, shingles
-from stayline.session import checkpointed
+from stayline.session import checkpointed, scratch_tables
 
 SLOTS = 1 << 18
 SLICE = 1 << 14
 BINS = 256
 ID_SLOTS = 1 << 20
 BLOCK = 256
+PARTS = 2
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -136,7 +141,8 @@ def _verify(percent: int) -> Callable[[Batches], Batches]:
         at, own = None, []
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for a, block, b, blob in zip(*(batch[k].to_pylist() for k in ("a", "block", "b", "grams")), strict=True):
+            ends = (batch[k].to_pylist() for k in ("a", "block", "b"))
+            for a, block, b, blob in zip(*ends, each_text(batch["grams"]), strict=True):
                 grams = np.frombuffer(blob, np.uint64)
                 if (a, block) != at:
                     at, own = (a, block), []
@@ -175,22 +181,25 @@ class _Join:
         table[rows["slot"].to_numpy()] = rows["value"].to_numpy()
         return table
 
-    def classes(self) -> None:
-        """Set sizes, classes of equal sets, and the prefixes of one document of each class."""
+    def classes(self) -> np.ndarray:
+        """Set sizes, classes of equal sets, and the hits of each slot."""
         counted = checkpointed(
             self.keyed.mapInArrow(_count(self.size), "doc_id long, text_key long, n long, high long, low long, hits array<long>")
         )
         self.counted = counted.where("hits IS NULL").drop("hits")
         hits = counted.where("hits IS NOT NULL").select("n", F.posexplode("hits").alias("place", "hit"))
         loads = hits.groupBy((F.col("n") * SLICE + F.col("place")).alias("slot")).agg(F.sum("hit").alias("value"))
-        table = self._slot_table(loads.where("value > 0"), SLOTS, np.int64)
         self.heads = (
             self.counted.where("n > 0 AND doc_id IS NOT NULL")
             .groupBy("high", "low")
             .agg(F.min("doc_id").alias("head"))
         )
+        return self._slot_table(loads.where("value > 0"), SLOTS, np.int64)
+
+    def first_grams(self, loads: np.ndarray) -> None:
+        """The prefixes of one document of each class."""
         prefixes = self.rows.mapInArrow(
-            _prefixes(self.size, self.percent, self.spark.sparkContext.broadcast(table)),
+            _prefixes(self.size, self.percent, self.spark.sparkContext.broadcast(loads)),
             "doc_id long, n long, high long, low long, rarest long, grams array<long>, bins array<int>",
         )
         self.prefixes = checkpointed(
@@ -202,21 +211,26 @@ class _Join:
     def lists(self) -> None:
         """The prefix n-grams that several documents have, each with its leader."""
         places = self.prefixes.select("doc_id", "n", "rarest", F.posexplode("grams").alias("place", "gram"))
-        leaders = checkpointed(
-            places.groupBy("gram")
-            .agg(
-                F.min(F.struct((-F.col("rarest")).alias("order"), "doc_id", "n", "place")).alias("lead"),
-                F.count(F.lit(1)).alias("many"),
-            )
-            .where("many > 1")
-            .select(
-                "gram",
-                F.col("lead.doc_id").alias("leader"),
-                F.col("lead.n").alias("leader_n"),
-                F.col("lead.place").alias("leader_place"),
-            )
-        )
-        self.places = checkpointed(places.drop("rarest").join(leaders, "gram"))
+        parts = []
+        for part in range(PARTS):
+            own = places.where(F.pmod("gram", F.lit(PARTS)) == part)
+            with scratch_tables(self.spark) as keep:
+                leaders = checkpointed(
+                    own.groupBy("gram")
+                    .agg(
+                        F.min(F.struct((-F.col("rarest")).alias("order"), "doc_id", "n", "place")).alias("lead"),
+                        F.count(F.lit(1)).alias("many"),
+                    )
+                    .where("many > 1")
+                    .select(
+                        "gram",
+                        F.col("lead.doc_id").alias("leader"),
+                        F.col("lead.n").alias("leader_n"),
+                        F.col("lead.place").alias("leader_place"),
+                    )
+                )
+                parts.append(keep(own.drop("rarest").join(leaders, "gram")))
+        self.places = reduce(DataFrame.unionByName, parts)
 
     def _possible(self, n: tuple, place: tuple) -> F.Column:
         """Length and positional filter, for sets of n that have an n-gram at place."""
@@ -226,6 +240,10 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that are similar enough."""
+        with scratch_tables(self.spark) as keep:
+            return self._verified(pairs, keep)
+
+    def _verified(self, pairs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
         bins = self.prefixes.select(F.col("doc_id"), "n", "bins")
         for end in ("a", "b"):
             pairs = pairs.join(
@@ -234,7 +252,7 @@ class _Join:
         # suffix filter: n-grams whose hashes start differently are not common
         common = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
         near = (100 + self.percent) * common >= self.percent * (F.col("n_a") + F.col("n_b"))
-        pairs = checkpointed(pairs.where(near).select("a", "b"))
+        pairs = keep(pairs.where(near).select("a", "b"))
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(ID_SLOTS))
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
         wanted = self._slot_table(ids.select(slot.alias("slot")).distinct().withColumn("value", F.lit(True)), ID_SLOTS, np.bool_)
@@ -252,7 +270,7 @@ class _Join:
             dealt.select("a", "block").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a")
             .select("a", "block", F.lit(None).cast("long").alias("b"), "grams")
         )
-        return checkpointed(
+        return keep(
             owners.unionByName(members)
             .repartition("a", "block")
             .sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
@@ -271,19 +289,20 @@ class _Join:
 
     def other_pairs(self, labels: DataFrame) -> DataFrame:
         """Pairs without the leader in a list that its links have not connected."""
-        marked = checkpointed(
-            self.places.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-                "gram", "doc_id", "n", "place", "leader", F.coalesce("component", "doc_id").alias("component")
+        with scratch_tables(self.spark) as keep:
+            marked = checkpointed(
+                self.places.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+                    "gram", "doc_id", "n", "place", "leader", F.coalesce("component", "doc_id").alias("component")
+                )
             )
-        )
-        open_grams = checkpointed(
-            marked.where("doc_id <> leader")
-            .groupBy("gram")
-            .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-            .where("least <> most")
-            .select("gram")
-        )
-        rest = checkpointed(marked.where("doc_id <> leader").join(open_grams, "gram").drop("leader"))
+            open_grams = checkpointed(
+                marked.where("doc_id <> leader")
+                .groupBy("gram")
+                .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+                .where("least <> most")
+                .select("gram")
+            )
+            rest = keep(marked.where("doc_id <> leader").join(open_grams, "gram").drop("leader"))
         one = rest.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "place", "component")))
         two = rest.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "place", "component")))
         fits = self._possible(
@@ -297,16 +316,18 @@ class _Join:
         )
 
     def result(self) -> DataFrame:
-        self.classes()
-        self.lists()
-        links = self.verified(self.leader_pairs())
-        links = links.unionByName(self.verified(self.other_pairs(components(links))))
-        joined = components(links).withColumnRenamed("node", "head")
-        heads = self.heads.join(joined, "head", "left").select(
-            "high", "low", F.coalesce("component", "head").alias("component")
-        )
-        # the ids of a class of copies may be a third of all rows: both sides stand in storage
-        heads = checkpointed(heads)
+        loads = self.classes()
+        with scratch_tables(self.spark) as keep:
+            self.first_grams(loads)
+            self.lists()
+            links = self.verified(self.leader_pairs())
+            links = links.unionByName(self.verified(self.other_pairs(components(links))))
+            joined = components(links).withColumnRenamed("node", "head")
+            heads = self.heads.join(joined, "head", "left").select(
+                "high", "low", F.coalesce("component", "head").alias("component")
+            )
+            # the ids of a class of copies may be a third of all rows: both sides stand in storage
+            heads = keep(heads)
         return self.counted.join(heads, ["high", "low"], "left").select(
             "doc_id",
             F.col("n").alias("n_shingles"),

@@ -2,11 +2,15 @@
 
 import hashlib
 import random
+import time
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from stayline.llm.ngrams import similar_documents
 from stayline.llm.substrings import remove_repeated_windows
+from stayline.session import SHUFFLE_CLEANUP, checkpoint_folder, checkpointed
 
 
 def words(seed, n, vocabulary=400):
@@ -122,6 +126,34 @@ def test_repeated_ids_and_no_rows(docs):
     assert similar_documents(docs(), 3, 90).collect() == []
 
 
+def test_only_what_the_result_reads_outlives_the_join(spark, docs):
+    """The checkpoint folder keeps the sizes of the rows and the components of the classes."""
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    found = similar_documents(docs(*similar_rows()), 5, 80)
+    assert len({p.name for p in folder.iterdir() if list(p.glob("*.parquet"))} - before) == 2
+    assert found.count() == len(similar_rows())
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [Path(d.getPath()) for d in disk.localDirs()]
+
+    def shuffled():
+        return {p.name for d in folders for p in d.rglob("shuffle_*.data")}
+
+    before = shuffled()
+    df = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count()
+    stored = checkpointed(df)
+    for _ in range(50):  # they go in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert stored.count() == df.count() == 100
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) in (None, "false")
+
+
 def test_hash_of_kept_text(spark, docs):
     text = " ".join(words(8, 80))
     found = remove_repeated_windows(docs((1, text), (2, text))).selectExpr("doc_id", "sha2(kept_text, 256) AS h").collect()
